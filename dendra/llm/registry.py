@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dendra.llm import gif, pieces
-from dendra.llm.common import documents
+from dendra.llm import gif, pieces, quality, toxicity
+from dendra.llm.common import documents, labels
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +16,22 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_toxicity": op5_toxicity,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_gif_media": op9_gif_media,
 }
 
