@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dendra.llm import gif, pieces, quality, toxicity
+from dendra.llm import gif, mixing, pieces, quality, toxicity
 from dendra.llm.common import documents, labels
 
 
@@ -24,6 +24,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "times")
+
+
 def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(documents(spark, sf_dir))
 
@@ -32,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_source_mixing": op8_source_mixing,
     "op9_gif_media": op9_gif_media,
 }
 
