@@ -62,3 +62,19 @@ def release(spark: SparkSession) -> None:
 def crc_remainder(column: str, modulus: int):
     """crc32 of the id as decimal text, modulo; null ids give null."""
     return F.crc32(F.col(column).cast("string")) % modulus
+
+
+class settings:
+    """Session settings for the jobs inside a with block; the old values return after it."""
+
+    def __init__(self, spark: SparkSession, **values: str):
+        self.spark, self.values = spark, {k.replace("__", "."): v for k, v in values.items()}
+
+    def __enter__(self) -> None:
+        self.old = {k: self.spark.conf.get(k, None) for k in self.values}
+        for k, v in self.values.items():
+            self.spark.conf.set(k, v)
+
+    def __exit__(self, *_) -> None:
+        for k, v in self.old.items():
+            self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
