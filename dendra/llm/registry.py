@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dendra.llm import gif, minhash, mixing, pieces, quality, rules, secrets, substrings, toxicity
+from dendra.llm import gif, minhash, mixing, pieces, quality, rules, secrets, substrings, suffixes, toxicity
 from dendra.llm.common import documents, labels
 
 
@@ -48,6 +48,10 @@ def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(documents(spark, sf_dir))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_source_mixing": op8_source_mixing,
     "op9_gif_media": op9_gif_media,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {}
