@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendra.llm.common import save, scratch
+from dendra.llm.common import release, remove, save, scratch
 from dendra.llm.components import components
 from dendra.llm.textgrams import blocks, chained, mix, runs, sequence_hash, sorted_groups, word_hashes
 
@@ -42,6 +42,7 @@ ROWS = 4
 BANDS = REGISTERS // ROWS
 BLOCK = 2048
 DEVIATIONS = 5.0
+SMALL = 2_000_000  # ids that may be broadcast
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -83,7 +84,7 @@ def superminhash(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n, digest, bands, low, words): bands are BANDS 64-bit keys; low is the lowest byte of each register; words are compressed."""
+    """(id, n, digest, bands, low, words): bands are BANDS 64-bit keys; low is the lowest byte of each register, then the lower halves of the bands; words are compressed."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +97,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 sets = shingle_sets(texts[first:last], k)
                 signature = superminhash(sets)
                 bands = mix(chained_rows(signature.reshape(len(sets), BANDS, ROWS)) + np.arange(BANDS, dtype=np.uint64))
-                low = (signature & np.uint64(255)).astype(np.uint8)
+                low = np.hstack([(signature & np.uint64(255)).astype(np.uint8), bands.astype(np.uint32).view(np.uint8)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first),
@@ -135,14 +136,14 @@ def _similar(a_low, b_low, a_n, b_n, percent: int) -> np.ndarray:
 
 
 def _promising(percent: int):
-    """Rows (key, pair, id, n, low, bands32) sorted by key -> (key, id) of members with a similar partner whose first common band this is."""
+    """Rows (key, own, id, n, low) sorted by key -> (key, id) of members with a similar partner whose first common band this is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, "key"):
             key = table["key"].to_numpy()
             n = table["n"].to_numpy()
-            low = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            band = np.frombuffer(b"".join(table["bands"].to_pylist()), np.uint64).reshape(-1, BANDS).astype(np.uint32)
+            both = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(-1, REGISTERS + 4 * BANDS)
+            low, band = both[:, :REGISTERS], np.ascontiguousarray(both[:, REGISTERS:]).view(np.uint32)
             own = table["own"].to_numpy().astype(np.uint64).astype(np.uint32)
             wanted = np.zeros(len(key), bool)
             at = runs(key)
@@ -240,22 +241,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with_set = signed.where("digest is not null and id is not null")
     classes = save(with_set.groupBy("digest").agg(F.min("id").alias("rep")), scratch(spark, "minhash-classes"))
     heads = classes.select(F.col("rep").alias("id"), F.col("digest").alias("head_digest"))
-    reps = save(with_set.select("id", "n", "digest", "bands", "low").join(heads, "id").where("digest = head_digest").dropDuplicates(["id"]).select("id", "n", "bands", "low"), scratch(spark, "minhash-reps"))
+    reps_path, buckets_path, promising_path = (scratch(spark, f"minhash-{x}") for x in ("reps", "buckets", "promising"))
+    reps = save(with_set.select("id", "n", "digest", "bands", "low").join(heads, "id").where("digest = head_digest").dropDuplicates(["id"]).select("id", "n", "bands", "low"), reps_path)
+    release(spark)
     keyed = reps.select("id", "bands").mapInArrow(_explode, "key bigint, id bigint")
     buckets = keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
     # blocks of large buckets: every pair of blocks meets under a key of its own
     width = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("id"), width).cast("int")
     pairs = F.when(width > 1, F.transform(F.sequence(F.lit(0), width - 1), lambda o: F.least(o, block) * width + F.greatest(o, block))).otherwise(F.array(F.lit(0)))
-    buckets = save(buckets.select("id", F.col("key").alias("own"), F.explode(pairs).alias("pair"), width.alias("width")), scratch(spark, "minhash-buckets"))
+    buckets = save(buckets.select("id", F.col("key").alias("own"), F.explode(pairs).alias("pair"), width.alias("width")), buckets_path)
+    release(spark)
     key = F.when(F.col("width") > 1, F.xxhash64("own", "pair")).otherwise(F.col("own"))
-    members = buckets.select("id", "own", key.alias("key")).join(reps, "id")
-    members = members.repartition("key").sortWithinPartitions("key").select("key", "own", "id", "n", "low", "bands")
-    promising = save(members.mapInArrow(_promising(percent), "key bigint, id bigint"), scratch(spark, "minhash-promising"))
-    words = signed.where("id is not null and digest is not null").select("id", "digest", "words").join(heads, "id").where("digest = head_digest").select("id", "words")
-    checked = promising.join(words, "id")
+    members = buckets.select("id", "own", key.alias("key")).join(reps.select("id", "n", "low"), "id")
+    members = members.repartition("key").sortWithinPartitions("key").select("key", "own", "id", "n", "low")
+    promising = save(members.mapInArrow(_promising(percent), "key bigint, id bigint"), promising_path)
+    remove(spark, reps_path)
+    remove(spark, buckets_path)
+    release(spark)
+    wanted = promising.select("id").distinct()
+    words = with_set.select("id", "words")
+    if wanted.limit(SMALL + 1).count() <= SMALL:  # checked: at most SMALL ids of 8 bytes; else all words are dealt by id
+        words = words.join(F.broadcast(wanted), "id", "left_semi")
+    checked = promising.join(words, "id").dropDuplicates(["key", "id"])
     links = checked.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "words").mapInArrow(_verify(k, percent), "a bigint, b bigint")
     found = components(links)
+    release(spark)
     head = classes.join(found, classes["rep"] == found["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "digest").join(head, "digest", "left")
     component = F.coalesce("component_id", "id")
