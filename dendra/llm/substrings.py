@@ -35,9 +35,10 @@ from dendra.llm.textgrams import blocks, chained, mix, runs, sorted_groups, word
 
 WINDOW = 13
 FAN = 4
-BATCHES = 2
-#: Compressed input bytes per bucket: about a million windows.
-BUCKET_BYTES = 4 << 20
+#: Where the ids are cut into batches, as shares of the documents: a quarter is history when the rest arrives.
+CUTS = (0.25,)
+#: Compressed input bytes per bucket: about 300,000 windows.
+BUCKET_BYTES = 1 << 20
 CHUNK = 4 << 20
 
 _ROWS = "kind int, key bigint, docs binary, body binary"
@@ -313,12 +314,12 @@ def _exact(source: DataFrame, failed: DataFrame, window: int, bits: int) -> Data
     return some.join(least, "text").where("id > least").select(F.col("id").alias("doc"), F.col("pos").alias("start"), F.lit(1).cast("bigint").alias("n"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES, bits: int = 64) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256) per row; documents enter the index in ``batches`` of ascending ids."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cuts: tuple[float, ...] = CUTS, bits: int = 64) -> DataFrame:
+    """(id, n_words, n_removed, kept_sha256) per row; documents enter the index in batches of ascending ids, cut at these shares."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     buckets = buckets_for(docs.select(id_col, text_col), BUCKET_BYTES)
-    edges = sorted(set(source.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
+    edges = sorted(set(source.approxQuantile("id", list(cuts), 0.01))) if cuts else []
     index = FingerprintIndex(spark, buckets, window, bits)
     hits, low = [], None
     for k, high in enumerate([*edges, None]):
