@@ -38,7 +38,9 @@ from dendra.llm.textgrams import blocks, mix, runs, sorted_groups, tables
 
 LENGTH = 100
 KGRAM = 32
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20
+#: Letters of a shard's text: anchors are added up to this size (one anchor's contexts stay together).
+SHARD = 1 << 20
 CHUNK = 4 << 20
 PLACE_BITS = 21  # places inside a block
 BLOCK = 1 << 20
@@ -420,35 +422,42 @@ def shard_marks(h: np.ndarray, doc: np.ndarray, first: np.ndarray, bodies: list[
     x = np.array(own)
     values, back, counts = np.unique(h[x], return_inverse=True, return_counts=True)
     x = x[counts[back] > 1]  # different contexts of one anchor
-    if len(x):
-        # letters 2..257 and a separator 1 after each context; strings never reach over it
-        sizes = np.array([len(bodies[i]) for i in x.tolist()])
-        text = np.frombuffer(b"".join(bodies[i] for i in x.tolist()), np.uint8).astype(np.int64) + 2
-        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        t = np.concatenate([np.insert(text, np.cumsum(sizes), 1), [0]])
-        at = at + np.arange(len(x))
-        _, t = np.unique(t, return_inverse=True)  # bytes in use, in order; the sentinel stays 0
-        sa = suffix_array(t)
-        prefix = common_prefixes(t, sa, length)
-        owner = np.repeat(np.arange(len(x)), sizes + 1)
-        owner = np.append(owner, 0)
-        offset = np.arange(len(t)) - at[owner]
-        starts_string = (offset + length <= sizes[owner]) & (np.arange(len(t)) < len(t) - 1)
-        # groups of suffixes that share a whole string
-        group = np.cumsum(prefix[sa] < length)
-        chosen = starts_string[sa]
-        place, group = sa[chosen], group[chosen]
-        d, s = doc[x[owner[place]]], first[x[owner[place]]] + offset[place]
-        order = np.lexsort((s, d, group))
-        group, d, s = group[order], d[order], s[order]
-        late = np.concatenate([[False], group[1:] == group[:-1]])
-        late[1:] &= (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | late[:-1]
-        marks[0].extend(d[late].tolist())
-        marks[1].extend(s[late].tolist())
-        marks[2].extend([length] * int(late.sum()))
+    x = x[np.argsort(h[x], kind="stable")]
+    at, upto = runs(h[x]), np.cumsum([len(bodies[i]) + 1 for i in x.tolist()])
+    lo = 0
+    for hi in at[1:].tolist():
+        if hi == len(x) or upto[hi - 1] - (upto[lo - 1] if lo else 0) >= SHARD:
+            _mark_shard(np.sort(x[lo:hi]), doc, first, bodies, length, marks)
+            lo = hi
     return marks
 
 
+def _mark_shard(x: np.ndarray, doc: np.ndarray, first: np.ndarray, bodies: list[bytes], length: int, marks: tuple[list, list, list]) -> None:
+    # letters 2..257 and a separator 1 after each context; strings never reach over it
+    sizes = np.array([len(bodies[i]) for i in x.tolist()])
+    text = np.frombuffer(b"".join(bodies[i] for i in x.tolist()), np.uint8).astype(np.int64) + 2
+    at = np.concatenate([[0], np.cumsum(sizes)[:-1]]) + np.arange(len(x))
+    t = np.concatenate([np.insert(text, np.cumsum(sizes), 1), [0]])
+    _, t = np.unique(t, return_inverse=True)  # bytes in use, in order; the sentinel stays 0
+    sa = suffix_array(t)
+    prefix = common_prefixes(t, sa, length)
+    owner = np.append(np.repeat(np.arange(len(x)), sizes + 1), 0)
+    offset = np.arange(len(t)) - at[owner]
+    starts_string = (offset + length <= sizes[owner]) & (np.arange(len(t)) < len(t) - 1)
+    # groups of suffixes that share a whole string
+    group = np.cumsum(prefix[sa] < length)
+    chosen = starts_string[sa]
+    place, group = sa[chosen], group[chosen]
+    d, s = doc[x[owner[place]]], first[x[owner[place]]] + offset[place]
+    order = np.lexsort((s, d, group))
+    group, d, s = group[order], d[order], s[order]
+    late = np.concatenate([[False], group[1:] == group[:-1]])
+    late[1:] &= (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | late[:-1]
+    marks[0].extend(d[late].tolist())
+    marks[1].extend(s[late].tolist())
+    marks[2].extend([length] * int(late.sum()))
+
+
 def _shards(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
