@@ -20,14 +20,18 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Entries of a worker's memo before it starts afresh; bounds memory, not results.
-MEMO = 200_000
+MEMO = 120_000
 MEMO_LONGEST = 64
-PAIRS = 1_000_000
+PAIRS = 400_000
+#: Texts that leave a worker together, in characters.
+PART = 1 << 20
 
 
 class Pieces:
@@ -199,6 +203,17 @@ def _memo(model: bytes) -> Memo:
     return _LOADED[key]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Ids and texts, about PART characters at a time."""
+    for batch in batches:
+        sizes = np.cumsum([x or 0 for x in pc.utf8_length(batch.column(1)).to_pylist()])
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + PART, side="right")))
+            yield batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo).to_pylist()
+            lo = hi
+
+
 def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", eos: bool = True) -> DataFrame:
     """One row per input row: the id, ``ids`` (array<int>, whole text) and ``decoded`` (text of those ids).
 
@@ -210,13 +225,12 @@ def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(model)
-        for batch in batches:
-            ids, decoded = [], []
-            for text in batch.column(1).to_pylist():
-                one, joined = _encode(memo, text, eos)
-                ids.append([int(x) for x in one.split()])
-                decoded.append(joined)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
+        for names, texts in _parts(batches):
+            found = [_encode(memo, t, eos) for t in texts]
+            counts = [ids.count(" ") + 1 if ids else 0 for ids, _ in found]
+            values = np.array(" ".join(ids for ids, _ in found if ids).split(), np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int32()))
+            yield pa.RecordBatch.from_arrays([names, lists, pa.array([d for _, d in found], pa.string())], [id_col, "ids", "decoded"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
 
@@ -238,13 +252,13 @@ def encode_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(model)
-        for batch in batches:
+        for names, texts in _parts(batches):
             n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts:
                 ids, decoded = _encode(memo, text, eos)
                 n.append(ids.count(" ") + 1 if ids else 0)
                 a.append(hashlib.sha256(ids.encode()).hexdigest())
                 b.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([names, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
