@@ -1,6 +1,570 @@
-"""Registered queries of the reference's operators and their oracle SQL."""
+"""Queries over the reference's operators on the driver's tables, each with its oracle in SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dendra.functions import expr
+from dendra.operators import audit, distributions, grouping, scoring, selection, similarity, textmetrics, trees
+from dendra.plans import surrogate
+from dendra.plans.surrogate import arcs_sql
+from dendra.sources import conllu
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(surrogate.arcs(surrogate.sentences(spark, d, s)) for s in "ab")
+
+
+def arcs_a(spark: SparkSession, d: str) -> DataFrame:
+    return distributions.describe(surrogate.arcs(surrogate.sentences(spark, d)))
+
+
+def heads(spark: SparkSession, d: str) -> DataFrame:
+    s = surrogate.sentences(spark, d)
+    return s.select("sid", F.transform("words", lambda w: w["head"]).alias("heads"), F.transform("words", lambda w: w["deprel"]).alias("labels"))
+
+
+A, B = arcs_sql("a"), arcs_sql("b", "b")
+BOTH = f"WITH {A}, {B}, u AS (SELECT *, 'a' AS side FROM a UNION ALL SELECT *, 'b' AS side FROM b), tot AS (SELECT (SELECT count(*) FROM a) AS wa, (SELECT count(*) FROM b) AS wb, (SELECT count(DISTINCT sid) FROM a) AS sa, (SELECT count(DISTINCT sid) FROM b) AS sb)"
+JUDGED = f"WITH {A}, j AS (SELECT *, head = pred_head AS uas, head = pred_head AND base = split_part(pred_deprel, ':', 1) AS las, head = pred_head AND deprel = pred_deprel AS strict, deprel = pred_deprel AS label_ok, (sid + tid) % 6 <> 0 AS other FROM a)"
+
+
+def pct(x: str) -> str:
+    return f"round(100 * avg(CASE WHEN {x} THEN 1.0 ELSE 0.0 END), 6)"
+
+
+# ---- distributions --------------------------------------------------------------------
+
+
+def _rel(s: str) -> str:
+    on = f"side = '{s}'"
+    n = f"count(*) FILTER ({on})"
+    arcs = f"count(*) FILTER ({on} AND head <> 0)"
+    return f"""{n} AS count_{s}, round(1000.0 * {n} / max(w{s}), 6) AS per_1000_{s}, round(1.0 * {n} / max(s{s}), 6) AS per_sentence_{s},
+      round(100.0 * count(*) FILTER ({on} AND direction = 'head_left') / nullif({arcs}, 0), 6) AS head_left_pct_{s},
+      round(100.0 * count(*) FILTER ({on} AND dist >= 6) / nullif({n}, 0), 6) AS long_pct_{s},
+      round(1.0 * sum(dist) FILTER ({on} AND head <> 0) / nullif({arcs}, 0), 6) AS mean_distance_{s}"""
+
+
+@query(f"{BOTH} SELECT deprel, {_rel('a')}, {_rel('b')}, round(1.0 * count(*) FILTER (side = 'a') / max(sa) - 1.0 * count(*) FILTER (side = 'b') / max(sb), 6) AS per_sentence_difference FROM u, tot GROUP BY deprel")
+def relation_distribution(spark, d):
+    return distributions.relation_distribution(*sides(spark, d))
+
+
+@query(f"""{BOTH} SELECT upos, head_upos, deprel, direction, bucket, count(*) FILTER (side = 'a') AS count_a, count(*) FILTER (side = 'b') AS count_b,
+  round(1000.0 * count(*) FILTER (side = 'a') / max(wa), 6) AS per_1000_a, round(1000.0 * count(*) FILTER (side = 'b') / max(wb), 6) AS per_1000_b,
+  round(abs(1000.0 * count(*) FILTER (side = 'a') / max(wa) - 1000.0 * count(*) FILTER (side = 'b') / max(wb)), 6) AS shift
+  FROM u, tot GROUP BY upos, head_upos, deprel, direction, bucket""")
+def signature_shifts(spark, d):
+    return distributions.signature_shifts(*sides(spark, d))
+
+
+_TERMS = "sum(CASE WHEN p > 0 THEN 0.5 * p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(q / ((p + q) / 2)) ELSE 0 END)"
+
+
+@query(f"""{BOTH}, x AS ({' UNION ALL '.join(f"SELECT side, '{n}' AS dimension, {c} AS key FROM u" for n, c in zip(distributions.DIMENSIONS, ("deprel", "base", "direction", "bucket", "upos", "head_upos", "concat_ws('|', upos, head_upos, deprel, direction, bucket)"), strict=True))}),
+  c AS (SELECT dimension, key, CAST(count(*) FILTER (side = 'a') AS DOUBLE) AS na, CAST(count(*) FILTER (side = 'b') AS DOUBLE) AS nb FROM x GROUP BY dimension, key),
+  f AS (SELECT dimension, na / sum(na) OVER (PARTITION BY dimension) AS p, nb / sum(nb) OVER (PARTITION BY dimension) AS q FROM c)
+  SELECT dimension, round({_TERMS}, 6) AS js_bits, round(sum(abs(p - q)) / 2, 6) AS total_variation FROM f GROUP BY dimension""")
+def divergence_table(spark, d):
+    return distributions.divergence_table(*sides(spark, d))
+
+
+_SHIFTS = f"""{BOTH}, c AS (SELECT sid, base, CAST(count(*) FILTER (side = 'a') AS DOUBLE) AS na, CAST(count(*) FILTER (side = 'b') AS DOUBLE) AS nb FROM u GROUP BY sid, base),
+  f AS (SELECT sid, coalesce(na / nullif(sum(na) OVER (PARTITION BY sid), 0), 0) AS p, coalesce(nb / nullif(sum(nb) OVER (PARTITION BY sid), 0), 0) AS q FROM c),
+  js AS (SELECT sid, round({_TERMS}, 6) AS js_bits FROM f GROUP BY sid),
+  s AS (SELECT sid, count(*) FILTER (side = 'a') AS words_a, count(*) FILTER (side = 'b') AS words_b,
+    {', '.join(f"round(coalesce(1.0 * sum(dist) FILTER (side = '{x}') / nullif(count(*) FILTER (side = '{x}' AND head <> 0), 0), 0), 6) AS mean_distance_{x}, round(coalesce(100.0 * count(*) FILTER (side = '{x}' AND dist >= 6) / nullif(count(*) FILTER (side = '{x}' AND head <> 0), 0), 0), 6) AS long_pct_{x}" for x in 'ab')} FROM u GROUP BY sid),
+  shifts AS (SELECT s.sid, words_a, words_b, mean_distance_a, mean_distance_b, long_pct_a, long_pct_b, js_bits FROM s JOIN js ON s.sid = js.sid WHERE words_a > 0 AND words_b > 0)"""
+
+
+@query(f"{_SHIFTS} SELECT * FROM shifts")
+def sentence_shifts(spark, d):
+    return distributions.sentence_shifts(*sides(spark, d))
+
+
+@query(f"{_SHIFTS} SELECT count(*) AS pairs, {', '.join(f'CASE WHEN var_pop({c}_a) > 0 AND var_pop({c}_b) > 0 THEN round(corr({c}_a, {c}_b), 6) END AS r_{c}' for c in ('words', 'mean_distance', 'long_pct'))} FROM shifts")
+def parallel_correlation(spark, d):
+    return distributions.parallel_correlation(distributions.sentence_shifts(*sides(spark, d)))
+
+
+@query(f"""{BOTH}, s AS (SELECT side, sid, count(*) AS n, count(*) FILTER (head <> 0) AS arcs, sum(dist) AS dist, count(*) FILTER (dist >= 6) AS long, count(*) FILTER (direction = 'head_left') AS lft FROM u GROUP BY side, sid)
+  SELECT side, count(*) AS sentences, CAST(sum(n) AS BIGINT) AS words, round(avg(n), 6) AS mean_words, round(1.0 * sum(dist) / sum(arcs), 6) AS mean_distance, round(100.0 * sum(long) / sum(n), 6) AS long_pct, round(100.0 * sum(lft) / sum(arcs), 6) AS head_left_pct FROM s GROUP BY side""")
+def corpus_summary(spark, d):
+    return distributions.corpus_summary(*sides(spark, d))
+
+
+@query("""WITH s AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT count(n) AS n, min(n) AS min, max(n) AS max, round(avg(n), 6) AS mean,
+  round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.75), 6) AS p75, round(quantile_cont(n, 0.95), 6) AS p95 FROM s""")
+def length_stats(spark, d):
+    return distributions.length_stats(table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")))
+
+
+@query("WITH s AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT n AS value, count(*) AS n FROM s GROUP BY s.n")
+def length_histogram(spark, d):
+    return distributions.value_counts(table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("words")), "words")
+
+
+@query(f"WITH {A} SELECT upos, bucket, CASE WHEN dist = 0 THEN 'ROOT' WHEN dist = 1 THEN '1' WHEN dist = 2 THEN '2' WHEN dist <= 5 THEN '3-5' WHEN dist <= 10 THEN '6-10' ELSE '11+' END AS fine, count(*) AS n FROM a GROUP BY ALL")
+def distance_buckets(spark, d):
+    rows = arcs_a(spark, d)
+    return rows.groupBy("upos", "bucket", expr.distance_bucket_fine(F.col("tid"), F.col("head")).alias("fine")).agg(F.count("*").alias("n"))
+
+
+# ---- groups and splits ------------------------------------------------------------------
+
+GROUPS = "g AS (SELECT text, 'grp-' || substr(sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)), 1, 16) AS group_id, count(*) AS size, min(doc_id) AS first FROM documents GROUP BY text)"
+SPLIT = f"""{GROUPS}, o AS (SELECT *, coalesce(sum(size) OVER (ORDER BY sha256('42:' || group_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle, sum(size) OVER () AS total FROM g),
+  sp AS (SELECT text, group_id, size, first, CASE WHEN CAST(middle AS DOUBLE) <= CAST(0.8 AS DOUBLE) * CAST(total AS DOUBLE) THEN 'train' WHEN CAST(middle AS DOUBLE) <= CAST(0.9 AS DOUBLE) * CAST(total AS DOUBLE) THEN 'dev' ELSE 'test' END AS split FROM o),
+  ds AS (SELECT d.doc_id, d.text, d.lang, d.source, sp.group_id, sp.split FROM documents d JOIN sp ON d.text = sp.text)"""
+
+
+def doc_groups(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.duplicate_groups(table(spark, d, "documents"), F.sha2("text", 256), "doc_id", "doc_id")
+
+
+def doc_split(spark: SparkSession, d: str) -> DataFrame:
+    """documents with group_key, group_id and split."""
+    groups = grouping.split_by_hash(doc_groups(spark, d)).select("group_key", "group_id", "split")
+    return table(spark, d, "documents").withColumn("group_key", F.sha2("text", 256)).join(groups, "group_key")
+
+
+@query(f"WITH {GROUPS} SELECT group_id, size, first FROM g")
+def duplicate_groups(spark, d):
+    return doc_groups(spark, d).select("group_id", "size", "first")
+
+
+@query(f"WITH {SPLIT} SELECT group_id, size, split FROM sp")
+def group_split_hash(spark, d):
+    return grouping.split_by_hash(doc_groups(spark, d)).select("group_id", "size", "split")
+
+
+@query()
+def group_split_random(spark, d):
+    return grouping.split_by_shuffle(doc_groups(spark, d)).select("group_id", "size", "split")
+
+
+@query()
+def simple_split_random(spark, d):
+    return grouping.split_simple(table(spark, d, "documents").select("doc_id"), "doc_id")
+
+
+@query(f"""WITH {SPLIT}, x AS (SELECT split, length(text) AS n, 'all' AS dimension, '' AS value FROM ds UNION ALL SELECT split, length(text), 'lang', coalesce(lang, '') FROM ds UNION ALL SELECT split, length(text), 'source', coalesce(source, '') FROM ds)
+  SELECT split, dimension, value, count(*) AS n, CAST(sum(n) AS BIGINT) AS total_length, round(avg(n), 6) AS mean_length FROM x GROUP BY split, dimension, value""")
+def split_stats(spark, d):
+    return grouping.split_statistics(doc_split(spark, d).withColumn("len", F.char_length("text")), "len", ["lang", "source"])
+
+
+@query(f"WITH {SPLIT} SELECT source, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'dev') AS dev, count(*) FILTER (split = 'test') AS test FROM ds GROUP BY source")
+def crosstab_split_source(spark, d):
+    return doc_split(spark, d).groupBy("source").pivot("split", ["train", "dev", "test"]).agg(F.count("doc_id")).fillna(0)
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS \"check\", CAST(NULL AS VARCHAR) AS value WHERE 1 = 0")
+def split_leak_check(spark, d):
+    return grouping.split_violations(doc_split(spark, d), "doc_id", "group_key")
+
+
+@query(f"WITH {SPLIT}, l AS (SELECT source || '/' || lang || '/' || CAST(length(text) // 500 AS VARCHAR) AS label, split FROM ds) SELECT DISTINCT split, label FROM l WHERE label IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l t WHERE t.label = l.label AND t.split = 'train')")
+def unseen_labels(spark, d):
+    rows = doc_split(spark, d).withColumn("label", F.concat("source", F.lit("/"), "lang", F.lit("/"), F.floor(F.char_length("text") / 500).cast("string")))
+    return audit.unseen_labels(rows, "label", "split")
+
+
+_NORM = "lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))"
+
+
+@query(f"""WITH n AS (SELECT doc_id, sha256(text) AS exact, sha256({_NORM}) AS joined, source FROM documents), g AS (SELECT joined, count(*) AS size, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members, count(DISTINCT exact) AS e, count(DISTINCT joined) AS j, count(DISTINCT source) AS s FROM n GROUP BY joined HAVING count(*) > 1)
+  SELECT joined AS group_key, size, members, e < size AS exact_collision, j < size AS joined_collision, e > 1 AS tokenization_differs, s > 1 AS annotation_inconsistent FROM g""")
+def duplicate_report(spark, d):
+    return grouping.duplicate_report(_keyed(spark, d), "group_key", "doc_id", "exact", "group_key", "source")
+
+
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("exact"), F.sha2(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]", "")), 256).alias("group_key"), "source")
+
+
+@query(f"""WITH n AS (SELECT doc_id, sha256(text) AS exact, sha256({_NORM}) AS joined, source FROM documents), x AS (SELECT 'tokens' AS key_type, exact AS key, source FROM n UNION ALL SELECT 'joined', joined, source FROM n)
+  SELECT key_type, key, count(*) AS n, count(DISTINCT source) > 1 AS annotation_disagreement FROM x GROUP BY key_type, key HAVING count(*) > 1""")
+def duplicate_audit(spark, d):
+    return grouping.duplicate_audit(_keyed(spark, d), "exact", "group_key", "source")
+
+
+@query(f"WITH n AS (SELECT sha256({_NORM}) AS k FROM documents), g AS (SELECT k, count(*) AS size FROM n GROUP BY k) SELECT count(*) FILTER (size > 1) AS groups, CAST(coalesce(sum(size) FILTER (size > 1), 0) AS BIGINT) AS documents, count(*) FILTER (size = 1) AS single FROM g")
+def group_counts(spark, d):
+    g = _keyed(spark, d).groupBy("group_key").agg(F.count("*").alias("size"))
+    return g.agg(F.count_if(F.col("size") > 1).alias("groups"), F.coalesce(F.sum(F.when(F.col("size") > 1, F.col("size"))), F.lit(0)).cast("bigint").alias("documents"), F.count_if(F.col("size") == 1).alias("single"))
+
+
+# ---- parallel audits ----------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT conv_id, turn FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant'),
+  na AS (SELECT conv_id, count(*) AS n FROM a GROUP BY conv_id), nb AS (SELECT conv_id, count(*) AS n, min(turn) AS t FROM b GROUP BY conv_id),
+  r AS (SELECT a.conv_id, a.turn, CASE WHEN a.conv_id IS NULL THEN 'no parallel id' WHEN na.n <> 1 THEN 'parallel id not unique' WHEN coalesce(nb.n, 0) <> 1 THEN 'match count ' || CAST(coalesce(nb.n, 0) AS VARCHAR) END AS reason, nb.t FROM a LEFT JOIN na ON a.conv_id = na.conv_id LEFT JOIN nb ON a.conv_id = nb.conv_id)
+  SELECT conv_id, turn, reason, CASE WHEN reason IS NULL THEN t END AS turn_b FROM r""")
+def parallel_exclusions(spark, d):
+    c = table(spark, d, "conversations")
+    return audit.parallel_exclusions(c.where("role = 'user'"), c.where("role = 'assistant'"), "conv_id", ["turn"], ["turn"])
+
+
+_ONE = "SELECT sid, count(*) AS n FROM {} GROUP BY sid"
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k FROM orders), b AS (SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag <> 'N'), u AS (SELECT k, 'a' AS side FROM a UNION ALL SELECT k, 'b' FROM b), g AS (SELECT k, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM u GROUP BY k)
+  SELECT 'only_in_a' AS problem, k, na AS n FROM g WHERE nb = 0 UNION ALL SELECT 'only_in_b', k, nb FROM g WHERE na = 0 UNION ALL SELECT 'twice_in_a', k, na FROM g WHERE na > 1 UNION ALL SELECT 'twice_in_b', k, nb FROM g WHERE nb > 1""")
+def unmatched_audit(spark, d):
+    return audit.unmatched(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), table(spark, d, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("k")), "k")
+
+
+@query("SELECT o.o_orderkey, count(*) AS words, max(o.o_orderpriority) AS priority FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey")
+def parallel_join(spark, d):
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("words"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority").join(lines.select("o_orderkey"), "o_orderkey", "left_semi")
+    return audit.parallel_join(lines.join(orders.select("o_orderkey"), "o_orderkey", "left_semi"), orders, "o_orderkey").select("o_orderkey", "words", F.col("o_orderpriority_b").alias("priority"))
+
+
+# ---- trees ----------------------------------------------------------------------------------
+
+#: Faults put into the surrogate trees: missing and far heads, second roots, two-word cycles.
+FAULTS = "CASE WHEN sid % 13 = 0 AND tid = 1 THEN NULL WHEN sid % 7 = 0 AND tid = 1 THEN 99 WHEN sid % 5 = 0 AND tid = 2 THEN 0 WHEN sid % 3 = 0 AND tid = 1 AND n > 1 THEN 2 WHEN sid % 3 = 0 AND tid = 2 THEN 1 ELSE head END"
+
+
+def faulty(spark: SparkSession, d: str) -> DataFrame:
+    sid, n = F.col("sid"), F.size("heads")
+
+    def wrong(h: Column, i: Column) -> Column:
+        first, second = i == 0, i == 1
+        return F.when((sid % 13 == 0) & first, F.lit(None)).when((sid % 7 == 0) & first, 99).when((sid % 5 == 0) & second, 0).when((sid % 3 == 0) & first & (n > 1), 2).when((sid % 3 == 0) & second, 1).otherwise(h)
+
+    return heads(spark, d).select("sid", F.transform("heads", wrong).alias("heads"))
+
+
+FAULTY = f"{A}, fa AS (SELECT sid, tid, head, count(*) OVER (PARTITION BY sid) AS n FROM a), f AS (SELECT sid, tid, n, {FAULTS} AS head FROM fa)"
+
+
+@query(f"WITH {FAULTY}, r AS (SELECT sid, count(*) FILTER (head = 0) AS roots FROM f GROUP BY sid) SELECT roots, count(*) AS sentences FROM r GROUP BY roots")
+def root_histogram(spark, d):
+    return audit.root_histogram(faulty(spark, d))
+
+
+@query(f"""WITH RECURSIVE {FAULTY}, w AS (SELECT sid, tid AS start, tid AS least, head AS cur, CAST(tid AS VARCHAR) AS path, 1 AS steps, n FROM f WHERE head IS NOT NULL AND head <> 0
+  UNION ALL SELECT w.sid, w.start, least(w.least, f.tid), f.head, w.path || '>' || CAST(f.tid AS VARCHAR), w.steps + 1, w.n FROM w JOIN f ON f.sid = w.sid AND f.tid = w.cur WHERE w.cur <> w.start AND w.steps <= w.n AND f.head IS NOT NULL AND f.head <> 0)
+  SELECT sid, 'non_integer_head' AS type, CAST(tid AS VARCHAR) AS detail FROM f WHERE head IS NULL
+  UNION ALL SELECT sid, 'head_out_of_range', CAST(tid AS VARCHAR) || '>' || CAST(head AS VARCHAR) FROM f WHERE head > n OR head < 0
+  UNION ALL SELECT sid, 'unexpected_root_count', CAST(count(*) FILTER (head = 0) AS VARCHAR) FROM f GROUP BY sid HAVING count(*) FILTER (head = 0) <> 1
+  UNION ALL SELECT sid, 'dependency_cycle', path FROM w WHERE cur = start AND least = start""")
+def tree_problems(spark, d):
+    return audit.tree_problems(faulty(spark, d))
+
+
+@query(f"""WITH {A}, s AS (SELECT sid, least(tid, head) AS lo, greatest(tid, head) AS hi FROM a), x AS (SELECT DISTINCT p.sid FROM s p JOIN s q ON p.sid = q.sid AND p.lo < q.lo AND q.lo < p.hi AND p.hi < q.hi)
+  SELECT t.sid, x.sid IS NULL AS projective FROM (SELECT DISTINCT sid FROM a) t LEFT JOIN x ON t.sid = x.sid""")
+def projectivity(spark, d):
+    return heads(spark, d).select("sid", trees.projective(F.col("heads")).alias("projective"))
+
+
+WALK = f"WITH RECURSIVE {A}, w AS (SELECT sid, tid, lpad(CAST(tid AS VARCHAR), 4, '0') AS path, 1 AS depth FROM a WHERE head = 0 UNION ALL SELECT a.sid, a.tid, w.path || lpad(CAST(a.tid AS VARCHAR), 4, '0'), w.depth + 1 FROM w JOIN a ON a.sid = w.sid AND a.head = w.tid)"
+
+
+@query(f"{WALK} SELECT sid, string_agg(CAST(tid AS VARCHAR), '-' ORDER BY path) AS preorder, string_agg(CAST(tid AS VARCHAR), '-' ORDER BY path || '~' DESC) AS reversed_postorder_by_children FROM w GROUP BY sid".replace(", string_agg(CAST(tid AS VARCHAR), '-' ORDER BY path || '~' DESC) AS reversed_postorder_by_children", ", string_agg(CAST(tid AS VARCHAR), '-' ORDER BY path || '~') AS postorder"))
+def tree_traversal(spark, d):
+    none = F.lit(None).cast("array<int>")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "-")
+    return heads(spark, d).select("sid", text(trees.preorder_col("heads", none)).alias("preorder"), text(trees.postorder_col("heads", none)).alias("postorder"))
+
+
+@query(f"{WALK} SELECT sid, CAST(max(depth) AS BIGINT) AS depth, CAST(sum(depth) AS BIGINT) AS total_depth FROM w GROUP BY sid")
+def tree_depth(spark, d):
+    deep = trees.depths_col("heads", F.lit(None).cast("array<int>"))
+    rows = heads(spark, d).select("sid", deep.alias("x"))
+    return rows.select("sid", F.array_max("x").cast("bigint").alias("depth"), F.aggregate("x", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total_depth"))
+
+
+@query(f"WITH {A} SELECT sid, count(*) AS words, count(*) AS shifts_less_swaps, count(*) AS reductions FROM a GROUP BY sid")
+def transition_counts(spark, d):
+    rows = heads(spark, d).select("sid", F.size("heads").cast("bigint").alias("words"), trees.actions_col("heads", "labels").alias("x"))
+    count = lambda f: F.size(F.filter("x", f)).cast("bigint")
+    return rows.select("sid", "words", (count(lambda a: a == trees.SHIFT) - count(lambda a: a == trees.SWAP)).alias("shifts_less_swaps"), count(lambda a: a.contains("_REDUCE:")).alias("reductions"))
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS sid WHERE 1 = 0")
+def transition_roundtrip(spark, d):
+    return heads(spark, d).select("sid", trees.roundtrip_col("heads", "labels").alias("same")).where("NOT same").select("sid")
+
+
+@query()
+def swap_stats(spark, d):
+    rows = heads(spark, d).select(F.size(F.filter(trees.actions_col("heads", "labels"), lambda a: a == trees.SWAP)).alias("n"))
+    return rows.agg(F.count_if(F.col("n") > 0).alias("sentences"), F.sum("n").alias("total"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
+
+
+_S = "((a1.sid * 7 + {d} * 13 + {h} * 29 + {d} * {h} * 17) % 101)"
+
+
+@query(f"""WITH n AS (SELECT l_orderkey AS sid, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) <= 3), h AS (SELECT * FROM (VALUES (0), (1), (2), (3)) t(h)),
+  t AS (SELECT a1.sid, {_S.format(d=1, h='h1.h')} + CASE WHEN n >= 2 THEN {_S.format(d=2, h='h2.h')} ELSE 0 END + CASE WHEN n >= 3 THEN {_S.format(d=3, h='h3.h')} ELSE 0 END AS s
+    FROM n a1 JOIN h h1 ON h1.h <= n AND h1.h <> 1 JOIN h h2 ON CASE WHEN n >= 2 THEN h2.h <= n AND h2.h <> 2 ELSE h2.h = 3 END JOIN h h3 ON CASE WHEN n >= 3 THEN h3.h <= n AND h3.h <> 3 ELSE h3.h = 2 END
+    WHERE (CASE WHEN h1.h = 0 THEN 1 ELSE 0 END) + (CASE WHEN n >= 2 AND h2.h = 0 THEN 1 ELSE 0 END) + (CASE WHEN n >= 3 AND h3.h = 0 THEN 1 ELSE 0 END) = 1
+      AND NOT (n >= 2 AND h1.h = 2 AND h2.h = 1) AND NOT (n >= 3 AND h1.h = 3 AND h3.h = 1) AND NOT (n >= 3 AND h2.h = 3 AND h3.h = 2))
+  SELECT sid, CAST(max(s) AS BIGINT) AS score FROM t GROUP BY sid""")
+def mst_decode(spark, d):
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sid")).agg(F.count("*").cast("int").alias("n")).where("n <= 3")
+    score = lambda w, h: (F.col("sid") * 7 + w * 13 + h * 29 + w * h * 17) % 101
+    matrix = F.transform(F.sequence(F.lit(1), F.col("n")), lambda w: F.transform(F.sequence(F.lit(0), F.col("n")), lambda h: score(w, h).cast("double")))
+    # one-element explode: keeps the UDF out of the aggregation's own result list, where Spark doesn't extract it
+    rows = n.select("sid", F.explode(F.array(matrix)).alias("m")).select("sid", F.posexplode(trees.mst_col("m", F.lit(None).cast("array<int>"))).alias("i", "h"))
+    return rows.groupBy("sid").agg(F.sum(score(F.col("i") + 1, F.col("h"))).cast("bigint").alias("score"))
+
+
+# ---- scores -----------------------------------------------------------------------------------
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.judged(arcs_a(spark, d)).withColumn("other", (F.col("sid") + F.col("tid")) % 6 != 0)
+
+
+@query(f"{JUDGED} SELECT count(*) AS words, {pct('uas')} AS uas, {pct('las')} AS las, {pct('strict')} AS strict_las, round(100 * avg(CASE WHEN strict THEN 1.0 ELSE 0.0 END) FILTER (upos <> 'U3'), 6) AS strict_las_no_punct FROM j")
+def uas_las(spark, d):
+    return scoring.overall(judged(spark, d), "U3")
+
+
+_GROUPED = f"{JUDGED} SELECT {{0}}, count(*) AS words, {pct('uas')} AS uas, {pct('las')} AS las, {pct('strict')} AS strict_las FROM j GROUP BY {{0}}"
+
+
+@query(_GROUPED.format("bucket"))
+def las_by_bucket(spark, d):
+    return scoring.grouped(judged(spark, d), "bucket")
+
+
+@query(_GROUPED.format("deprel"))
+def las_by_relation(spark, d):
+    return scoring.grouped(judged(spark, d), "deprel")
+
+
+@query(f"{JUDGED} SELECT deprel AS gold_deprel, pred_deprel, count(*) AS n FROM j WHERE uas AND NOT label_ok GROUP BY deprel, pred_deprel")
+def confusion(spark, d):
+    return scoring.confusion(judged(spark, d))
+
+
+@query(f"{JUDGED} SELECT sid, count(*) AS words, count(*) FILTER (NOT strict) AS errors, {pct('strict')} AS las FROM j GROUP BY sid ORDER BY las, words, sid LIMIT 20")
+def worst_sentences(spark, d):
+    return scoring.worst_sentences(judged(spark, d), 20)
+
+
+@query(f"""{JUDGED}, s AS (SELECT sid, count(*) AS n, count(*) FILTER (uas) AS u, count(*) FILTER (strict) AS s, count(*) FILTER (label_ok) AS l, bool_and(head <> 0 OR pred_head = 0) AS root FROM j GROUP BY sid)
+  SELECT count(*) AS sentences, round(100.0 * sum(u) / sum(n), 6) AS uas, round(100.0 * sum(s) / sum(n), 6) AS las, round(100.0 * sum(l) / sum(n), 6) AS label_accuracy, round(100.0 * count(*) FILTER (s = n) / count(*), 6) AS exact_trees, round(100.0 * count(*) FILTER (root) / count(*), 6) AS root_accuracy FROM s""")
+def tree_metrics(spark, d):
+    return scoring.tree_metrics(judged(spark, d))
+
+
+@query(f"""{JUDGED}, x AS (SELECT deprel AS label, 1 AS g, 0 AS p, CASE WHEN strict THEN 1 ELSE 0 END AS t FROM j UNION ALL SELECT pred_deprel, 0, 1, 0 FROM j), c AS (SELECT label, CAST(sum(g) AS BIGINT) AS gold, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(t) AS BIGINT) AS tp FROM x GROUP BY label),
+  r AS (SELECT *, coalesce(100.0 * tp / nullif(predicted, 0), 0) AS pr, coalesce(100.0 * tp / nullif(gold, 0), 0) AS re FROM c)
+  SELECT label, gold, predicted, tp, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1 FROM r""")
+def relation_prf(spark, d):
+    return scoring.relation_prf(judged(spark, d))
+
+
+@query(f"{JUDGED} SELECT CASE WHEN strict AND other THEN 'stable_correct' WHEN other THEN 'fixed' WHEN strict THEN 'regressed' ELSE 'persistent_error' END AS change, count(*) AS n FROM j GROUP BY 1")
+def system_change(spark, d):
+    return judged(spark, d).groupBy(scoring.change(F.col("strict"), F.col("other")).alias("change")).agg(F.count("*").alias("n"))
+
+
+@query(f"{JUDGED} SELECT deprel, count(*) AS words, {pct('strict')} AS before, {pct('other')} AS after, round(100 * avg(CASE WHEN other THEN 1.0 ELSE 0.0 END) - 100 * avg(CASE WHEN strict THEN 1.0 ELSE 0.0 END), 6) AS delta, count(*) FILTER (other AND NOT strict) AS fixed, count(*) FILTER (strict AND NOT other) AS regressed FROM j GROUP BY deprel")
+def system_compare(spark, d):
+    return scoring.compare(judged(spark, d), "deprel", "strict", "other")
+
+
+@query(f"{JUDGED} SELECT sid, count(*) AS words, count(*) FILTER (NOT strict) AS errors_before, count(*) FILTER (NOT other) AS errors_after, count(*) FILTER (other AND NOT strict) AS fixed, count(*) FILTER (strict AND NOT other) AS regressed, max(dist) AS max_distance FROM j GROUP BY sid")
+def sentence_review(spark, d):
+    return scoring.sentence_review(judged(spark, d), "strict", "other")
+
+
+@query(f"""{JUDGED}, x AS (SELECT least(tid, head) AS lo, greatest(tid, head) AS hi, sid FROM j), np AS (SELECT DISTINCT p.sid FROM x p JOIN x q ON p.sid = q.sid AND p.lo < q.lo AND q.lo < p.hi AND p.hi < q.hi)
+  SELECT np.sid IS NULL AS projective, count(*) AS words, {pct('uas')} AS uas, {pct('las')} AS las, {pct('strict')} AS strict_las FROM j LEFT JOIN np ON j.sid = np.sid GROUP BY 1""")
+def subgroup_metrics(spark, d):
+    s = surrogate.sentences(spark, d).withColumn("projective", trees.projective(F.transform("words", lambda w: w["head"])))
+    rows = scoring.judged(s.select("sid", "projective", F.inline("words")))
+    return scoring.grouped(rows, "projective")
+
+
+# ---- histories, pivots ---------------------------------------------------------------------------
+
+HISTORY = "h AS (SELECT event_type, date_diff('hour', TIMESTAMP '1970-01-01 00:00:00', ts) AS step, round(avg(value), 6) AS score FROM events GROUP BY 1, 2), b AS (SELECT *, max(score) OVER (PARTITION BY event_type ORDER BY step) AS best FROM h), bs AS (SELECT event_type, step, score, best, min(step) OVER (PARTITION BY event_type, best) AS best_step FROM b)"
+
+
+def history(spark: SparkSession, d: str) -> DataFrame:
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    return table(spark, d, "events").groupBy("event_type", hour.alias("step")).agg(F.round(F.avg("value"), 6).alias("score"))
+
+
+@query(f"WITH {HISTORY} SELECT event_type, step, score, best, best_step FROM bs")
+def running_best(spark, d):
+    return selection.running_best(history(spark, d), "step", "score", "event_type").select("event_type", "step", "score", "best", "best_step")
+
+
+@query(f"WITH {HISTORY}, e AS (SELECT event_type, coalesce(min(step) FILTER (step - best_step >= 24), max(step)) AS stop_step FROM bs GROUP BY event_type) SELECT e.event_type, e.stop_step, bs.best, bs.best_step FROM e JOIN bs ON e.event_type = bs.event_type AND e.stop_step = bs.step")
+def early_stop(spark, d):
+    return selection.early_stop(history(spark, d), "step", "score", 24, "event_type")
+
+
+@query()
+def early_stop_threshold(spark, d):
+    ordered = history(spark, d).groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "score"))), lambda x: x["score"]).alias("scores"))
+    return ordered.select("event_type", selection.early_stop_with_threshold(F.col("scores"), 0.05, 24).alias("x")).select("event_type", "x.*")
+
+
+@query(f"WITH {HISTORY}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, step) AS k FROM h) SELECT event_type, step, score FROM r WHERE k = 1")
+def select_best(spark, d):
+    return selection.select_best(history(spark, d), "score", "step", ["event_type"])
+
+
+@query("SELECT o_orderpriority, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 4) AS f, round(avg(o_totalprice) FILTER (o_orderstatus = 'O'), 4) AS o, round(avg(o_totalprice) FILTER (o_orderstatus = 'F') - avg(o_totalprice) FILTER (o_orderstatus = 'O'), 4) AS delta FROM orders GROUP BY o_orderpriority")
+def method_pivot(spark, d):
+    p = table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O"]).agg(F.avg("o_totalprice"))
+    return p.select("o_orderpriority", F.round("F", 4).alias("f"), F.round("O", 4).alias("o"), F.round(F.col("F") - F.col("O"), 4).alias("delta"))
+
+
+@query("SELECT n_regionkey, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS aliases FROM nation GROUP BY n_regionkey")
+def config_aliases(spark, d):
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("aliases"))
+
+
+# ---- texts -------------------------------------------------------------------------------------------
+
+
+@query()
+def near_duplicates(spark, d):
+    return similarity.near_pairs(table(spark, d, "benchmark"), "item_id", "text")
+
+
+@query("""SELECT x.k AS a, y.k AS b, CAST(levenshtein(x.text, y.text) AS BIGINT) AS edits FROM (SELECT conv_id * 1000 + turn AS k, text FROM conversations) x JOIN (SELECT conv_id * 1000 + turn AS k, text FROM conversations) y
+  ON left(x.text, 8) = left(y.text, 8) AND x.k < y.k AND x.text <> y.text AND abs(length(x.text) - length(y.text)) <= 20 AND levenshtein(x.text, y.text) <= 20""")
+def near_texts_levenshtein(spark, d):
+    t = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
+    return similarity.near_pairs_levenshtein(t, "k", "text", 20, 8)
+
+
+PAIRS = "p AS (SELECT conv_id, min_by(text, turn) FILTER (role = 'assistant') AS hyp, min_by(text, turn) FILTER (role = 'user') AS ref FROM conversations GROUP BY conv_id), q AS (SELECT * FROM p WHERE hyp IS NOT NULL AND ref IS NOT NULL)"
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    side = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
+    return c.groupBy("conv_id").agg(side("assistant").alias("hyp"), side("user").alias("ref")).where("hyp IS NOT NULL AND ref IS NOT NULL")
+
+
+def _ngram_sql(tokens: str, orders: int, joiner: str) -> str:
+    return f"""WITH {PAIRS}, t AS (SELECT conv_id, 'h' AS side, {tokens.format('hyp')} AS w FROM q UNION ALL SELECT conv_id, 'r', {tokens.format('ref')} FROM q), o AS (SELECT CAST(range AS INTEGER) AS n FROM range(1, {orders + 1})),
+  g AS (SELECT conv_id, side, n, unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(list_slice(w, i, i + n - 1), '{joiner}'))) AS g FROM t, o),
+  c AS (SELECT conv_id, n, g, count(*) FILTER (side = 'h') AS h, count(*) FILTER (side = 'r') AS r FROM g GROUP BY conv_id, n, g)
+  SELECT n, CAST(sum(least(h, r)) AS BIGINT) AS matches, CAST(sum(h) AS BIGINT) AS hyp_total, CAST(sum(r) AS BIGINT) AS ref_total FROM c GROUP BY n"""
+
+
+@query(_ngram_sql("list_filter(string_split_regex({}, '[ \\t\\n\\r]+'), lambda x: x <> '')", 4, " "))
+def bleu_counts(spark, d):
+    w = lambda c: F.array_remove(F.split(c, "[ \\t\\n\\r]+"), "")
+    return textmetrics.ngram_counts(pairs(spark, d).select("conv_id", w("hyp").alias("hyp"), w("ref").alias("ref")), "conv_id", "hyp", "ref", 4)
+
+
+@query(_ngram_sql("string_split(regexp_replace({}, '[ \\t\\n\\r]+', '', 'g'), '')", 6, ""))
+def chrf_counts(spark, d):
+    rows = pairs(spark, d).select("conv_id", *[textmetrics.characters(F.col(c)).alias(c) for c in ("hyp", "ref")])
+    return textmetrics.ngram_counts(rows, "conv_id", "hyp", "ref", 6)
+
+
+@query()
+def corpus_scores(spark, d):
+    p = pairs(spark, d).select("conv_id", *[F.array_remove(F.split(c, "[ \\t\\n\\r]+"), "").alias(c) for c in ("hyp", "ref")], *[textmetrics.characters(F.col(c)).alias(f"{c}_c") for c in ("hyp", "ref")])
+    bleu = textmetrics.ngram_counts(p, "conv_id", "hyp", "ref", 4).collect()
+    chrf = textmetrics.ngram_counts(p, "conv_id", "hyp_c", "ref_c", 6).collect()
+    one = next((r for r in bleu if r["n"] == 1), None)
+    score = textmetrics.corpus_bleu(bleu, one["hyp_total"], one["ref_total"]) if one else 0.0
+    return spark.createDataFrame([(round(score, 6), round(textmetrics.corpus_chrf(chrf), 6))], "bleu double, chrf double")
+
+
+_W = "unnest(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> ''))"
+
+
+def doc_words(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.select(*keep, F.explode(F.array_remove(F.split("text", "[ \\t\\n\\r]+"), "")).alias("word"))
+
+
+@query(f"WITH w AS (SELECT DISTINCT {_W} AS item FROM documents) SELECT item, row_number() OVER (ORDER BY item) + 1 AS index FROM w UNION ALL SELECT '<pad>', 0 UNION ALL SELECT '<unk>', 1")
+def vocab_index(spark, d):
+    return selection.vocabulary(doc_words(table(spark, d, "documents")), "word", ("<pad>", "<unk>"))
+
+
+@query(f"WITH {SPLIT}, w AS (SELECT split, {_W} AS word FROM ds), t AS (SELECT DISTINCT word FROM w WHERE split = 'train') SELECT split, count(*) AS words, count(*) FILTER (t.word IS NULL) AS unknown, round(100.0 * count(*) FILTER (t.word IS NULL) / count(*), 6) AS oov_pct FROM w LEFT JOIN t ON w.word = t.word GROUP BY split")
+def oov_rate(spark, d):
+    # one aggregation by word: a word's counts in each split and whether training has it
+    words = doc_words(doc_split(spark, d), "split").groupBy("word", "split").agg(F.count("*").alias("n"))
+    per = words.groupBy("word").agg(F.collect_list(F.struct("split", "n")).alias("x"), F.bool_or(F.col("split") == "train").alias("known"))
+    flat = per.select("known", F.inline("x"))
+    return flat.groupBy("split").agg(F.sum("n").alias("words"), F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0)).alias("unknown"), F.round(100.0 * F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0)) / F.sum("n"), 6).alias("oov_pct"))
+
+
+@query()
+def nested_prefixes(spark, d):
+    return selection.nested_subsets(doc_split(spark, d), "group_id", "source")
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS group_id WHERE 1 = 0")
+def nested_check(spark, d):
+    s = selection.nested_subsets(doc_split(spark, d), "group_id", "source")
+    part = lambda name: s.where(F.col("subset") == name)
+    out = audit.not_contained(part("p010"), part("p025"), "group_id")
+    return out.union(audit.not_contained(part("p025"), part("p050"), "group_id")).union(audit.not_contained(part("p050"), part("p100"), "group_id"))
+
+
+@query()
+def set_cover_sample(spark, d):
+    wrong = judged(spark, d).where("NOT (strict AND other)")
+    kind = scoring.change(F.col("strict"), F.col("other"))
+    f = F.explode(F.array(F.concat(F.lit("distance:"), "bucket"), F.concat(F.lit("change:"), kind), F.concat(F.lit("relation:"), "deprel"))).alias("feature")
+    weight = wrong.groupBy("sid").agg(F.count("*").alias("errors"))
+    return selection.covering_sample(wrong.select("sid", f).distinct().join(weight, "sid"), "sid", "feature", "errors")
+
+
+# ---- CoNLL-U ---------------------------------------------------------------------------------------------
+
+
+def conllu_blocks(spark: SparkSession, d: str) -> DataFrame:
+    s = surrogate.sentences(spark, d)
+    col = lambda n: F.transform("words", lambda w: w[n])
+    text = conllu.from_arrays(F.col("form"), F.col("head"), F.col("deprel"), [F.concat(F.lit("# sent_id = "), F.col("sid").cast("string")), F.concat(F.lit("# parallel_id = p/"), F.col("sid").cast("string"))], upos=F.col("upos"))
+    arrays = s.select("sid", *[col(n).alias(n) for n in ("form", "head", "deprel", "upos")])
+    return arrays.select(F.col("sid").alias("position"), text.alias("block"))
+
+
+@query("SELECT l_orderkey AS sid, count(*) AS words, 'p/' || CAST(l_orderkey AS VARCHAR) AS parallel_id FROM lineitem GROUP BY l_orderkey")
+def conllu_roundtrip(spark, d):
+    s = conllu.sentences(conllu_blocks(spark, d), "strict", normalize=False)
+    return s.select(F.col("sent_id").cast("bigint").alias("sid"), F.size("words").cast("bigint").alias("words"), "parallel_id")
+
+
+@query(f"WITH {A} SELECT deprel, pred_deprel AS substituted, count(*) AS n FROM a GROUP BY deprel, pred_deprel")
+def substitute_columns(spark, d):
+    gold = arcs_a(spark, d).select("sid", "tid", "form", "deprel", F.col("deprel").alias("substituted"))
+    pred = arcs_a(spark, d).select("sid", "tid", "form", F.col("pred_deprel").alias("substituted"))
+    return conllu.substitute(gold, pred, ["sid", "tid"], ["substituted"]).groupBy("deprel", "substituted").agg(F.count("*").alias("n"))
