@@ -121,7 +121,7 @@ def route(patterns: list[tuple[tuple, float]], want: dict, repeats: int = REPEAT
 
 def words(text_col: str = "text"):
     """Number of words of a text, 0 for null: pieces between gaps that aren't empty."""
-    return F.coalesce(F.expr(f"size(filter(split(`{text_col}`, '{GAP}'), x -> x <> ''))").cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.size(F.array_remove(F.split(text_col, GAP, -1), "")).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def mix(sized: DataFrame, id_col: str = "doc_id", size_col: str = "size", sources_col: str = "sources", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
@@ -137,7 +137,7 @@ def mix(sized: DataFrame, id_col: str = "doc_id", size_col: str = "size", source
         F.element_at(sources_col, 1).alias("source"),
     )
     rows = rows.withColumn("pattern", F.to_json("sources", {"ignoreNullFields": "false"})).withColumn("h", F.xxhash64(F.col(id_col), F.lit(seed)))
-    rows = rows.withColumn("bin", F.shiftrightunsigned("h", 64 - BINS.bit_length() + 1).cast("int"))
+    rows = rows.withColumn("bin", (F.shiftright("h", 64 - BINS.bit_length() + 1) + BINS // 2).cast("int"))  # ascends with h
     bins = save(rows.groupBy("pattern", "bin").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")), scratch(spark, "mixing-bins"))
     table = bins.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).collect()
     table.sort(key=lambda r: r.pattern)
