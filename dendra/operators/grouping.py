@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dendra.session import checkpoint
+
 RATIOS = (("train", 0.8), ("dev", 0.9), ("test", 1.0))
 
 
@@ -31,12 +33,12 @@ def duplicate_groups(df: DataFrame, key: Column, member: str, order: str, exact_
 def components(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """(id, component): rows that share any of the keys, transitively; the component is its least id. Least labels spread over keys until nothing changes."""
     links = df.select(id_col, F.explode(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}="), F.col(k).cast("string"))) for k in keys]))).alias("key"))
-    links = links.checkpoint()
-    label = df.select(id_col, F.col(id_col).alias("component")).checkpoint()
+    links = checkpoint(links)
+    label = checkpoint(df.select(id_col, F.col(id_col).alias("component")))
     while True:
         by_key = links.join(label, id_col).groupBy("key").agg(F.min("component").alias("c"))
         near = links.join(by_key, "key").groupBy(id_col).agg(F.min("c").alias("c"))
-        new = label.join(near, id_col, "left").select(id_col, "component", F.least("component", F.coalesce("c", "component")).alias("next")).checkpoint()
+        new = checkpoint(label.join(near, id_col, "left").select(id_col, "component", F.least("component", F.coalesce("c", "component")).alias("next")))
         if new.where("next < component").isEmpty():
             return new.select(id_col, "component")
         label = new.select(id_col, F.col("next").alias("component"))
@@ -89,7 +91,7 @@ def split_by_shuffle(groups: DataFrame, seed: int = 42) -> DataFrame:
 
 def _rank(df: DataFrame, order: str) -> DataFrame:
     """0-based rank by a unique column: ranges sorted in parallel, offsets from the ranges' sizes."""
-    parts = df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id()).checkpoint()
+    parts = checkpoint(df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id()))
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))  # one row per partition
     starts = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
