@@ -21,11 +21,11 @@ def sentences(spark: SparkSession, sf_dir: str, side: str = "a") -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")
     if side == "b":
         rows = rows.where("l_returnflag <> 'N'")
-    surface = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")))
+    surface = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")))
     grouped = rows.groupBy(F.col("l_orderkey").alias("sid")).agg(surface.alias("w"))
 
     def by_rank(w: Column) -> Column:
-        ranked = F.array_sort(F.transform(w, lambda x, i: F.struct(x["l_extendedprice"], x["l_partkey"], x["l_linenumber"], x["l_suppkey"], (i + 1).alias("tid"))))
+        ranked = F.sort_array(F.transform(w, lambda x, i: F.struct(x["l_extendedprice"], x["l_partkey"], x["l_linenumber"], x["l_suppkey"], (i + 1).alias("tid"))))
         return F.transform(ranked, lambda x: x["tid"])
 
     def words(w: Column, order: Column, ranks: Column) -> Column:
