@@ -7,7 +7,7 @@ arcs and no rescan per label.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dendra.functions import expr
@@ -33,13 +33,12 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
-def totals(arcs: DataFrame) -> DataFrame:
-    """One row: words and sentences of each side, from per-sentence partial counts."""
-    per = arcs.groupBy("side", "sid").agg(F.count("*").alias("n"))
-    return per.agg(
-        F.coalesce(F.sum(F.when(F.col("side") == "a", F.col("n"))), F.lit(0)).alias("words_a"), F.coalesce(F.sum(F.when(F.col("side") == "b", F.col("n"))), F.lit(0)).alias("words_b"),
-        _n(F.col("side") == "a").alias("sents_a"), _n(F.col("side") == "b").alias("sents_b"),
-    )
+def with_totals(counts: DataFrame) -> DataFrame:
+    """Adds words and sentences of each side to grouped counts (count_s, firsts_s): sums over the report's own rows, so arcs are read once.
+
+    A sentence is counted by its word 1. The window spans one row per key of the report, never arcs."""
+    w = Window.partitionBy(F.lit(1))
+    return counts.select("*", *[x for s in "ab" for x in (F.sum(f"count_{s}").over(w).alias(f"words_{s}"), F.sum(f"firsts_{s}").over(w).alias(f"sents_{s}"))])
 
 
 def relation_distribution(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -51,12 +50,13 @@ def relation_distribution(a: DataFrame, b: DataFrame) -> DataFrame:
         arc = mine & (F.col("head") != 0)
         aggs += [
             _n(mine).alias(f"count_{s}"),
+            _n(mine & (F.col("tid") == 1)).alias(f"firsts_{s}"),
             _n(arc).alias(f"arcs_{s}"),
             _n(mine & (F.col("direction") == "head_left")).alias(f"left_{s}"),
             _n(mine & (F.col("dist") >= 6)).alias(f"long_{s}"),
             F.sum(F.when(arc, F.col("dist"))).alias(f"dist_{s}"),
         ]
-    rows = arcs.groupBy("deprel").agg(*aggs).crossJoin(F.broadcast(totals(arcs)))  # one row of totals
+    rows = with_totals(arcs.groupBy("deprel").agg(*aggs))
     out = ["deprel"]
     for s in "ab":
         out += [
@@ -75,7 +75,8 @@ def signature_shifts(a: DataFrame, b: DataFrame) -> DataFrame:
     """Counts and rates of (upos, head tag, label, direction, bucket) on both sides, with the absolute difference of the rates per 1000."""
     arcs = both_sides(a, b)
     key = ["upos", "head_upos", "deprel", "direction", "bucket"]
-    rows = arcs.groupBy(*key).agg(_n(F.col("side") == "a").alias("count_a"), _n(F.col("side") == "b").alias("count_b")).crossJoin(F.broadcast(totals(arcs)))
+    first = F.col("tid") == 1
+    rows = with_totals(arcs.groupBy(*key).agg(*[x for s in "ab" for x in (_n(F.col("side") == s).alias(f"count_{s}"), _n((F.col("side") == s) & first).alias(f"firsts_{s}"))]))
     ra, rb = expr.rate(F.col("count_a"), F.col("words_a")), expr.rate(F.col("count_b"), F.col("words_b"))
     return rows.select(*key, "count_a", "count_b", F.round(ra, 6).alias("per_1000_a"), F.round(rb, 6).alias("per_1000_b"), F.round(F.abs(ra - rb), 6).alias("shift"))
 
