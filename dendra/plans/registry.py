@@ -329,7 +329,21 @@ _S = "((a1.sid * 7 + {d} * 13 + {h} * 29 + {d} * {h} * 17) % 101)"
       AND NOT (n >= 2 AND h1.h = 2 AND h2.h = 1) AND NOT (n >= 3 AND h1.h = 3 AND h3.h = 1) AND NOT (n >= 3 AND h2.h = 3 AND h3.h = 2))
   SELECT sid, CAST(max(s) AS BIGINT) AS score FROM t GROUP BY sid""")
 def mst_decode(spark, d):
-    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sid")).agg(F.count("*").cast("int").alias("n")).where("n <= 3")
+    """Orders of at most three items, which the oracle can enumerate; ``mst_decode_all`` decodes every order."""
+    return decoded(order_sizes(spark, d).where("n <= 3"))
+
+
+@query()
+def mst_decode_all(spark, d):
+    return decoded(order_sizes(spark, d))
+
+
+def order_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sid")).agg(F.count("*").cast("int").alias("n"))
+
+
+def decoded(n: DataFrame) -> DataFrame:
+    """(sid, score) of the best tree over n words with the surrogate scores."""
     score = lambda w, h: (F.col("sid") * 7 + w * 13 + h * 29 + w * h * 17) % 101
     matrix = F.transform(F.sequence(F.lit(1), F.col("n")), lambda w: F.transform(F.sequence(F.lit(0), F.col("n")), lambda h: score(w, h).cast("double")))
     # one-element explode: keeps the UDF out of the aggregation's own result list, where Spark doesn't extract it
