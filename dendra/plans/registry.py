@@ -469,7 +469,7 @@ def config_aliases(spark, d):
 
 @query()
 def near_duplicates(spark, d):
-    return similarity.near_pairs(table(spark, d, "benchmark"), "item_id", "text")
+    return similarity.near_pairs(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("""SELECT x.k AS a, y.k AS b, CAST(levenshtein(x.text, y.text) AS BIGINT) AS edits FROM (SELECT conv_id * 1000 + turn AS k, text FROM conversations) x JOIN (SELECT conv_id * 1000 + turn AS k, text FROM conversations) y

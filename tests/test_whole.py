@@ -1,10 +1,11 @@
 """Queries do the whole job: rows that earlier versions left out."""
 
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
-from dendra.operators import trees
+from dendra.operators import similarity, trees
 from dendra.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +22,23 @@ def test_mst_decodes_every_order(spark, tmp_path):
     assert {r.sid: r.score for r in registry.QUERIES["mst_decode_all"](spark, str(tmp_path)).collect()} == want
     orders = spark.read.parquet(f"{SF}/lineitem.parquet").agg(F.count_distinct("l_orderkey")).first()[0]
     assert registry.QUERIES["mst_decode_all"](spark, SF).count() == orders
+
+
+def test_matched_equals_difflib():
+    from difflib import SequenceMatcher
+
+    random.seed(4)
+    for _ in range(400):
+        a, b = ("".join(random.choice("abc") for _ in range(random.randint(1, 60))) for _ in "ab")
+        m = SequenceMatcher(None, a, b, autojunk=False)
+        assert similarity.matched(a, b) == sum(x.size for x in m.get_matching_blocks())
+        assert similarity.longest_match(a, b) == tuple(m.find_longest_match())
+        assert similarity.may_match(a, b, similarity.matched(a, b)) and not similarity.may_match(a, b, min(len(a), len(b)) + 1)
+
+
+def test_near_duplicates_runs_over_documents(spark, tmp_path):
+    text = "the quick brown fox jumps over the lazy dog " * 3
+    rows = [(1, text), (2, text.replace("fox", "cat")), (3, text), (4, "x" + text[9:]), (5, "nothing like it"), (6, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a, r.b) for r in registry.QUERIES["near_duplicates"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2), (2, 3), (1, 4), (2, 4), (3, 4)}
