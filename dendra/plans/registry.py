@@ -475,8 +475,17 @@ def near_duplicates(spark, d):
 @query("""SELECT x.k AS a, y.k AS b, CAST(levenshtein(x.text, y.text) AS BIGINT) AS edits FROM (SELECT conv_id * 1000 + turn AS k, text FROM conversations) x JOIN (SELECT conv_id * 1000 + turn AS k, text FROM conversations) y
   ON left(x.text, 8) = left(y.text, 8) AND x.k < y.k AND x.text <> y.text AND abs(length(x.text) - length(y.text)) <= 20 AND levenshtein(x.text, y.text) <= 20""")
 def near_texts_levenshtein(spark, d):
-    t = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
-    return similarity.near_pairs_levenshtein(t, "k", "text", 20, 8)
+    """Only texts with the same first 8 characters, as its oracle; ``near_texts_edits`` finds all pairs."""
+    return similarity.near_pairs_levenshtein(turns(spark, d), "k", "text", 20, 8)
+
+
+@query()
+def near_texts_edits(spark, d):
+    return similarity.near_pairs_edits(turns(spark, d), "k", "text", 20)
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
 
 
 PAIRS = "p AS (SELECT conv_id, min_by(text, turn) FILTER (role = 'assistant') AS hyp, min_by(text, turn) FILTER (role = 'user') AS ref FROM conversations GROUP BY conv_id), q AS (SELECT * FROM p WHERE hyp IS NOT NULL AND ref IS NOT NULL)"

@@ -42,3 +42,23 @@ def test_near_duplicates_runs_over_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.a, r.b) for r in registry.QUERIES["near_duplicates"](spark, str(tmp_path)).collect()}
     assert got == {(1, 2), (2, 3), (1, 4), (2, 4), (3, 4)}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_near_texts_without_a_prefix(spark, tmp_path):
+    random.seed(6)
+    texts = ["".join(random.choice("abcdé") for _ in range(random.randint(15, 70))) for _ in range(25)]
+    texts += ["q" + t[1:] for t in texts[:8]] + ["new words: " + t for t in texts[:8]] + [texts[0], "", "ab"]
+    rows = [(i // 3, i % 3, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    keyed = [(c * 1000 + t, x) for c, t, _, x in rows]
+    want = sorted((a[0], b[0], e) for a, b in itertools.combinations(keyed, 2) if a[1] != b[1] and (e := edits(a[1], b[1])) <= 20)
+    assert sorted(tuple(r) for r in registry.QUERIES["near_texts_edits"](spark, str(tmp_path)).collect()) == want and want
