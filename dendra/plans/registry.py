@@ -492,11 +492,28 @@ PAIRS = "p AS (SELECT conv_id, min_by(text, turn) FILTER (role = 'assistant') AS
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The first assistant and the first user text of each conversation, as in PAIRS; ``turn_pairs`` has every turn."""
     c = table(spark, d, "conversations")
     side = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
     return c.groupBy("conv_id").agg(side("assistant").alias("hyp"), side("user").alias("ref")).where("hyp IS NOT NULL AND ref IS NOT NULL")
 
 
+def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(id, hyp, ref): the k-th assistant text of a conversation with its k-th user text, for every k that both have."""
+    texts = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text"))))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(texts("assistant").alias("h"), texts("user").alias("r"))
+    rows = c.select("conv_id", F.posexplode(F.slice(F.arrays_zip("h", "r"), F.lit(1), F.least(F.size("h"), F.size("r")))).alias("k", "x"))
+    return rows.select(F.struct("conv_id", "k").alias("id"), F.col("x.h.text").alias("hyp"), F.col("x.r.text").alias("ref")).where("hyp IS NOT NULL AND ref IS NOT NULL")
+
+
+def turn_words(rows: DataFrame) -> DataFrame:
+    return rows.select("id", *[F.array_remove(F.split(c, "[ \\t\\n\\r]+"), "").alias(c) for c in ("hyp", "ref")])
+
+
+def turn_characters(rows: DataFrame) -> DataFrame:
+    return rows.select("id", *[textmetrics.characters(F.col(c)).alias(c) for c in ("hyp", "ref")])
+
+
 def _ngram_sql(tokens: str, orders: int, joiner: str) -> str:
     return f"""WITH {PAIRS}, t AS (SELECT conv_id, 'h' AS side, {tokens.format('hyp')} AS w FROM q UNION ALL SELECT conv_id, 'r', {tokens.format('ref')} FROM q), o AS (SELECT CAST(range AS INTEGER) AS n FROM range(1, {orders + 1})),
   g AS (SELECT conv_id, side, n, unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(list_slice(w, i, i + n - 1), '{joiner}'))) AS g FROM t, o),
@@ -516,11 +533,25 @@ def chrf_counts(spark, d):
     return textmetrics.ngram_counts(rows, "conv_id", "hyp", "ref", 6)
 
 
+TURN_PAIRS = """k AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rank FROM conversations WHERE role IN ('assistant', 'user')),
+  q AS (SELECT struct_pack(c := a.conv_id, k := a.rank) AS conv_id, a.text AS hyp, b.text AS ref FROM k a JOIN k b ON a.conv_id = b.conv_id AND a.rank = b.rank WHERE a.role = 'assistant' AND b.role = 'user' AND a.text IS NOT NULL AND b.text IS NOT NULL)"""
+
+
+@query(ORACLES["bleu_counts"].replace(PAIRS, TURN_PAIRS))
+def bleu_counts_turns(spark, d):
+    return textmetrics.ngram_counts(turn_words(turn_pairs(spark, d)), "id", "hyp", "ref", 4)
+
+
+@query(ORACLES["chrf_counts"].replace(PAIRS, TURN_PAIRS))
+def chrf_counts_turns(spark, d):
+    return textmetrics.ngram_counts(turn_characters(turn_pairs(spark, d)), "id", "hyp", "ref", 6)
+
+
 @query()
 def corpus_scores(spark, d):
-    p = pairs(spark, d).select("conv_id", *[F.array_remove(F.split(c, "[ \\t\\n\\r]+"), "").alias(c) for c in ("hyp", "ref")], *[textmetrics.characters(F.col(c)).alias(f"{c}_c") for c in ("hyp", "ref")])
-    bleu = textmetrics.ngram_counts(p, "conv_id", "hyp", "ref", 4).collect()
-    chrf = textmetrics.ngram_counts(p, "conv_id", "hyp_c", "ref_c", 6).collect()
+    p = turn_pairs(spark, d)
+    bleu = textmetrics.ngram_counts(turn_words(p), "id", "hyp", "ref", 4).collect()
+    chrf = textmetrics.ngram_counts(turn_characters(p), "id", "hyp", "ref", 6).collect()
     one = next((r for r in bleu if r["n"] == 1), None)
     score = textmetrics.corpus_bleu(bleu, one["hyp_total"], one["ref_total"]) if one else 0.0
     return spark.createDataFrame([(round(score, 6), round(textmetrics.corpus_chrf(chrf), 6))], "bleu double, chrf double")

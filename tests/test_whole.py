@@ -62,3 +62,12 @@ def test_near_texts_without_a_prefix(spark, tmp_path):
     keyed = [(c * 1000 + t, x) for c, t, _, x in rows]
     want = sorted((a[0], b[0], e) for a, b in itertools.combinations(keyed, 2) if a[1] != b[1] and (e := edits(a[1], b[1])) <= 20)
     assert sorted(tuple(r) for r in registry.QUERIES["near_texts_edits"](spark, str(tmp_path)).collect()) == want and want
+
+
+def test_every_turn_is_paired(spark, tmp_path):
+    said = [("user", "a b c"), ("assistant", "a b x"), ("system", "s"), ("user", "d"), ("user", "e f"), ("assistant", "d e")]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(said)] + [(2, 0, "user", "alone")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted((r.id.k, r.hyp, r.ref) for r in registry.turn_pairs(spark, str(tmp_path)).collect()) == [(0, "a b x", "a b c"), (1, "d e", "d")]
+    first = next(r for r in registry.QUERIES["bleu_counts_turns"](spark, str(tmp_path)).collect() if r.n == 1)
+    assert (first.matches, first.hyp_total, first.ref_total) == (3, 5, 4)
