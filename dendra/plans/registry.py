@@ -144,9 +144,10 @@ def doc_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_split(spark: SparkSession, d: str) -> DataFrame:
-    """documents with group_key, group_id and split."""
-    groups = grouping.split_by_hash(doc_groups(spark, d)).select("group_key", "group_id", "split")
-    return table(spark, d, "documents").withColumn("group_key", F.sha2("text", 256)).join(groups, "group_key")
+    """documents with group_key, group_id and split; null texts are one group."""
+    groups = grouping.split_by_hash(doc_groups(spark, d)).select(F.col("group_key").alias("key"), "group_id", "split")
+    rows = table(spark, d, "documents").withColumn("group_key", F.sha2("text", 256))
+    return rows.join(groups, F.col("group_key").eqNullSafe(F.col("key"))).drop("key")
 
 
 @query(f"WITH {GROUPS} SELECT group_id, size, first FROM g")

@@ -71,3 +71,12 @@ def test_every_turn_is_paired(spark, tmp_path):
     assert sorted((r.id.k, r.hyp, r.ref) for r in registry.turn_pairs(spark, str(tmp_path)).collect()) == [(0, "a b x", "a b c"), (1, "d e", "d")]
     first = next(r for r in registry.QUERIES["bleu_counts_turns"](spark, str(tmp_path)).collect() if r.n == 1)
     assert (first.matches, first.hyp_total, first.ref_total) == (3, 5, 4)
+
+
+def test_split_keeps_null_texts(spark, tmp_path):
+    rows = [(1, "a b", "en", "s"), (2, None, "en", "s"), (3, None, "de", "t"), (4, "c", "de", "t")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.doc_split(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4]
+    assert len({(r.group_id, r.split) for r in got if r.text is None}) == 1
+    assert sum(r.n for r in registry.QUERIES["split_stats"](spark, str(tmp_path)).collect() if r.dimension == "all") == 4
