@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +83,39 @@ class settings:
     def __exit__(self, *_) -> None:
         for k, v in self.old.items():
             self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
+
+
+_HELD: dict[str, dict] = {}
+
+
+def held(owner: str, key: object, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks, for one operator at a time: another operator's things go first."""
+    if owner not in _HELD:
+        _HELD.clear()
+    kept = _HELD.setdefault(owner, {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches whose worker gives freed memory back when a task begins and ends; workers outlive tasks and stages."""
+
+    @functools.wraps(run)
+    def lighter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return lighter
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it trims by itself
+        pass

@@ -216,9 +216,18 @@ def test_pieces_equal_library(docs, spark):
 
 def test_pieces_backtracking_equals_merging():
     p = pieces.Pieces(open(model(), "rb").read())
-    for _ in range(400):
-        t = "".join(random.choice("abeinrst▁▁.,é中") for _ in range(random.randint(1, 14)))
-        assert p.backtrack(t) == p.merge(t)
+    texts = ["".join(random.choice("abeinrst▁▁.,é中\U0001fab5") for _ in range(random.randint(1, 14))) for _ in range(400)]
+    texts += ["".join(random.choice("aehlnot▁") for _ in range(300)) for _ in range(5)]
+
+    def split(some):  # together they go in step, alone one by one
+        at = np.cumsum([0, *[len(t) + 1 for t in some]])
+        joined = p.gap.join(some)
+        chosen = p.backtrack(p.longest(joined), at[:-1], at[1:] - 1)
+        return [[joined[i : i + p.size[chosen[i]]] for i in range(a, b - 1) if chosen[i] >= 0] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    want = [p.merge(t) for t in texts]
+    assert split(texts) == want
+    assert [split([t])[0] for t in texts[-60:]] == want[-60:]
 
 
 # ---- 4 ---------------------------------------------------------------------------------------------------
