@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -30,18 +31,38 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def buckets_for(df: DataFrame, bytes_per_bucket: int, least: int = 16, most: int = 1 << 20) -> int:
+def buckets_for(df: DataFrame, bytes_per_bucket: int, least: int = 16) -> int:
     """Number of buckets that keeps a bucket's share of the input near a fixed size, so memory per task does not grow with the data."""
-    size = min(input_bytes(df), 1 << 50)
-    return max(least, min(most, -(-size // bytes_per_bucket)))
+    return max(least, -(-min(input_bytes(df), 1 << 56) // bytes_per_bucket))
+
+
+#: Scratch folders that this process has made, in order.
+CREATED: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared checkpoint folder; only where none is configured, one of our own."""
+    """A new folder in the cluster's shared checkpoint folder, inside one of this application that goes when it ends.
+
+    Only a local session may have no such setting; its executors share the machine's own folders."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         top = "file:/tmp/checkpoints"
-    return f"{top.rstrip('/')}/dendra-{name}-{uuid.uuid4().hex}"
+    own = f"{top.rstrip('/')}/dendra-{spark.sparkContext.applicationId}"
+    p, fs = _path(spark, own)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    CREATED.append(f"{own}/{name}-{uuid.uuid4().hex}")
+    return CREATED[-1]
+
+
+def sweep(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Remove the scratch folders made after the first ``since`` of CREATED, but for those to keep."""
+    for path in CREATED[since:]:
+        if path not in keep:
+            remove(spark, path)
+    CREATED[since:] = [path for path in CREATED[since:] if path in keep]
 
 
 def save(df: DataFrame, path: str, **options) -> DataFrame:
@@ -50,10 +71,23 @@ def save(df: DataFrame, path: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finish(df: DataFrame, name: str, since: int) -> DataFrame:
+    """Write a result and remove the scratch folders that were made for it (all after the first ``since`` of CREATED)."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    out = save(df, path)
+    sweep(spark, since, (path,))
+    return out
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -6,7 +6,9 @@ indices and the composed canvas. ``store`` packs arbitrary bytes losslessly: one
 is one pixel index of a 192-wide image, up to ``ROWS`` rows a frame.
 
 Defined cases: null and empty payloads become one unit of spaces (``pad``); null GIF
-bytes give null results; a damaged stream raises ValueError in ``decode``.
+bytes give null results; a damaged or oversized file raises ValueError in ``decode`` and
+gives null results with the reason in ``error`` in ``gif_columns``, so no file fails a job.
+Frames are handed on one at a time: memory holds one canvas, however many there are.
 """
 
 from __future__ import annotations
@@ -21,9 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from dendra.llm.common import lean
+
 UNIT = 192
 ROWS = 128
 DELAY = 4  # hundredths of a second
+#: Larger canvases and images are refused: a header of some bytes may claim four billion pixels.
+MOST_PIXELS = 1 << 26
 
 
 def palette() -> np.ndarray:
@@ -173,49 +179,62 @@ class Frame:
     canvas: np.ndarray  # height x width x 4, composed, alpha 0 where nothing was painted
 
 
+class Reader:
+    """Bytes of a file from front to back; ValueError beyond its end."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def take(self, n: int) -> bytes:
+        part = self.data[self.at : self.at + n]
+        if len(part) < n:
+            raise ValueError("GIF ends early")
+        self.at += n
+        return part
+
+    def chain(self) -> bytes:
+        """Sub-blocks up to the empty one."""
+        parts = []
+        while n := self.take(1)[0]:
+            parts.append(self.take(n))
+        return b"".join(parts)
+
+    def colours(self, flags: int) -> np.ndarray | None:
+        return np.frombuffer(self.take(3 * (2 << (flags & 7))), np.uint8).reshape(-1, 3) if flags & 0x80 else None
+
+
 def decode(data: bytes, compose: bool = True) -> list[Frame]:
     """All frames; compose=False leaves the canvases out."""
-    if data[:6] not in (b"GIF87a", b"GIF89a"):
-        raise ValueError("not a GIF")
-    width, height, flags, _background, _ = struct.unpack("<HHBBB", data[6:13])
-    at, common = 13, None
-    if flags & 0x80:
-        n = 2 << (flags & 7)
-        common, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
-    canvas = np.zeros((height, width, 4), np.uint8) if compose else None
-    frames, delay, disposal, clear_index = [], 0, 0, -1
+    return list(frames(data, compose))
 
-    def chained(at: int) -> tuple[bytes, int]:
-        parts = []
-        while data[at]:
-            parts.append(data[at + 1 : at + 1 + data[at]])
-            at += 1 + data[at]
-        return b"".join(parts), at + 1
 
-    while True:
-        if at >= len(data):
-            raise ValueError("GIF without a trailer")
-        kind = data[at]
-        if kind == 0x3B:
-            return frames
+def frames(data: bytes, compose: bool = True) -> Iterator[Frame]:
+    """The frames one after another. ValueError for whatever isn't a whole GIF."""
+    file = Reader(data)
+    if file.take(6) not in (b"GIF87a", b"GIF89a"):
+        raise ValueError("not a GIF")
+    width, height, flags, _background, _ = struct.unpack("<HHBBB", file.take(7))
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"more than {MOST_PIXELS} pixels")
+    common = file.colours(flags)
+    canvas = np.zeros((height, width, 4), np.uint8) if compose else None
+    delay, disposal, clear_index = 0, 0, -1
+    while (kind := file.take(1)[0]) != 0x3B:
         if kind == 0x21:
-            label = data[at + 1]
-            body, at = chained(at + 2)
+            label, body = file.take(1)[0], file.chain()
             if label == 0xF9 and len(body) >= 4:
                 disposal, delay = body[0] >> 2 & 7, body[1] | body[2] << 8
                 clear_index = body[3] if body[0] & 1 else -1
             continue
         if kind != 0x2C:
             raise ValueError("unknown block")
-        left, top, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
-        at += 10
-        colours = common
-        if flags & 0x80:
-            n = 2 << (flags & 7)
-            colours, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
-        least = data[at]
-        stream, at = chained(at + 1)
-        pixels = np.frombuffer(lzw_decode(stream, least), np.uint8)
+        left, top, w, h, flags = struct.unpack("<HHHHB", file.take(9))
+        own = file.colours(flags)
+        colours = common if own is None else own
+        least = file.take(1)[0]
+        if not 1 <= least <= 8 or w * h > MOST_PIXELS:
+            raise ValueError("unknown code size or too many pixels")
+        pixels = np.frombuffer(lzw_decode(file.chain(), least), np.uint8)
         if len(pixels) < w * h:
             raise ValueError("too few pixels")
         pixels = pixels[: w * h].reshape(h, w)
@@ -240,41 +259,42 @@ def decode(data: bytes, compose: bool = True) -> list[Frame]:
                 area[...] = 0
             elif disposal == 3:
                 canvas = before
-        frames.append(Frame(delay, left, top, pixels, shown))
+        yield Frame(delay, left, top, pixels, shown)
         delay, disposal, clear_index = 0, 0, -1
 
 
-def histogram(frames: list[Frame]) -> np.ndarray:
-    """Painted pixels over all composed frames by 4 levels of red, green and blue: 64 counts."""
-    total = np.zeros(64, np.int64)
-    for f in frames:
-        seen = f.canvas[f.canvas[..., 3] > 0] >> 6
-        total += np.bincount(seen[:, 0].astype(np.int64) * 16 + seen[:, 1] * 4 + seen[:, 2], minlength=64)
-    return total
+def histogram(frame: Frame) -> np.ndarray:
+    """Painted pixels of a composed frame by 4 levels of red, green and blue: 64 counts."""
+    seen = frame.canvas[frame.canvas[..., 3] > 0] >> 6
+    return np.bincount(seen[:, 0].astype(np.int64) * 16 + seen[:, 1] * 4 + seen[:, 2], minlength=64)
 
 
 def gif_columns(df: DataFrame, id_col: str, gif_col: str) -> DataFrame:
-    """One row per GIF: width, height, frames (array of delay, left, top, rows, columns, pixel indices) and colour_histogram."""
+    """One row per GIF: width, height, frames (array of delay, left, top, rows, columns, pixel indices), colour_histogram over all frames, and error (null for a whole GIF)."""
     kind = df.schema[id_col].dataType.simpleString()
     frame = pa.struct([("delay", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("rows", pa.int32()), ("columns", pa.int32()), ("pixels", pa.binary())])
 
+    def read(data: bytes | None) -> tuple:
+        if data is None:
+            return None, None, None, None, None
+        found, total = [], np.zeros(64, np.int64)
+        try:
+            for f in frames(data):
+                found.append(dict(delay=f.delay, left=f.left, top=f.top, rows=f.indices.shape[0], columns=f.indices.shape[1], pixels=f.indices.tobytes()))
+                total += histogram(f)
+        except ValueError as e:
+            return None, None, None, None, str(e)
+        return *struct.unpack("<HH", data[6:10]), found, total.tolist(), None
+
+    kinds = [pa.int32(), pa.int32(), pa.list_(frame), pa.list_(pa.int64()), pa.string()]
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, frames, hist = [], [], []
-            for data in batch.column(1).to_pylist():
-                if data is None:
-                    size.append((None, None)), frames.append(None), hist.append(None)
-                    continue
-                found = decode(data)
-                size.append(struct.unpack("<HH", data[6:10]))
-                frames.append([dict(delay=f.delay, left=f.left, top=f.top, rows=f.indices.shape[0], columns=f.indices.shape[1], pixels=f.indices.tobytes()) for f in found])
-                hist.append(histogram(found).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([w for w, _ in size], pa.int32()), pa.array([h for _, h in size], pa.int32()), pa.array(frames, pa.list_(frame)), pa.array(hist, pa.list_(pa.int64()))],
-                [id_col, "width", "height", "frames", "colour_histogram"],
-            )
-
-    return df.select(id_col, gif_col).mapInArrow(run, f"`{id_col}` {kind}, width int, height int, frames array<struct<delay:int,left:int,top:int,rows:int,columns:int,pixels:binary>>, colour_histogram array<bigint>")
+            columns = zip(*map(read, batch.column(1).to_pylist()), strict=True) if batch.num_rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], [id_col, "width", "height", "frames", "colour_histogram", "error"])
+
+    return df.select(id_col, gif_col).mapInArrow(run, f"`{id_col}` {kind}, width int, height int, frames array<struct<delay:int,left:int,top:int,rows:int,columns:int,pixels:binary>>, colour_histogram array<bigint>, error string")
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
@@ -285,17 +305,21 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """
     kind = df.schema[id_col].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
                 raw = (text or "").encode("utf-8")
                 media = store(pad(raw))
-                frames = decode(media)
-                back = b"".join(f.indices.tobytes() for f in frames)
-                counts = histogram(frames)
-                feature = f"frames={len(frames)};time={sum(f.delay for f in frames)};rgb64=" + ",".join(map(str, counts.tolist()))
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, media if keep_media else None))
+                digest, counts, n, size, time, tail = hashlib.sha256(), np.zeros(64, np.int64), 0, 0, 0, b""
+                for f in frames(media):
+                    part = f.indices.tobytes()
+                    digest.update(part)
+                    counts += histogram(f)
+                    n, size, time, tail = n + 1, size + len(part), time + f.delay, (tail + part)[-16:]
+                feature = f"frames={n};time={time};rgb64=" + ",".join(map(str, counts.tolist()))
+                rows.append((len(raw), size, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, media if keep_media else None))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]

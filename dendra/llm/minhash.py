@@ -10,16 +10,20 @@ an element stops as soon as its step exceeds every register's value.
 3. Signatures are cut into bands. Members of one band bucket are compared by signature
    and size alone; a pair is looked at in its first common band only.
 4. Members with a promising partner get their words; full shingle sets are intersected,
-   and each bucket reports its links as stars to the least member.
+   word by word without hashes, and each bucket reports its links as stars to the least
+   member.
 5. Stars and classes become components (distributed, ``components``).
 
 At similarity 0.8 a pair shares none of 32 bands of 4 registers with probability 5e-8;
 the signature filter drops a true link with probability below 1e-6 (five standard
 deviations). Buckets beyond BLOCK members are compared as pairs of blocks.
 
+Set sizes and classes of equal sets rest on 64-bit hashes of all shingles, which have no
+regular collisions; links rest on the words.
+
 Defined cases: null and empty texts have no set, are linked with nothing and stay; null
-ids are kept without links (component null, kept true); repeated rows of an id share its
-result; other columns are ignored.
+ids are kept without links (component null, kept true), whatever their text; repeated
+rows of an id share its result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendra.llm.common import release, remove, save, scratch
+from dendra.llm.common import CREATED, finish, lean, release, remove, save, scratch
 from dendra.llm.components import components
 from dendra.llm.textgrams import blocks, chained, mix, runs, sequence_hash, sorted_groups, word_hashes
 
@@ -61,6 +65,17 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
+def word_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """The shingle sets by the words themselves: equal shingles of these texts, and no others, have equal numbers."""
+    number: dict[tuple[bytes, ...], int] = {}
+    out = []
+    for t in texts:
+        words = t.split()
+        grams = set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)} if words else set()
+        out.append(np.array([number.setdefault(g, len(number)) for g in grams], np.int64))
+    return out
+
+
 def superminhash(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
     """Signatures (sets x m, uint64: step in the upper half, fraction in the lower); registers of empty sets stay at m << 32."""
     size = np.array([len(x) for x in sets], np.int64)
@@ -87,6 +102,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(id, n, digest, bands, low, words): bands are BANDS 64-bit keys; low is the lowest byte of each register, then the lower halves of the bands; words are compressed."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -138,6 +154,7 @@ def _similar(a_low, b_low, a_n, b_n, percent: int) -> np.ndarray:
 def _promising(percent: int):
     """Rows (key, own, id, n, low) sorted by key -> (key, id) of members with a similar partner whose first common band this is."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, "key"):
             key = table["key"].to_numpy()
@@ -208,6 +225,7 @@ def group_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 def _verify(k: int, percent: int):
     """Rows (key, id, words) sorted by key -> links (a, b): within each key, stars to the least id of each component."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -222,7 +240,7 @@ def _verify(k: int, percent: int):
                 if hi - lo < 2:
                     continue
                 order = lo + np.argsort(ids[lo:hi], kind="stable")
-                sets = shingle_sets([unpack.decompress(texts[i]) for i in order], k)
+                sets = word_sets([unpack.decompress(texts[i]) for i in order], k)
                 for i, j in group_links(sets, percent):
                     a_out.append(ids[order[i]])
                     b_out.append(ids[order[j]])
@@ -234,7 +252,7 @@ def _verify(k: int, percent: int):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row. The id must be an integer; ids are compared as bigint."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, len(CREATED)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = save(sign(source, "id", "text", k), scratch(spark, "minhash-signed"))
     # classes of equal sets; the class's least id carries on
@@ -269,5 +287,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(spark)
     head = classes.join(found, classes["rep"] == found["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "digest").join(head, "digest", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return finish(out, "minhash-result", since)

@@ -5,7 +5,8 @@ flow network carries words from patterns (each further repetition of a document
 more: convex costs) through their sources to the sources' targets. A pattern's flow
 becomes whole passes over its documents plus one seeded prefix: documents in the order
 of a hash, up to the point nearest to the rest of the flow. The prefix sums have two
-levels (hash bins, then rows inside a bin), so no source's rows meet in one task.
+levels (hash bins, then rows inside a bin; about as many bins as rows in a bin), so no
+source's rows meet in one task.
 
 Only the pattern table reaches the driver: one row per combination of sources.
 
@@ -19,16 +20,15 @@ from __future__ import annotations
 import math
 from collections import defaultdict, deque
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendra.llm.common import GAP, save, scratch
+from dendra.llm.common import CREATED, GAP, finish, remove, save, scratch
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 REPEATS = 2
 SEED = 42
-BINS = 4096
 
 
 def targets(sizes: list[float], weights: list[float], total: float, repeats: float = REPEATS) -> list[float]:
@@ -87,7 +87,7 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, float, float]], s: int, t:
 def route(patterns: list[tuple[tuple, float]], want: dict, repeats: int = REPEATS) -> list[float]:
     """Words each pattern (its sources, its size) gives so that sources reach their targets with the fewest repetitions.
 
-    Groups of sources that share no pattern are solved each for itself; a source with one pattern of its own needs no search."""
+    Groups of sources that share no pattern are networks of their own."""
     root: dict = {}
 
     def find(x):
@@ -104,10 +104,6 @@ def route(patterns: list[tuple[tuple, float]], want: dict, repeats: int = REPEAT
         groups[find(sources[0])].append(i)
     flow = [0.0] * len(patterns)
     for members in groups.values():
-        if len(members) == 1 and len(patterns[members[0]][0]) == 1:
-            (source,), size = patterns[members[0]]
-            flow[members[0]] = min(want.get(source, 0.0), repeats * size)
-            continue
         sources = sorted({k for i in members for k in patterns[i][0]}, key=lambda k: (k is None, k))
         at = {k: 1 + len(members) + j for j, k in enumerate(sources)}
         end = 1 + len(members) + len(sources)
@@ -124,11 +120,16 @@ def words(text_col: str = "text"):
     return F.coalesce(F.size(F.array_remove(F.split(text_col, GAP, -1), "")).cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def draw(id_col: str, seed: int) -> Column:
+    """The place of a document in its source's order: 60 bits of a digest of the id and the seed."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed)))), 1, 15), 16, 10).cast("bigint")
+
+
 def mix(sized: DataFrame, id_col: str = "doc_id", size_col: str = "size", sources_col: str = "sources", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
     """sized: (id, size, array of sources). Adds times (0..repeats passes over the document), taken, and for the first source its size and target.
 
     Sources by code point (null last) have the weights in turn; together they get ``share`` of all sizes."""
-    spark = sized.sparkSession
+    spark, since = sized.sparkSession, len(CREATED)
     kind = sized.schema[id_col].dataType
     rows = sized.select(
         F.col(id_col),
@@ -136,8 +137,8 @@ def mix(sized: DataFrame, id_col: str = "doc_id", size_col: str = "size", source
         F.array_sort(F.array_distinct(sources_col)).alias("sources"),
         F.element_at(sources_col, 1).alias("source"),
     )
-    rows = rows.withColumn("pattern", F.to_json("sources", {"ignoreNullFields": "false"})).withColumn("h", F.xxhash64(F.col(id_col), F.lit(seed)))
-    rows = rows.withColumn("bin", (F.shiftright("h", 64 - BINS.bit_length() + 1) + BINS // 2).cast("int"))  # ascends with h
+    rows = rows.withColumn("pattern", F.to_json("sources", {"ignoreNullFields": "false"})).withColumn("h", draw(id_col, seed))
+    rows = rows.withColumn("bin", F.shiftright("h", 60 - (max(4, sized.count().bit_length() // 2))))
     bins = save(rows.groupBy("pattern", "bin").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")), scratch(spark, "mixing-bins"))
     table = bins.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).collect()
     table.sort(key=lambda r: r.pattern)
@@ -163,10 +164,15 @@ def mix(sized: DataFrame, id_col: str = "doc_id", size_col: str = "size", source
     times = F.col("passes") + F.when(prefix, 1).otherwise(0)
     # one row per source: as small as the pattern table that the driver has held
     out = out.join(F.broadcast(known) if len(order) <= 100_000 else known, F.col("source").eqNullSafe(F.col("__source")))
-    return out.select(F.col(id_col).cast(kind), "size", "source_size", "target", times.cast("int").alias("times"), (F.col("size") * times).alias("taken"), "source")
+    out = out.select(F.col(id_col).cast(kind), "size", "source_size", F.round("target", 6).alias("target"), times.cast("int").alias("times"), (F.col("size") * times).alias("taken"), "source")
+    return finish(out, "mixing-result", since)
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """mix() over documents of one source each, sized by their words; the sizes are written once, so texts are read once."""
     sized = docs.select(F.col(id_col), words(text_col).alias("size"), F.array(F.col(source_col)).alias("sources"))
-    return mix(save(sized, scratch(docs.sparkSession, "mixing-sizes")), id_col)
+    path = scratch(docs.sparkSession, "mixing-sizes")
+    out = mix(save(sized, path), id_col)
+    remove(docs.sparkSession, path)
+    CREATED.remove(path)
+    return out

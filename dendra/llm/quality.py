@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dendra.llm import calibration
-from dendra.llm.common import crc_remainder, remove, save, scratch
+from dendra.llm.common import crc_remainder, lean, remove, save, scratch
 
 FOLDS = 5
 #: Labelled rows that a fit may use; the only bound on training data.
@@ -114,6 +114,7 @@ def sample(labels: DataFrame, label: str, usable, bound: int, id_col: str = "doc
 def _partial(df: DataFrame, schema: str, f) -> list:
     """f: (statistics matrix, labels) -> row, once per partition; the rows come to the driver (bounded partitions of a bounded sample)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = [], []
         for b in batches:
@@ -131,6 +132,7 @@ def fit(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     path = scratch(spark, "quality")
 
+    @lean
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = pa.array([statistics(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))
@@ -173,6 +175,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     keep = [id_col] if keep is None else keep
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t) for t in b.column(0).to_pylist()], float).reshape(b.num_rows, N_STATS)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendra.llm.blobs import pack, unpack
-from dendra.llm.common import buckets_for, release, remove, save, scratch, settings
+from dendra.llm.common import CREATED, buckets_for, finish, lean, release, remove, save, scratch, settings
 from dendra.llm.textgrams import blocks, chained, mix, runs, sorted_groups, word_hashes
 
 WINDOW = 13
@@ -115,6 +115,7 @@ def _fingerprint(window: int, buckets: int, groups: int, bits: int):
         other = ~mine
         return rows + hit_rows(doc[other], pos[other], least[other], place[other], groups)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, hashes, lengths, have = [], [], [], 0
         for batch in batches:
@@ -149,6 +150,7 @@ def truncate(h: np.ndarray, bits: int) -> np.ndarray:
 def _merge(buckets: int, groups: int, keep: bool, compact: bool):
     """Rows sorted by key -> RUN rows of new (or all, when compacting) first occurrences, and HIT rows."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, "key"):
             key, kind = table["key"].to_numpy(), table["kind"].to_numpy()
@@ -219,6 +221,7 @@ class FingerprintIndex:
 def _claims(groups: int):
     """Hit blobs sorted by group -> claims (doc, start, n, src, src_start): n neighbouring windows with neighbouring sources."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, "key"):
             key = table["key"].to_numpy()
@@ -243,6 +246,7 @@ def _apply(window: int):
     (id, n_words, n_removed, kept_sha256, checks)."""
     check = pa.struct([("src", pa.int64()), ("src_start", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -316,7 +320,7 @@ def _exact(source: DataFrame, failed: DataFrame, window: int, bits: int) -> Data
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cuts: tuple[float, ...] = CUTS, bits: int = 64) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) per row; documents enter the index in batches of ascending ids, cut at these shares."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, len(CREATED)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     buckets = buckets_for(docs.select(id_col, text_col), BUCKET_BYTES)
     edges = sorted(set(source.approxQuantile("id", list(cuts), 0.01))) if cuts else []
@@ -344,7 +348,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         good = claims.join(wrong, ["src", "src_start", "n"], "left_anti").select("doc", "start", "n")
         true = good.union(hashes_again).select("doc", "start", "n", F.lit(None).cast("bigint").alias("src"), F.lit(None).cast("bigint").alias("src_start"))
         applied = save(_applied(source, true, buckets, window, asked=False), scratch(spark, "substrings-applied"))
-    return applied.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256")
+    return finish(applied.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256"), "substrings-result", since)
 
 
 def _applied(source: DataFrame, claims: DataFrame, groups: int, window: int, asked: bool = True) -> DataFrame:

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dendra.llm.blobs import pack, unpack
-from dendra.llm.common import buckets_for, release, remove, scratch, settings
-from dendra.llm.textgrams import blocks, mix, runs, sorted_groups, tables
+from dendra.llm.common import buckets_for, lean, release, remove, scratch, settings
+from dendra.llm.textgrams import blocks, digits, mix, runs, sorted_groups, tables
 
 LENGTH = 100
 KGRAM = 32
@@ -221,7 +221,7 @@ def anchors(raw: bytes, offsets: np.ndarray, length: int, k: int) -> tuple[np.nd
     if n < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+    np.cumsum(digits(a) * power[:n], out=sums[1:])
     h = mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
     v = h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
     size = 1
@@ -282,6 +282,7 @@ def _find(length: int, k: int, buckets: int):
         rows += _cut(_bucket(known, buckets), KNOWN, known)
         return rows + _cut(_group(doc[again], buckets), FOUND, h[again], doc[again], first[again], more[again])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, have = [], 0
         for batch in batches:
@@ -317,6 +318,7 @@ def _pieces(raw: bytes, offsets: np.ndarray, length: int) -> Iterator[tuple[int,
 def _again(buckets: int):
     """Rows sorted by key -> FOUND rows of the contexts whose anchor occurs again anywhere."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, "key"):
             key, kind = table["key"].to_numpy(), table["kind"].to_numpy()
@@ -360,6 +362,7 @@ def _marks(doc: list[int], start: list[int], size: list[int], groups: int) -> li
 def _contexts(length: int, buckets: int):
     """Per group: texts and their FOUND contexts -> ENTRY rows for shards (contexts with bytes) and FOUND rows (marked ranges)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -459,6 +462,7 @@ def _mark_shard(x: np.ndarray, doc: np.ndarray, first: np.ndarray, bodies: list[
 
 
 def _shards(length: int, buckets: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -491,6 +495,7 @@ def _shards(length: int, buckets: int):
     return run
 
 
+@lean
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per group: texts and marked ranges -> (id, n_bytes, n_removed, n_spans, kept_sha256)."""
     import zstandard
@@ -524,6 +529,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _zipped(groups: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 #: Bytes that are handled at once; bounds memory for any length of text.
 PIECE = 1 << 20
 LONG_WORD = 1 << 16
+#: Longer words are hashed by BLAKE2b: polynomials modulo 2^64 have regular collisions from about a thousand letters on.
+POLYNOMIAL = 256
 
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
@@ -52,6 +54,11 @@ def _spans(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def digits(a: np.ndarray) -> np.ndarray:
+    """Bytes as the digits 1..256 of a polynomial: none is 0, so no two words of any lengths are the same polynomial."""
+    return a.astype(np.uint64) + np.uint64(1)
+
+
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of the words (runs without space and control gaps) of a text of any length."""
     power, inverse = tables()
@@ -70,14 +77,14 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         s, e = _spans(a)
         if len(a) < len(power):
             sums = np.zeros(len(a) + 1, np.uint64)
-            np.cumsum(a * power[: len(a)], out=sums[1:])
-            h = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+            np.cumsum(digits(a) * power[: len(a)], out=sums[1:])
+            h = mix((sums[e] - sums[s]) * inverse[s])
         else:
             h = np.zeros(len(s), np.uint64)
-            for k in np.flatnonzero(e - s < LONG_WORD):
-                w = a[s[k] : e[k]]
-                h[k] = mix(np.array([(w * power[: len(w)]).sum(dtype=np.uint64) + np.uint64(len(w))]))[0]
-        for k in np.flatnonzero(e - s >= LONG_WORD):
+            for k in np.flatnonzero(e - s < POLYNOMIAL):
+                w = digits(a[s[k] : e[k]])
+                h[k] = mix(np.array([(w * power[: len(w)]).sum(dtype=np.uint64)]))[0]
+        for k in np.flatnonzero(e - s >= POLYNOMIAL):
             h[k] = int.from_bytes(hashlib.blake2b(a[s[k] : e[k]].tobytes(), digest_size=8).digest(), "little")
         starts.append(s + at)
         ends.append(e + at)

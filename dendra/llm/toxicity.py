@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dendra.llm import calibration
-from dendra.llm.common import crc_remainder, remove, save, scratch
+from dendra.llm.common import crc_remainder, lean, remove, save, scratch
 from dendra.llm.quality import SEED
 
 FOLDS, HELD = 4, 2
@@ -134,6 +134,7 @@ def sample(labels: DataFrame, label: str, usable, id_col: str = "doc_id") -> Dat
 def contexts(rows: DataFrame) -> DataFrame:
     """(text, y) -> (token, context, y): of each document, each token's first context."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t, c, ys = [], [], []
@@ -199,6 +200,7 @@ def fit(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _evidence(rows: DataFrame, model: Model) -> list[tuple[float, int, int]]:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
@@ -212,6 +214,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     passage = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("by_chance", pa.float64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             evidence, found = [], []

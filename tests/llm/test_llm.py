@@ -388,6 +388,64 @@ def test_gif_texts(docs):
         assert b"".join(f.indices.tobytes() for f in gif.decode(bytes(r.media))) == raw
 
 
+def textbook_lzw(stream, least):
+    bits = "".join(f"{b:08b}"[::-1] for b in stream)
+    clear, at, out, table, old, width = 1 << least, 0, [], {}, None, least + 1
+    while True:
+        code = int(bits[at : at + width][::-1], 2)
+        at += width
+        if code == clear:
+            table = {i: [i] for i in range(clear)} | {clear: None, clear + 1: None}
+            old, width = None, least + 1
+            continue
+        if code == clear + 1:
+            return bytes(out)
+        entry = table[code] if code in table else [*old, old[0]]
+        out += entry
+        if old is not None and len(table) < 4096:
+            table[len(table)] = [*old, entry[0]]
+        old = entry
+        if len(table) == 1 << width and width < 12:
+            width += 1
+
+
+def test_gif_by_a_textbook_decoder():
+    """An independent reader: sub-blocks by hand, LZW bit by bit."""
+    for n in (1, 192, 30_000, 60_000):
+        payload = gif.pad(bytes(random.choice(b"abcdefgh \n\xc3\xa9") for _ in range(n)))
+        data, found = gif.store(payload), b""
+        at = 13 + 3 * 256
+        while data[at] != 0x3B:
+            image = data[at] == 0x2C
+            at += 11 if image else 2
+            least, body = data[at - 1], b""
+            while data[at]:
+                body += data[at + 1 : at + 1 + data[at]]
+                at += 1 + data[at]
+            at += 1
+            if image:
+                found += textbook_lzw(body, least)
+        assert found == payload
+
+
+def test_gif_damage_is_a_value_error(spark):
+    whole = gif.store(gif.pad(b"some text " * 40))
+    rows = [(0, bytearray(whole))]
+    for i in range(300):
+        data = bytearray(whole[: random.randrange(len(whole))] if i % 2 else whole)
+        if i % 2 == 0:
+            for _ in range(3):
+                data[random.randrange(len(data))] = random.randrange(256)
+        rows.append((i + 1, data))
+    for _, data in rows:
+        try:
+            gif.decode(bytes(data))
+        except ValueError:
+            pass
+    got = gif.gif_columns(spark.createDataFrame(rows, "i int, g binary"), "i", "g").collect()
+    assert len(got) == 301 and got[0].error is None and all((r.error is None) == (r.frames is not None) for r in got) and sum(r.error is not None for r in got) > 100
+
+
 def test_lzw_any_width():
     for least in (2, 4, 8):
         for n in (0, 1, 50, 30_000):
