@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendra.llm import minhash, mixing, pieces, quality, secrets
-from dendra.llm.common import documents, labels, release, remove, save, scratch
+from dendra.llm.common import CREATED, documents, labels, release, save, scratch, sweep
 
 #: No SQL: trained scores, signatures and byte-exact piece sequences can't be written in it.
 ORACLE_SQL = None
@@ -42,14 +42,14 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 2 times); the plan is one row per source, so texts aren't shuffled."""
     mixed = mixing.mix_documents(docs)
-    place = F.struct(F.xxhash64("doc_id", F.lit(mixing.SEED)).alias("h"), F.col("doc_id").alias("id"), F.col("size").alias("size"))
+    place = F.struct(mixing.draw("doc_id", mixing.SEED).alias("h"), F.col("doc_id").alias("id"), F.col("size").alias("size"))
     mixed = save(mixed.select("source", "times", place.alias("place")), scratch(spark, "pipeline-mix"))
     ends = mixed.groupBy("source").agg(F.min("times").alias("low"), F.max(F.struct("times", "place")).alias("top"))
     last = ends.select("source", "low", F.col("top.times").alias("high"), F.col("top.place").alias("last"))
     plan = save(last.withColumnRenamed("source", "__s"), scratch(spark, "pipeline-mix-plan"))
     if plan.count() <= 100_000:  # a row per source; beyond that a plain join
         plan = F.broadcast(plan)
-    own = F.struct(F.xxhash64("doc_id", F.lit(mixing.SEED)).alias("h"), F.col("doc_id").alias("id"), mixing.words().alias("size"))
+    own = F.struct(mixing.draw("doc_id", mixing.SEED).alias("h"), F.col("doc_id").alias("id"), mixing.words().alias("size"))
     rows = docs.join(plan, F.col("source").eqNullSafe(F.col("__s")))
     times = F.when(own <= F.col("last"), F.col("high")).otherwise(F.col("low"))
     return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("__again")).select(*docs.columns)
@@ -59,9 +59,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row, with an end id."""
     import public_tokenizers
 
-    rows = pieces.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return pieces.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), columns=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -75,12 +73,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder; intermediate results go once they have been read."""
-    docs, before = documents(spark, sf_dir), None
+    docs, since = documents(spark, sf_dir), len(CREATED)
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
         docs = save(stage(spark, docs, sf_dir), path)
-        if before:
-            remove(spark, before)
+        sweep(spark, since, (path,))
         release(spark)
-        before = path
     return docs
