@@ -80,6 +80,12 @@ def finish(df: DataFrame, name: str, since: int) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Whole texts go to Python in batches of so many rows, unless the session has a number of its own: Spark's 10,000 would be gigabytes of long texts in a worker and beside the JVM's heap."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())

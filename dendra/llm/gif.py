@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from dendra.llm.common import lean
+from dendra.llm.common import lean, small_batches
 
 UNIT = 192
 ROWS = 128
@@ -271,6 +271,7 @@ def histogram(frame: Frame) -> np.ndarray:
 
 def gif_columns(df: DataFrame, id_col: str, gif_col: str) -> DataFrame:
     """One row per GIF: width, height, frames (array of delay, left, top, rows, columns, pixel indices), colour_histogram over all frames, and error (null for a whole GIF)."""
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     frame = pa.struct([("delay", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("rows", pa.int32()), ("columns", pa.int32()), ("pixels", pa.binary())])
 
@@ -303,6 +304,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     Columns: id, n_bytes, payload_bytes, payload_sha256 and tail_crc32 (of the bytes read back), media_bytes,
     media_sha256, feature (frames, total delay and the 64 histogram counts as text), and the GIF itself as ``media`` if asked for.
     """
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     @lean

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendra.llm.common import CREATED, finish, lean, release, remove, save, scratch
+from dendra.llm.common import CREATED, finish, lean, release, remove, save, scratch, small_batches
 from dendra.llm.components import components
 from dendra.llm.textgrams import blocks, chained, mix, runs, sequence_hash, sorted_groups, word_hashes
 
@@ -253,6 +253,7 @@ def _verify(k: int, percent: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row. The id must be an integer; ids are compared as bigint."""
     spark, since = docs.sparkSession, len(CREATED)
+    small_batches(spark)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = save(sign(source, "id", "text", k), scratch(spark, "minhash-signed"))
     # classes of equal sets; the class's least id carries on

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from dendra.llm.common import held, lean
+from dendra.llm.common import held, lean, small_batches
 
 MARK = "▁"
 #: Bytes of the two generations of a worker's memo, and its checked neighbours; they bound memory, not results.
@@ -322,6 +322,7 @@ def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     The model file (under a megabyte) is read on the driver and travels with the plan, so executors need no file.
     """
+    small_batches(df.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
     kind = df.schema[id_col].dataType.simpleString()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dendra.llm import calibration
-from dendra.llm.common import crc_remainder, lean, remove, save, scratch
+from dendra.llm.common import crc_remainder, lean, remove, save, scratch, small_batches
 
 FOLDS = 5
 #: Labelled rows that a fit may use; the only bound on training data.
@@ -130,6 +130,7 @@ def _partial(df: DataFrame, schema: str, f) -> list:
 def fit(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """chosen: (id, y), bounded by sample()."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = scratch(spark, "quality")
 
     @lean
@@ -172,6 +173,7 @@ def fit(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(id, [kept columns], score) for every row; scores are in 0..1, higher: label 1 likelier."""
+    small_batches(docs.sparkSession)
     keep = [id_col] if keep is None else keep
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dendra.llm import calibration
-from dendra.llm.common import crc_remainder, lean, remove, save, scratch
+from dendra.llm.common import crc_remainder, lean, remove, save, scratch, small_batches
 from dendra.llm.quality import SEED
 
 FOLDS, HELD = 4, 2
@@ -160,6 +160,7 @@ def contexts(rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """chosen: (id, y, fold), bounded by sample(), so the broadcast and the collected counts are bounded too."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = scratch(spark, "toxicity")
     rows = save(docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "y", "fold"), path)
     by = contexts(rows.where("fold <> 0").select("text", "y")).groupBy("token").agg(F.count_distinct(F.when(F.col("y") > 0, F.col("context"))).alias("a"), F.count_distinct(F.when(F.col("y") <= 0, F.col("context"))).alias("b"))
@@ -211,6 +212,7 @@ def _evidence(rows: DataFrame, model: Model) -> list[tuple[float, int, int]]:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, passages): passages are the significant segments, as first and last token and expected count by chance."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     passage = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("by_chance", pa.float64())])
 
