@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dendra.llm import gif, minhash, mixing, pieces, quality, rules, secrets, substrings, suffixes, toxicity
 from dendra.llm.common import documents, labels
+from dendra.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,5 +65,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_gif_media": op9_gif_media,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
-
-ORACLES: dict[str, str] = {}

@@ -1,13 +1,18 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Every document gets base statistics of its whole text. Rules compare ratios of them with
-cutoffs; a cutoff is used in a stratum (a language) only if labelled good documents
-prove that it seldom rejects good ones: with n good documents there, k of them beyond
-the cutoff, the exact binomial (Clopper-Pearson) upper bound of the rejection rate must
-stay within the rule's share of ALPHA. All rules, cutoffs and strata are tested together
-at level DELTA (Bonferroni), so with probability 1 - DELTA every stratum loses at most
-ALPHA of its good documents. Of the proven cutoffs of a rule the lowest that rejects
-labelled bad documents is taken; strata without proof have no cutoffs.
+cutoffs. A setting switches some rules on, all at one strictness; it is used in a stratum
+(a language) only if labelled good documents prove that it seldom rejects good ones: of n
+good documents there, k are rejected by any of its rules, and the exact binomial
+(Clopper-Pearson) upper bound of that rate must not exceed ALPHA.
+
+Many settings are tested, so the level DELTA is shared: evenly (Bonferroni) among strata
+and among the sets of rules; inside a set strictness goes up from mild, each step at the
+set's full level, until the first that fails (a fixed sequence). With probability
+1 - DELTA every proven setting loses at most ALPHA of its stratum's good documents,
+whichever is then chosen: the one that rejects most labelled bad documents (then fewest
+good ones, fewest rules, mildest). A proof takes about 150 good documents; strata
+without one have no cutoffs.
 
 Defined cases: null and empty texts have zero counts and fail the base check; a null
 language is a stratum of its own; repeated labels of an id count once, the greatest;
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +36,7 @@ DELTA = 0.05
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of the words
 
-#: rule -> (ratio of base columns, cutoffs that are tried, from strict to mild)
+#: rule -> (ratio of base columns, cutoffs from strict to mild)
 RULES = {
     "symbols_per_word": (("n_symbols", "n_words"), (0.05, 0.1, 0.2, 0.3, 0.5, 0.8)),
     "duplicate_lines": (("n_dup_lines", "n_lines"), (0.1, 0.2, 0.3, 0.5, 0.7)),
@@ -38,6 +44,13 @@ RULES = {
     "word_length": (("word_chars", "n_words"), (7.0, 8.0, 9.0, 10.0, 12.0, 16.0)),
     "capitals": (("n_capitals", "word_chars"), (0.1, 0.2, 0.3, 0.5, 0.7)),
 }
+SETS = [names for n in range(1, len(RULES) + 1) for names in combinations(RULES, n)]
+STEPS = max(len(c) for _, c in RULES.values())
+
+
+def cutoff_at(rule: str, step: int) -> int:
+    """Which of the rule's cutoffs the step (1: mildest) uses; the strictest one stays once it is reached."""
+    return max(0, len(RULES[rule][1]) - step)
 
 
 def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
@@ -92,25 +105,30 @@ def base_failed() -> Column:
 
 
 def choose(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """(stratum, rule) -> cutoff. Only counts per stratum, rule and cutoff reach the driver."""
+    """(stratum, rule) -> cutoff. The driver gets counts by stratum and by how many cutoffs of each rule a document is beyond: at most some ten thousand rows a stratum, however many documents."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.max(label) > 0).alias("good"))
-    rows = stats.where(~base_failed()).join(marked, F.col(id_col) == F.col("__id")).select(stratum(stratum_col).alias("stratum"), "good", *[ratio(r).alias(r) for r in RULES])
-    beyond = [F.struct(F.lit(r).alias("rule"), sum((F.when(F.col(r) > c, 1).otherwise(0) for c in RULES[r][1]), F.lit(0)).alias("beyond")) for r in RULES]
-    counts = rows.select("stratum", "good", F.explode(F.array(*beyond)).alias("x")).groupBy("stratum", "good", "x.rule", "x.beyond").agg(F.count("*").alias("n")).collect()
-    table: dict = defaultdict(lambda: [0] * 7)
+    rows = stats.where(~base_failed()).join(marked, F.col(id_col) == F.col("__id"))
+    beyond = [sum((F.when(ratio(r) > c, 1).otherwise(0) for c in RULES[r][1]), F.lit(0)).alias(r) for r in RULES]
+    counts = rows.select(stratum(stratum_col).alias("stratum"), "good", *beyond).groupBy("stratum", "good", *RULES).agg(F.count("*").alias("n")).collect()
+    by: dict[str, list] = defaultdict(list)
     for r in counts:
-        table[r.stratum, r.rule, r.good].__setitem__(r.beyond, r.n)
-    strata = sorted({r.stratum for r in counts})
-    tests = max(1, len(strata) * sum(len(c) for _, c in RULES.values()))
+        by[r.stratum].append(r)
+    level = delta / max(1, len(by)) / len(SETS)
     out = {}
-    for s in strata:
-        for rule, (_, cutoffs) in RULES.items():
-            good, bad = table[s, rule, True], table[s, rule, False]
-            for j, c in enumerate(cutoffs):  # row value "beyond" > j: beyond cutoff j
-                k, n = sum(good[j + 1 :]), sum(good)
-                if n and sum(bad[j + 1 :]) and binomial_tail(k, n, alpha / len(RULES)) <= delta / tests:
-                    out[s, rule] = c
+    for s, own in by.items():
+        n = sum(r.n for r in own if r.good)
+        proven = []
+        for i, names in enumerate(SETS):
+            for step in range(1, STEPS + 1):
+                hit = [r for r in own if any(r[x] > cutoff_at(x, step) for x in names)]
+                k, bad = sum(r.n for r in hit if r.good), sum(r.n for r in hit if not r.good)
+                if not n or binomial_tail(k, n, alpha) > level:
                     break
+                if bad:
+                    proven.append((-bad, k, len(names), step, i))
+        if proven:
+            *_, step, i = min(proven)
+            out |= {(s, r): RULES[r][1][cutoff_at(r, step)] for r in SETS[i]}
     return out
 
 
@@ -133,4 +151,4 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return verdicts(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken_rules")
+    return verdicts(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("broken_rules", ",").alias("broken_rules"))
