@@ -3,12 +3,16 @@
 Tokens get log-odds between toxic and clean labelled documents under an informative
 Dirichlet prior (the background shares of tokens); a token counts once for each distinct
 context, so copies of a document add nothing. Beside whole words, word beginnings of
-four to eight letters are tokens, for inflected and compound words. Those whose z-score
-passes a fixed limit form the lexicon; a word scores the best of its tokens, any
-other word costs a little. A linear scan finds all maximal
-scoring segments of the whole text; their scores become expected counts under the
-background by extreme-value theory (E = K n exp(-lambda S)), and the document's best
-one is calibrated to a probability on rows kept out of the lexicon.
+four to eight letters are tokens, for inflected and compound words. The lexicon holds the
+tokens whose z-score passes a fixed limit, and the log-odds of words that lean to clean
+text; a word scores its best toxic token, else its own negative log-odds, and a word of
+neither kind costs a little. A linear scan finds all maximal scoring segments of the
+whole text. By extreme-value theory the best one of n background words exceeds S with
+probability 1 - exp(-K n exp(-lambda S)): lambda is the rate at which the background's
+odds balance (sum of p exp(lambda s) = 1), and K is fitted by maximum likelihood to the
+best segments of clean documents (censored where a document has none). So scores become
+chances, and the best one of a document is calibrated to a probability on rows kept out
+of the lexicon.
 
 Defined cases: null and empty texts have no segment and get the score of such texts;
 null ids are kept (held_out null); repeated labels of an id count once, the greatest;
@@ -23,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +43,10 @@ FOLDS, HELD = 4, 2
 MAX_TOXIC, MAX_CLEAN = 3_000, 5_000
 PRIOR = 0.2  # weight of the prior, as a share of all counts
 Z_LIMIT = 3.5  # one-sided: about one token in 4,300 by chance
+Z_CLEAN = 1.0  # words that lean to clean text keep their negative log-odds
 STEMS = range(4, 9)
 MEMO = 500_000
-GAP = 0.05
+GAP = 0.05  # what a word outside the lexicon costs
 MAX_ODDS = 8.0
 SIGNIFICANT = 0.05  # expected count of a segment by chance, below which it is reported
 THRESHOLD = 0.3
@@ -58,7 +64,7 @@ def stems(word: str) -> list[str]:
 
 
 class Odds(dict):
-    """word -> best log-odds of its stems in the lexicon, or None; a bounded memo."""
+    """word -> its score by the lexicon; a bounded memo."""
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
@@ -67,24 +73,26 @@ class Odds(dict):
     def __reduce__(self):
         return Odds, (self.lexicon,)
 
-    def __missing__(self, word: str) -> float | None:
-        value = max((self.lexicon[s] for s in stems(word) if s in self.lexicon), default=None)
+    def __missing__(self, word: str) -> float:
+        found = [self.lexicon[s] for s in stems(word) if s in self.lexicon]
+        best = max(found, default=0.0)
+        value = best if best > 0 else min(self.lexicon.get(word, -GAP), -GAP)
         if len(self) >= MEMO:
             self.clear()
         self[word] = value
         return value
 
 
-def maximal_segments(scores: list[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last, score) of a sequence in which the listed positions have the listed positive
-    scores and all others cost ``gap``; linear in the listed positions."""
+def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, last, score) of a sequence, in linear time: segments are kept with the totals before
+    and after them; a new one joins back to the last that begins lower, if it also ends lower."""
+    totals = list(accumulate(scores, initial=0.0))
     done: list[tuple[int, int, float]] = []
     stack: list[list] = []  # first, last, total before, total after
-    total, at = 0.0, 0
-    for pos, s in scores:
-        total -= gap * (pos - at)
-        new = [pos, pos, total, total + s]
-        total, at = total + s, pos + 1
+    for i, s in enumerate(scores):
+        if s <= 0:
+            continue
+        new = [i, i, totals[i], totals[i + 1]]
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= new[2]:
@@ -101,6 +109,21 @@ def maximal_segments(scores: list[tuple[int, float]], gap: float) -> list[tuple[
     return done + [(a, b, r - l) for a, b, l, r in stack]
 
 
+def balance(shares: list[tuple[float, float]]) -> float:
+    """The positive lambda with sum of share * exp(lambda * score) + rest * exp(-lambda * GAP) = 1."""
+    rest, low, high = max(0.0, 1 - sum(p for p, _ in shares)), 1e-6, 64.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        over = sum(p * math.exp(min(mid * s, 600)) for p, s in shares) + rest * math.exp(-mid * GAP) > 1
+        low, high = (low, mid) if over else (mid, high)
+    return low
+
+
+def fit_k(best: np.ndarray, n: np.ndarray, rate: float, least: float) -> float:
+    """K by maximum likelihood from the best scores of documents of n words; 0, no segment, is known only to be below ``least``. One observation is added to both counts."""
+    return float((best > 0).sum() + 1) / float((n * np.exp(-rate * np.where(best > 0, best, least))).sum() + 1)
+
+
 @dataclass
 class Model:
     odds: Odds
@@ -111,16 +134,26 @@ class Model:
     def passages(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
         """Segments as (first token, last token, expected count by chance), and the number of tokens."""
         found = tokens(text)
-        hits = [(i, s) for i, s in enumerate(map(self.odds.__getitem__, found)) if s is not None]
-        if not hits:
+        scores = [self.odds[w] for w in found]
+        if max(scores, default=0.0) <= 0:
             return [], len(found)
-        return [(a, b, self.k * len(found) * math.exp(-self.rate * s)) for a, b, s in maximal_segments(hits, GAP)], len(found)
+        return [(a, b, self.k * len(found) * math.exp(-self.rate * s)) for a, b, s in maximal_segments(scores)], len(found)
+
+    def best(self, text: str | None) -> tuple[float, int]:
+        """The best segment's score (0: none), and the number of words."""
+        scores = [self.odds[w] for w in tokens(text)]
+        if max(scores, default=0.0) <= 0:
+            return 0.0, len(scores)
+        return max(s for *_, s in maximal_segments(scores)), len(scores)
 
     def evidence(self, text: str | None) -> float:
-        """-ln of the chance that the background alone holds so good a segment; 0 without any."""
-        e = min((e for _, _, e in self.passages(text)[0]), default=math.inf)
-        p = -math.expm1(-e)
-        return -math.log(p) if 0 < p < 1 else (0.0 if p >= 1 else 700.0)
+        return evidence(min((e for *_, e in self.passages(text)[0]), default=math.inf))
+
+
+def evidence(expected: float) -> float:
+    """-ln of the chance that the background alone holds so good a segment; 0 without any."""
+    p = -math.expm1(-expected)
+    return -math.log(p) if 0 < p < 1 else (0.0 if p >= 1 else 700.0)
 
 
 def sample(labels: DataFrame, label: str, usable, id_col: str = "doc_id") -> DataFrame:
@@ -142,7 +175,7 @@ def contexts(rows: DataFrame) -> DataFrame:
                 found = ["", *tokens(text), ""]
                 seen: set[str] = set()
                 for i in range(1, len(found) - 1):
-                    if found[i] in seen or len(found[i]) > 64:
+                    if found[i] in seen:
                         continue
                     context = None
                     for s in stems(found[i]):
@@ -157,57 +190,58 @@ def contexts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "token string, context bigint, y int")
 
 
+def counts(rows: DataFrame) -> DataFrame:
+    """(text, y) -> (token, a, b): distinct contexts in toxic and in clean documents."""
+    return contexts(rows).groupBy("token").agg(F.count_distinct(F.when(F.col("y") > 0, F.col("context"))).alias("a"), F.count_distinct(F.when(F.col("y") <= 0, F.col("context"))).alias("b"))
+
+
 def fit(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """chosen: (id, y, fold), bounded by sample(), so the broadcast and the collected counts are bounded too."""
     spark = docs.sparkSession
     small_batches(spark)
     path = scratch(spark, "toxicity")
     rows = save(docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "y", "fold"), path)
-    by = contexts(rows.where("fold <> 0").select("text", "y")).groupBy("token").agg(F.count_distinct(F.when(F.col("y") > 0, F.col("context"))).alias("a"), F.count_distinct(F.when(F.col("y") <= 0, F.col("context"))).alias("b"))
     sizes = {r.y > 0: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         share = float(next(iter(sizes))) if sizes else 0.5
         remove(spark, path)
         return Model(Odds({}), 1.0, 1.0, (np.array([0.0]), np.array([share])))
-    counts = scratch(spark, "toxicity-counts")
-    by = save(by, counts)
+    counted = scratch(spark, "toxicity-counts")
+    by = save(counts(rows.where("fold <> 0").select("text", "y")), counted)
     total = by.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
     na, nb = float(total.a or 0), float(total.b or 0)
-    prior = F.lit(PRIOR) * (F.col("a") + F.col("b")) 
+    prior = F.lit(PRIOR) * (F.col("a") + F.col("b"))
     a, b = F.col("a") + prior, F.col("b") + prior
     weight = PRIOR * (na + nb)
     odds = F.log(a / (F.lit(na + weight) - a)) - F.log(b / (F.lit(nb + weight) - b))
-    lexicon = by.withColumn("odds", odds).where((F.col("odds") > 0) & (F.col("odds") / F.sqrt(1 / a + 1 / b) >= Z_LIMIT)).select("token", "odds", "b").collect()
-    remove(spark, counts)
-    table = {r.token: min(r.odds, MAX_ODDS) for r in lexicon}
-    # the background: how often each lexicon token turns up in clean text
-    shares = [((r.b + 0.5) / (nb + 0.5 * len(lexicon) + 1), table[r.token]) for r in lexicon]
-    rest = 1 - sum(p for p, _ in shares)
-    low, high = 1e-6, 64.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        over = sum(p * math.exp(min(mid * s, 600)) for p, s in shares) + rest * math.exp(-mid * GAP) > 1
-        low, high = (low, mid) if over else (mid, high)
-    model = Model(Odds(table), low, 1.0, (np.array([0.0]), np.array([0.5])))
-    # K: the count of clean documents with a segment, over the count expected with K = 1
-    best = _evidence(rows.where("fold <> 0 and y <= 0"), model)
-    seen, expected = sum(e > 0 for e, _, _ in best), sum(n * math.exp(-model.rate * min(table.values(), default=1.0)) for _, _, n in best)
-    model.k = (seen + 1) / (expected + 1)
-    pairs = _evidence(rows.where("fold = 0"), model) or _evidence(rows, model)
+    lexicon = by.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / a + 1 / b)).where((F.col("z") >= Z_LIMIT) | ((F.col("z") <= -Z_CLEAN) & ~F.endswith("token", F.lit("-")))).select("token", "odds", "b").collect()
+    remove(spark, counted)
+    table = {r.token: max(-MAX_ODDS, min(r.odds, MAX_ODDS)) for r in lexicon}
+    model = Model(Odds(table), 1.0, 1.0, (np.array([0.0]), np.array([0.5])))
+    least = min((s for s in table.values() if s > 0), default=1.0)
+    clean = _best(rows.where("fold <> 0 and y <= 0"), model)
+    best, n = np.array([x[0] for x in clean]), np.array([float(x[2]) for x in clean])
+    # the background: how often the tokens turn up in clean text
+    model.rate = balance([((r.b + 0.5) / (nb + 0.5 * len(lexicon) + 1), table[r.token]) for r in lexicon])
+    model.k = fit_k(best, n, model.rate, least)
+    pairs = _best(rows.where("fold = 0"), model) or _best(rows, model)
+    chance = [evidence(model.k * n * math.exp(-model.rate * s) if s > 0 else math.inf) for s, _, n in pairs]
     # both classes were sampled; the knots speak of the sample's shares
-    model.knots = calibration.isotonic(np.array([e for e, _, _ in pairs]), np.array([y for _, y, _ in pairs]))
+    model.knots = calibration.isotonic(np.array(chance), np.array([y for _, y, _ in pairs]))
     remove(spark, path)
     return model
 
 
-def _evidence(rows: DataFrame, model: Model) -> list[tuple[float, int, int]]:
+def _best(rows: DataFrame, model: Model) -> list[tuple[float, int, int]]:
+    """(best score, label, words) of the rows of a bounded sample."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([model.evidence(t) for t in texts], pa.float64()), b.column(1), pa.array([len(tokens(t)) for t in texts], pa.int64())], ["e", "y", "n"])
+            found = [model.best(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.float64()), b.column(1), pa.array([n for _, n in found], pa.int64())], ["s", "y", "n"])
 
-    return [(r.e, r.y, r.n) for r in rows.select("text", "y").mapInArrow(run, "e double, y int, n bigint").collect()]
+    return [(r.s, r.y, r.n) for r in rows.select("text", "y").mapInArrow(run, "s double, y int, n bigint").collect()]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,14 +253,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            evidence, found = [], []
+            chances, found = [], []
             for t in b.column(0).to_pylist():
                 segments, _ = model.passages(t)
-                e = min((x for _, _, x in segments), default=math.inf)
-                p = -math.expm1(-e)
-                evidence.append(-math.log(p) if 0 < p < 1 else (0.0 if p >= 1 else 700.0))
+                chances.append(evidence(min((x for _, _, x in segments), default=math.inf)))
                 found.append([dict(first=x, last=y, by_chance=z) for x, y, z in segments if z <= SIGNIFICANT])
-            s = np.clip(calibration.apply(np.array(evidence), model.knots), 0, 1)
+            s = np.clip(calibration.apply(np.array(chances), model.knots), 0, 1)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(s, pa.float64()), pa.array(found, pa.list_(passage))], [id_col, "score", "passages"])
 
     return docs.select(F.col(text_col).alias("__text"), id_col).mapInArrow(run, f"`{id_col}` {kind}, score double, passages array<struct<first:bigint,last:bigint,by_chance:double>>")

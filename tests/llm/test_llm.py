@@ -303,9 +303,9 @@ def test_toxicity_held_out_and_passages(spark):
 
 
 def test_maximal_segments():
-    listed = [(0, 4.0), (5, 3.0), (6, 3.0), (30, 2.0)]
-    assert toxicity.maximal_segments(listed, 0.5) == [(0, 6, 8.0), (30, 30, 2.0)]
-    assert toxicity.maximal_segments([], 0.5) == []
+    listed = {0: 4.0, 5: 3.0, 6: 3.0, 30: 2.0}
+    assert toxicity.maximal_segments([listed.get(i, -0.5) for i in range(40)]) == [(0, 6, 8.0), (30, 30, 2.0)]
+    assert toxicity.maximal_segments([]) == []
 
 
 def test_isotonic():
