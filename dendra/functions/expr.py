@@ -116,23 +116,25 @@ def rate(part: Column, whole: Column, per: float = 1000.0) -> Column:
     return F.try_divide(per * part, whole)
 
 
-def segments(ids: Column, separator: int, specials: tuple[int, ...] = ()) -> Column:
-    """Struct of words (arrays of ids between separators, special ids dropped), the number of empty ones, and whether none is empty."""
+def segments(ids: Column, separators: tuple[int, ...], end: int, specials: tuple[int, ...] = ()) -> Column:
+    """Struct of words (arrays of ids between separators, special ids left out), separators, empty_segments, ended, and well_formed: ended without an empty segment. No ids at all are no segments, not an empty one."""
     kept = F.filter(ids, lambda x: ~x.isin(list(specials))) if specials else ids
-    begin = F.struct(F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("now"))
-
-    def step(a: Column, x: Column) -> Column:
-        cut = x == separator
-        return F.struct(F.when(cut, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"), F.when(cut, F.array().cast("array<int>")).otherwise(F.concat(a["now"], F.array(x.cast("int")))).alias("now"))
-
-    every = F.aggregate(kept, begin, step, lambda a: F.concat(a["done"], F.array(a["now"])))
-    empty = F.size(F.filter(every, lambda w: F.size(w) == 0))
-    return F.struct(F.filter(every, lambda w: F.size(w) > 0).alias("words"), empty.alias("empty_segments"), (empty == 0).alias("well_formed"))
-
-
-def boundary_positions(ids: Column, separator: int) -> Column:
-    """0-based places of the separators."""
-    return F.filter(F.transform(ids, lambda x, i: F.when(x == separator, i)), lambda i: i.isNotNull())
+    cuts = F.filter(F.transform(kept, lambda x, i: F.when(x.isin(list(separators)), i)), lambda i: i.isNotNull())
+    begins = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda i: i + 1))
+    ends = F.concat(cuts, F.array(F.size(kept)))
+    parts = F.zip_with(begins, ends, lambda a, b: F.slice(kept, a + 1, b - a))
+    parts = F.when(F.size(kept) > 0, parts).otherwise(F.array().cast("array<array<int>>"))
+    empty = F.size(F.filter(parts, lambda w: F.size(w) == 0))
+    ended = F.array_contains(ids, end)
+    return F.struct(F.filter(parts, lambda w: F.size(w) > 0).alias("words"), F.size(cuts).alias("separators"), empty.alias("empty_segments"), ended.alias("ended"), (ended & (empty == 0)).alias("well_formed"))
+
+
+def boundary_positions(ids: Column, separator: int, end: int, words: Column) -> Column:
+    """0-based places after which words end: every separator, then the first end id behind them. Null unless there are words - 1 separators and such an end."""
+    at = lambda value: F.filter(F.transform(ids, lambda x, i: F.when(x == value, i)), lambda i: i.isNotNull())
+    seps = at(separator)
+    last = F.array_min(F.filter(at(end), lambda i: i > F.coalesce(F.array_max(seps), F.lit(-1))))
+    return F.when((F.size(seps) == words - 1) & last.isNotNull(), F.concat(seps, F.array(last)))
 
 
 def with_fallback(value: Column, known: Column, fallback: str) -> Column:

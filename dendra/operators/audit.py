@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dendra.operators import trees
@@ -10,10 +10,12 @@ from dendra.operators import trees
 
 def parallel_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """1:1 join on a key that is unique and complete on both sides; anything else fails the query (columns of b get the suffix _b)."""
-    both = a.select("*", F.lit(1).alias("__a")).join(b.select(F.col(key), *[F.col(c).alias(f"{c}_b") for c in b.columns if c != key], F.lit(1).alias("__b")), key, "full")
-    counted = both.join(both.groupBy(key).agg(F.count("*").alias("__n")), key)
-    ok = (F.col("__n") == 1) & F.col("__a").isNotNull() & F.col("__b").isNotNull()
-    return counted.where(F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit(f"{key} is not 1:1: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean"))).drop("__a", "__b", "__n")
+    w = Window.partitionBy(key)  # the join's own partitioning: counting adds no shuffle
+    left = a.withColumn("__na", F.count("*").over(w))
+    right = b.select(F.col(key), *[F.col(c).alias(f"{c}_b") for c in b.columns if c != key]).withColumn("__nb", F.count("*").over(w))
+    ok = (F.col("__na") == 1) & (F.col("__nb") == 1)
+    fault = F.raise_error(F.concat(F.lit(f"{key} is not 1:1: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return left.join(right, key, "full").where(F.when(ok, True).otherwise(fault).cast("boolean")).drop("__na", "__nb")
 
 
 def parallel_exclusions(a: DataFrame, b: DataFrame, key: str, keep_a: list[str], keep_b: list[str]) -> DataFrame:

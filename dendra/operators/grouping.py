@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from dendra.session import checkpoint
 
+#: Rows or groups that a seeded list shuffle may have: the driver holds the list. Beyond it split_by_hash is the way.
+MOST_SHUFFLED = 20_000_000
 RATIOS = (("train", 0.8), ("dev", 0.9), ("test", 1.0))
 
 
@@ -78,17 +80,23 @@ def split_by_shuffle(groups: DataFrame, seed: int = 42) -> DataFrame:
 
     The permutation depends on the seed and the number of groups only; the driver holds one number per group (as the list would)."""
     n = groups.count()
-    order = list(range(n))
-    random.Random(seed).shuffle(order)
-    spark = groups.sparkSession
-    # group at place order[i] of the sorted list comes i-th
-    places = spark.createDataFrame([(g, i) for i, g in enumerate(order)], "rank bigint, place bigint")
+    places = _shuffled(groups, n, seed)
     ranked = _rank(groups, "first")
-    rows = ranked.join(places, "rank").withColumn("__order", F.lpad(F.hex("place"), 12, "0"))
-    rows = prefix_sums(rows, "__order", "size", bins=9)
+    width = len(f"{n:x}")
+    rows = ranked.join(places, "rank").withColumn("__order", F.lpad(F.hex("place"), width, "0"))
+    rows = prefix_sums(rows, "__order", "size", bins=-(-width // 2))  # as many ranges as rows in a range
     return rows.withColumn("split", by_midpoint(F.col("before"), F.col("size"), F.col("total"))).drop("__order", "before", "total", "rank", "place")
 
 
+def _shuffled(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """(rank, place): the row at place order[i] of a sorted list comes i-th, as random.Random(seed).shuffle has it. ValueError beyond MOST_SHUFFLED rows."""
+    if n > MOST_SHUFFLED:
+        raise ValueError(f"{n} rows are too many for a list shuffle; split by hash instead")
+    order = list(range(n))
+    random.Random(seed).shuffle(order)
+    return df.sparkSession.createDataFrame([(g, i) for i, g in enumerate(order)], "rank bigint, place bigint")
+
+
 def _rank(df: DataFrame, order: str) -> DataFrame:
     """0-based rank by a unique column: ranges sorted in parallel, offsets from the ranges' sizes."""
     parts = checkpoint(df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id()))
@@ -101,9 +109,7 @@ def _rank(df: DataFrame, order: str) -> DataFrame:
 def split_simple(df: DataFrame, order: str, seed: int = 42, train: float = 0.8, dev: float = 0.1) -> DataFrame:
     """Rows (no groups) in shuffled order: int(train * n), int(dev * n), rest test."""
     n = df.count()
-    places = list(range(n))
-    random.Random(seed).shuffle(places)
-    table = df.sparkSession.createDataFrame([(g, i) for i, g in enumerate(places)], "rank bigint, place bigint")
+    table = _shuffled(df, n, seed)
     a, b = int(train * n), int(train * n) + int(dev * n)
     rows = _rank(df, order).join(table, "rank")
     return rows.withColumn("split", F.when(F.col("place") < a, "train").when(F.col("place") < b, "dev").otherwise("test")).drop("rank", "place")

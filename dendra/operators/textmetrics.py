@@ -50,6 +50,8 @@ def ngram_counts(pairs: DataFrame, id_col: str, hyp: str, ref: str, orders: int)
 def corpus_bleu(counts: list, hyp_length: int, ref_length: int, orders: int = 4) -> float:
     """Percent, from rows of ngram_counts on the driver (one per order)."""
     by = {r["n"]: r for r in counts}
+    if not any(r["matches"] for r in counts):
+        return 0.0  # smoothing speaks only of orders beside a match
     logs, smooth = 0.0, 1.0
     for n in range(1, orders + 1):
         r = by.get(n)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendra.functions import expr
-from dendra.operators import audit, distributions, grouping, scoring, selection, similarity, textmetrics, trees
+from dendra.operators import audit, distributions, grouping, reports, scoring, selection, similarity, textmetrics, trees
 from dendra.plans import surrogate
 from dendra.plans.surrogate import arcs_sql
 from dendra.sources import conllu
@@ -133,14 +133,16 @@ def distance_buckets(spark, d):
 
 # ---- groups and splits ------------------------------------------------------------------
 
+#: The published ids name a group after all its members; the split names it after its first, so that no group is gathered.
 GROUPS = "g AS (SELECT text, 'grp-' || substr(sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)), 1, 16) AS group_id, count(*) AS size, min(doc_id) AS first FROM documents GROUP BY text)"
-SPLIT = f"""{GROUPS}, o AS (SELECT *, coalesce(sum(size) OVER (ORDER BY sha256('42:' || group_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle, sum(size) OVER () AS total FROM g),
+NAMED = "g AS (SELECT text, 'grp-' || substr(sha256(CAST(min(doc_id) AS VARCHAR)), 1, 16) AS group_id, count(*) AS size, min(doc_id) AS first FROM documents GROUP BY text)"
+SPLIT = f"""{NAMED}, o AS (SELECT *, coalesce(sum(size) OVER (ORDER BY sha256('42:' || group_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle, sum(size) OVER () AS total FROM g),
   sp AS (SELECT text, group_id, size, first, CASE WHEN CAST(middle AS DOUBLE) <= CAST(0.8 AS DOUBLE) * CAST(total AS DOUBLE) THEN 'train' WHEN CAST(middle AS DOUBLE) <= CAST(0.9 AS DOUBLE) * CAST(total AS DOUBLE) THEN 'dev' ELSE 'test' END AS split FROM o),
-  ds AS (SELECT d.doc_id, d.text, d.lang, d.source, sp.group_id, sp.split FROM documents d JOIN sp ON d.text = sp.text)"""
+  ds AS (SELECT d.doc_id, d.text, d.lang, d.source, sp.group_id, sp.split FROM documents d JOIN sp ON d.text IS NOT DISTINCT FROM sp.text)"""
 
 
-def doc_groups(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.duplicate_groups(table(spark, d, "documents"), F.sha2("text", 256), "doc_id", "doc_id")
+def doc_groups(spark: SparkSession, d: str, exact_id: bool = False) -> DataFrame:
+    return grouping.duplicate_groups(table(spark, d, "documents"), F.sha2("text", 256), "doc_id", "doc_id", exact_id)
 
 
 def doc_split(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +154,7 @@ def doc_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {GROUPS} SELECT group_id, size, first FROM g")
 def duplicate_groups(spark, d):
-    return doc_groups(spark, d).select("group_id", "size", "first")
+    return doc_groups(spark, d, exact_id=True).select("group_id", "size", "first")
 
 
 @query(f"WITH {SPLIT} SELECT group_id, size, split FROM sp")
@@ -186,6 +188,22 @@ def split_leak_check(spark, d):
     return grouping.split_violations(doc_split(spark, d), "doc_id", "group_key")
 
 
+#: A split of rows instead of groups: copies fall apart, and some rows stand in it twice.
+CARELESS = "CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'dev' ELSE 'test' END"
+
+
+@query(f"""WITH {NAMED}, d AS (SELECT doc_id, documents.text, group_id, {CARELESS} AS split FROM documents JOIN g ON documents.text IS NOT DISTINCT FROM g.text),
+  x AS (SELECT * FROM d UNION ALL SELECT doc_id, text, group_id, 'dev' FROM d WHERE doc_id % 97 = 0)
+  SELECT 'member_twice' AS "check", CAST(doc_id AS VARCHAR) AS value FROM x GROUP BY doc_id HAVING count(*) > 1
+  UNION ALL SELECT 'key_in_two_splits', sha256(text) FROM x GROUP BY text HAVING count(DISTINCT split) > 1
+  UNION ALL SELECT 'group_in_two_splits', group_id FROM x GROUP BY group_id HAVING count(DISTINCT split) > 1""")
+def split_faults(spark, d):
+    """The checks of split_leak_check over a split that breaks all of them."""
+    rows = doc_split(spark, d).withColumn("split", F.expr(CARELESS))
+    rows = rows.unionByName(rows.where("doc_id % 97 = 0").withColumn("split", F.lit("dev")))
+    return grouping.split_violations(rows, "doc_id", "group_key")
+
+
 @query(f"WITH {SPLIT}, l AS (SELECT source || '/' || lang || '/' || CAST(length(text) // 500 AS VARCHAR) AS label, split FROM ds) SELECT DISTINCT split, label FROM l WHERE label IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l t WHERE t.label = l.label AND t.split = 'train')")
 def unseen_labels(spark, d):
     rows = doc_split(spark, d).withColumn("label", F.concat("source", F.lit("/"), "lang", F.lit("/"), F.floor(F.char_length("text") / 500).cast("string")))
@@ -314,28 +332,22 @@ def transition_roundtrip(spark, d):
     return heads(spark, d).select("sid", trees.roundtrip_col("heads", "labels").alias("same")).where("NOT same").select("sid")
 
 
+@query(f"WITH {A} SELECT sid, string_agg(CAST(head AS VARCHAR), '-' ORDER BY tid) AS heads, string_agg(deprel, ' ' ORDER BY tid) AS labels FROM a GROUP BY sid")
+def derived_trees(spark, d):
+    """The trees that the derived transitions build when they are replayed."""
+    rows = heads(spark, d).select("sid", trees.derived_col("heads", "labels").alias("x"))
+    return rows.select("sid", "x.heads", "x.labels")
+
+
 @query()
 def swap_stats(spark, d):
     rows = heads(spark, d).select(F.size(F.filter(trees.actions_col("heads", "labels"), lambda a: a == trees.SWAP)).alias("n"))
     return rows.agg(F.count_if(F.col("n") > 0).alias("sentences"), F.sum("n").alias("total"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
 
 
-_S = "((a1.sid * 7 + {d} * 13 + {h} * 29 + {d} * {h} * 17) % 101)"
-
-
-@query(f"""WITH n AS (SELECT l_orderkey AS sid, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) <= 3), h AS (SELECT * FROM (VALUES (0), (1), (2), (3)) t(h)),
-  t AS (SELECT a1.sid, {_S.format(d=1, h='h1.h')} + CASE WHEN n >= 2 THEN {_S.format(d=2, h='h2.h')} ELSE 0 END + CASE WHEN n >= 3 THEN {_S.format(d=3, h='h3.h')} ELSE 0 END AS s
-    FROM n a1 JOIN h h1 ON h1.h <= n AND h1.h <> 1 JOIN h h2 ON CASE WHEN n >= 2 THEN h2.h <= n AND h2.h <> 2 ELSE h2.h = 3 END JOIN h h3 ON CASE WHEN n >= 3 THEN h3.h <= n AND h3.h <> 3 ELSE h3.h = 2 END
-    WHERE (CASE WHEN h1.h = 0 THEN 1 ELSE 0 END) + (CASE WHEN n >= 2 AND h2.h = 0 THEN 1 ELSE 0 END) + (CASE WHEN n >= 3 AND h3.h = 0 THEN 1 ELSE 0 END) = 1
-      AND NOT (n >= 2 AND h1.h = 2 AND h2.h = 1) AND NOT (n >= 3 AND h1.h = 3 AND h3.h = 1) AND NOT (n >= 3 AND h2.h = 3 AND h3.h = 2))
-  SELECT sid, CAST(max(s) AS BIGINT) AS score FROM t GROUP BY sid""")
-def mst_decode(spark, d):
-    """Orders of at most three items, which the oracle can enumerate; ``mst_decode_all`` decodes every order."""
-    return decoded(order_sizes(spark, d).where("n <= 3"))
-
-
 @query()
-def mst_decode_all(spark, d):
+def mst_decode(spark, d):
+    """Every order; no SQL can try all trees of its larger ones, a test does for up to five items."""
     return decoded(order_sizes(spark, d))
 
 
@@ -423,6 +435,83 @@ def subgroup_metrics(spark, d):
     return scoring.grouped(rows, "projective")
 
 
+# ---- ordered reports ------------------------------------------------------------------------------
+
+
+def _top(sql: str, order: str, top: int) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS rank FROM ({sql})) WHERE rank <= {top}"
+
+
+@query(_top(ORACLES["relation_distribution"], "abs(per_sentence_difference) DESC NULLS LAST, deprel", 10))
+def top_relations(spark, d):
+    return reports.ranked(distributions.relation_distribution(*sides(spark, d)), reports.relation_order(), 10)
+
+
+@query(_top(ORACLES["signature_shifts"], "shift DESC NULLS LAST, upos, head_upos, deprel, direction, bucket", 25))
+def top_signatures(spark, d):
+    return reports.ranked(distributions.signature_shifts(*sides(spark, d)), reports.signature_order(), 25)
+
+
+@query(_top(ORACLES["sentence_shifts"], "js_bits DESC NULLS LAST, abs(words_a - words_b) DESC, CAST(sid AS VARCHAR)", 25))
+def top_pairs(spark, d):
+    return reports.ranked(distributions.sentence_shifts(*sides(spark, d)), reports.pair_order("sid"), 25)
+
+
+@query(_top("SELECT 'p/' || CAST(l_orderkey AS VARCHAR) AS parallel_id, count(*) AS words FROM lineitem GROUP BY l_orderkey", "CAST(split_part(parallel_id, '/', 2) AS BIGINT), parallel_id", 25))
+def first_pairs(spark, d):
+    rows = table(spark, d, "lineitem").groupBy(F.concat(F.lit("p/"), F.col("l_orderkey").cast("string")).alias("parallel_id")).agg(F.count("*").alias("words"))
+    return reports.ranked(rows, reports.numeric_order("parallel_id"), 25)
+
+
+@query(_top(ORACLES["confusion"], "n DESC, gold_deprel, pred_deprel", 20))
+def top_confusions(spark, d):
+    return reports.ranked(scoring.confusion(judged(spark, d)), reports.confusion_order(), 20)
+
+
+@query(_top(ORACLES["las_by_relation"], "las, words DESC, deprel", 20))
+def worst_relations(spark, d):
+    return reports.ranked(scoring.grouped(judged(spark, d), "deprel"), reports.worst_relation_order(), 20)
+
+
+@query(_top(ORACLES["las_by_relation"], "words DESC, deprel", 20))
+def relations_by_support(spark, d):
+    return reports.ranked(scoring.grouped(judged(spark, d), "deprel"), reports.support_order(), 20)
+
+
+#: A second system, and predicted tags and tokens, by rule.
+SECOND = "(sid + tid) % 4 <> 0"
+TAG = "CASE WHEN (sid + tid) % 5 = 0 THEN 'X' ELSE upos END"
+TOKEN = "CASE WHEN sid % 3 = 0 AND tid = 2 THEN '?' ELSE form END"
+
+
+@query(f"""{JUDGED} SELECT count(*) AS words, {pct(f"({TAG}) = upos")} AS tag_accuracy, {', '.join(f"{pct(s)} AS {s}, round(100 * avg(CASE WHEN {s} THEN 1.0 ELSE 0.0 END) FILTER (({TAG}) = upos), 6) AS {s}_tag_right, round(100 * avg(CASE WHEN {s} THEN 1.0 ELSE 0.0 END) FILTER (({TAG}) <> upos), 6) AS {s}_tag_wrong" for s in ("uas", "las"))} FROM j""")
+def scores_by_tag(spark, d):
+    return reports.overall_by_tag(judged(spark, d).withColumn("pred_upos", F.expr(TAG)))
+
+
+@query(f"""{JUDGED}, k AS (SELECT *, other AND {SECOND} AS other_las, unnest(['bucket', 'deprel']) AS dimension, unnest([bucket, deprel]) AS value FROM j)
+  SELECT dimension, value, count(*) AS words, {', '.join(f"{pct(a)} AS {n}_before, {pct(b)} AS {n}_after, round(100 * avg(CASE WHEN {b} THEN 1.0 ELSE 0.0 END) - 100 * avg(CASE WHEN {a} THEN 1.0 ELSE 0.0 END), 6) AS {n}_delta" for n, a, b in (("uas", "uas", "other"), ("las", "las", "other_las")))} FROM k GROUP BY dimension, value""")
+def compare_uas_las(spark, d):
+    rows = judged(spark, d).withColumn("other_las", F.col("other") & F.expr(SECOND))
+    return reports.compare_by(rows, ["bucket", "deprel"], {"uas": ("uas", "other"), "las": ("las", "other_las")})
+
+
+@query(ORACLES["tree_metrics"].replace("FROM j GROUP BY sid)", f"FROM j GROUP BY sid HAVING bool_and(({TOKEN}) = form))"))
+def exact_token_metrics(spark, d):
+    return reports.exact_token_metrics(judged(spark, d).withColumn("pred_form", F.expr(TOKEN)))
+
+
+@query(f"WITH {A} SELECT sid, tid, CASE WHEN head = 0 THEN 'ROOT' ELSE head_upos END AS head_tag, upos AS gold_upos, form FROM a")
+def aligned_tokens(spark, d):
+    """Gold rows aligned with two systems by place, and head tags looked up in the sentence's own array."""
+    s = surrogate.sentences(spark, d)
+    tags = F.transform("words", lambda w: w["upos"])
+    gold = s.select("sid", tags.alias("tags"), F.inline("words")).select("sid", "tid", "form", "upos", expr.head_lookup(F.col("tags"), F.col("head"), "?").alias("head_tag"))
+    system = surrogate.arcs(s).select("sid", "tid", "form", F.col("pred_head").alias("h"))
+    rows = scoring.align(gold, {"one": system, "two": system}, ("sid", "tid"))
+    return rows.select("sid", "tid", "head_tag", F.col("upos").alias("gold_upos"), "form")
+
+
 # ---- histories, pivots ---------------------------------------------------------------------------
 
 HISTORY = "h AS (SELECT event_type, date_diff('hour', TIMESTAMP '1970-01-01 00:00:00', ts) AS step, round(avg(value), 6) AS score FROM events GROUP BY 1, 2), b AS (SELECT *, max(score) OVER (PARTITION BY event_type ORDER BY step) AS best FROM h), bs AS (SELECT event_type, step, score, best, min(step) OVER (PARTITION BY event_type, best) AS best_step FROM b)"
@@ -462,7 +551,7 @@ def method_pivot(spark, d):
 
 @query("SELECT n_regionkey, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS aliases FROM nation GROUP BY n_regionkey")
 def config_aliases(spark, d):
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("aliases"))
+    return reports.aliases(table(spark, d, "nation"), ["n_regionkey"], "n_name")
 
 
 # ---- texts -------------------------------------------------------------------------------------------
@@ -473,32 +562,6 @@ def near_duplicates(spark, d):
     return similarity.near_pairs(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("""SELECT x.k AS a, y.k AS b, CAST(levenshtein(x.text, y.text) AS BIGINT) AS edits FROM (SELECT conv_id * 1000 + turn AS k, text FROM conversations) x JOIN (SELECT conv_id * 1000 + turn AS k, text FROM conversations) y
-  ON left(x.text, 8) = left(y.text, 8) AND x.k < y.k AND x.text <> y.text AND abs(length(x.text) - length(y.text)) <= 20 AND levenshtein(x.text, y.text) <= 20""")
-def near_texts_levenshtein(spark, d):
-    """Only texts with the same first 8 characters, as its oracle; ``near_texts_edits`` finds all pairs."""
-    return similarity.near_pairs_levenshtein(turns(spark, d), "k", "text", 20, 8)
-
-
-@query()
-def near_texts_edits(spark, d):
-    return similarity.near_pairs_edits(turns(spark, d), "k", "text", 20)
-
-
-def turns(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
-
-
-PAIRS = "p AS (SELECT conv_id, min_by(text, turn) FILTER (role = 'assistant') AS hyp, min_by(text, turn) FILTER (role = 'user') AS ref FROM conversations GROUP BY conv_id), q AS (SELECT * FROM p WHERE hyp IS NOT NULL AND ref IS NOT NULL)"
-
-
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The first assistant and the first user text of each conversation, as in PAIRS; ``turn_pairs`` has every turn."""
-    c = table(spark, d, "conversations")
-    side = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
-    return c.groupBy("conv_id").agg(side("assistant").alias("hyp"), side("user").alias("ref")).where("hyp IS NOT NULL AND ref IS NOT NULL")
-
-
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(id, hyp, ref): the k-th assistant text of a conversation with its k-th user text, for every k that both have."""
     texts = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text"))))
@@ -515,8 +578,12 @@ def turn_characters(rows: DataFrame) -> DataFrame:
     return rows.select("id", *[textmetrics.characters(F.col(c)).alias(c) for c in ("hyp", "ref")])
 
 
+TURN_PAIRS = """k AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rank FROM conversations WHERE role IN ('assistant', 'user')),
+  q AS (SELECT struct_pack(c := a.conv_id, k := a.rank) AS conv_id, a.text AS hyp, b.text AS ref FROM k a JOIN k b ON a.conv_id = b.conv_id AND a.rank = b.rank WHERE a.role = 'assistant' AND b.role = 'user' AND a.text IS NOT NULL AND b.text IS NOT NULL)"""
+
+
 def _ngram_sql(tokens: str, orders: int, joiner: str) -> str:
-    return f"""WITH {PAIRS}, t AS (SELECT conv_id, 'h' AS side, {tokens.format('hyp')} AS w FROM q UNION ALL SELECT conv_id, 'r', {tokens.format('ref')} FROM q), o AS (SELECT CAST(range AS INTEGER) AS n FROM range(1, {orders + 1})),
+    return f"""WITH {TURN_PAIRS}, t AS (SELECT conv_id, 'h' AS side, {tokens.format('hyp')} AS w FROM q UNION ALL SELECT conv_id, 'r', {tokens.format('ref')} FROM q), o AS (SELECT CAST(range AS INTEGER) AS n FROM range(1, {orders + 1})),
   g AS (SELECT conv_id, side, n, unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(list_slice(w, i, i + n - 1), '{joiner}'))) AS g FROM t, o),
   c AS (SELECT conv_id, n, g, count(*) FILTER (side = 'h') AS h, count(*) FILTER (side = 'r') AS r FROM g GROUP BY conv_id, n, g)
   SELECT n, CAST(sum(least(h, r)) AS BIGINT) AS matches, CAST(sum(h) AS BIGINT) AS hyp_total, CAST(sum(r) AS BIGINT) AS ref_total FROM c GROUP BY n"""
@@ -524,27 +591,11 @@ def _ngram_sql(tokens: str, orders: int, joiner: str) -> str:
 
 @query(_ngram_sql("list_filter(string_split_regex({}, '[ \\t\\n\\r]+'), lambda x: x <> '')", 4, " "))
 def bleu_counts(spark, d):
-    w = lambda c: F.array_remove(F.split(c, "[ \\t\\n\\r]+"), "")
-    return textmetrics.ngram_counts(pairs(spark, d).select("conv_id", w("hyp").alias("hyp"), w("ref").alias("ref")), "conv_id", "hyp", "ref", 4)
+    return textmetrics.ngram_counts(turn_words(turn_pairs(spark, d)), "id", "hyp", "ref", 4)
 
 
 @query(_ngram_sql("string_split(regexp_replace({}, '[ \\t\\n\\r]+', '', 'g'), '')", 6, ""))
 def chrf_counts(spark, d):
-    rows = pairs(spark, d).select("conv_id", *[textmetrics.characters(F.col(c)).alias(c) for c in ("hyp", "ref")])
-    return textmetrics.ngram_counts(rows, "conv_id", "hyp", "ref", 6)
-
-
-TURN_PAIRS = """k AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rank FROM conversations WHERE role IN ('assistant', 'user')),
-  q AS (SELECT struct_pack(c := a.conv_id, k := a.rank) AS conv_id, a.text AS hyp, b.text AS ref FROM k a JOIN k b ON a.conv_id = b.conv_id AND a.rank = b.rank WHERE a.role = 'assistant' AND b.role = 'user' AND a.text IS NOT NULL AND b.text IS NOT NULL)"""
-
-
-@query(ORACLES["bleu_counts"].replace(PAIRS, TURN_PAIRS))
-def bleu_counts_turns(spark, d):
-    return textmetrics.ngram_counts(turn_words(turn_pairs(spark, d)), "id", "hyp", "ref", 4)
-
-
-@query(ORACLES["chrf_counts"].replace(PAIRS, TURN_PAIRS))
-def chrf_counts_turns(spark, d):
     return textmetrics.ngram_counts(turn_characters(turn_pairs(spark, d)), "id", "hyp", "ref", 6)
 
 
@@ -592,6 +643,12 @@ def nested_check(spark, d):
     return out.union(audit.not_contained(part("p025"), part("p050"), "group_id")).union(audit.not_contained(part("p050"), part("p100"), "group_id"))
 
 
+@query(f"WITH {SPLIT}, w AS (SELECT split, {_W} AS word FROM ds) SELECT DISTINCT word FROM w WHERE split = 'test' AND word NOT IN (SELECT word FROM w WHERE split = 'train')")
+def words_not_contained(spark, d):
+    words = doc_words(doc_split(spark, d), "split")
+    return audit.not_contained(words.where("split = 'test'"), words.where("split = 'train'"), "word")
+
+
 @query()
 def set_cover_sample(spark, d):
     wrong = judged(spark, d).where("NOT (strict AND other)")

@@ -1,16 +1,25 @@
-"""Checkpoints in the folder that the cluster names; one of our own only where none is named."""
+"""Checkpoints in the folder that the cluster names; one of our own only in local sessions without one."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
 
-DEFAULT = "file:/tmp/checkpoints"
+from pyspark.sql import DataFrame, SparkSession
+
+LOCAL = "file:/tmp/checkpoints"
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. ValueError on a cluster that names none: executors share no folder of their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    return named or LOCAL
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """df.checkpoint(): files in a shared folder, which outlive any executor."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or DEFAULT)
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint()
