@@ -35,8 +35,9 @@ from dendra.llm.textgrams import blocks, chained, mix, runs, sorted_groups, word
 
 WINDOW = 13
 FAN = 4
-#: Where the ids are cut into batches, as shares of the documents: a quarter is history when the rest arrives.
-CUTS = (0.25,)
+#: Where the ids are cut into batches, as shares of the documents: history grows over five batches (the fifth compacts the runs
+#: of the first four) to a quarter, against which the rest arrives. A run is exchanged with every later batch, so early ones are small.
+CUTS = (0.02, 0.05, 0.09, 0.15, 0.25)
 #: Compressed input bytes per bucket: about 300,000 windows.
 BUCKET_BYTES = 1 << 20
 CHUNK = 4 << 20
@@ -323,7 +324,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark, since = docs.sparkSession, len(CREATED)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     buckets = buckets_for(docs.select(id_col, text_col), BUCKET_BYTES)
-    edges = sorted(set(source.approxQuantile("id", list(cuts), 0.01))) if cuts else []
+    edges = sorted(set(source.approxQuantile("id", list(cuts), 0.002))) if cuts else []
     index = FingerprintIndex(spark, buckets, window, bits)
     hits, low = [], None
     for k, high in enumerate([*edges, None]):
