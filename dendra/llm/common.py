@@ -36,6 +36,12 @@ def buckets_for(df: DataFrame, bytes_per_bucket: int, least: int = 16) -> int:
     return max(least, -(-min(input_bytes(df), 1 << 56) // bytes_per_bucket))
 
 
+def dealt(df: DataFrame, buckets: int, per_task: int = 8) -> DataFrame:
+    """Rows by key, some ``per_task`` buckets to a task, sorted by key: as the input grows, tasks grow in number and not in size."""
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // per_task))
+    return df.repartition(tasks, "key").sortWithinPartitions("key")
+
+
 #: Scratch folders that this process has made, in order.
 CREATED: list[str] = []
 

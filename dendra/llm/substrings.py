@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendra.llm.blobs import pack, unpack
-from dendra.llm.common import CREATED, buckets_for, finish, lean, release, remove, save, scratch, settings
+from dendra.llm.common import CREATED, buckets_for, dealt, finish, lean, release, remove, save, scratch, settings
 from dendra.llm.textgrams import blocks, chained, mix, runs, sorted_groups, word_hashes
 
 WINDOW = 13
@@ -201,7 +201,7 @@ class FingerprintIndex:
         compact = len(self.runs) >= FAN
         path = scratch(self.spark, "substrings-merge")
         with settings(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
-            rows.repartition("key").sortWithinPartitions("key").mapInArrow(_merge(self.buckets, self.buckets, keep, compact), _ROWS).write.partitionBy("kind").option("compression", "none").parquet(path)
+            dealt(rows, self.buckets).mapInArrow(_merge(self.buckets, self.buckets, keep, compact), _ROWS).write.partitionBy("kind").option("compression", "none").parquet(path)
         del rows
         release(self.spark)
         if compact:
@@ -338,7 +338,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for more in hits[1:]:
         rows = rows.union(more)
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
-        claims = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_claims(buckets), "doc bigint, start bigint, n bigint, src bigint, src_start bigint")
+        claims = dealt(rows, buckets).mapInArrow(_claims(buckets), "doc bigint, start bigint, n bigint, src bigint, src_start bigint")
         claims = save(claims, scratch(spark, "substrings-claims"))
     applied = save(_applied(source, claims, buckets, window), scratch(spark, "substrings-applied"))
     checks = applied.select(F.explode("checks").alias("c")).groupBy("c.src", "c.src_start", "c.n").agg(F.min("c.digest").alias("a"), F.max("c.digest").alias("b"))
@@ -362,4 +362,4 @@ def _applied(source: DataFrame, claims: DataFrame, groups: int, window: int, ask
     if asked:
         wanted = claims.select("src", "src_start", "n").distinct()
         rows = rows.union(wanted.select(group("src").alias("key"), F.lit(2).alias("kind"), F.col("src").alias("id"), F.col("src_start").alias("start"), "n", null.alias("src"), null.alias("src_start"), none))
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_apply(window), _APPLIED)
+    return dealt(rows, groups).mapInArrow(_apply(window), _APPLIED)

@@ -33,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dendra.llm.blobs import pack, unpack
-from dendra.llm.common import buckets_for, lean, release, remove, scratch, settings
+from dendra.llm.common import buckets_for, dealt, lean, release, remove, scratch, settings
 from dendra.llm.textgrams import blocks, digits, mix, runs, sorted_groups, tables
 
 LENGTH = 100
-KGRAM = 32
+#: Bytes of an anchor: the longer, the fewer strings share one without being equal, and the more anchors there are (a share of
+#: 2 / (LENGTH - KGRAM + 2) of all places).
+KGRAM = 80
 BUCKET_BYTES = 1 << 20
 #: Letters of a shard's text: anchors are added up to this size (one anchor's contexts stay together).
 SHARD = 1 << 20
@@ -551,21 +553,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = source.mapInArrow(_zipped(buckets), _ROWS + ", id bigint")
     null = F.lit(None).cast("bigint").alias("id")
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key")
-
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
         found = scratch(spark, "suffixes-found")
-        dealt(source.mapInArrow(_find(length, k, buckets), _ROWS)).mapInArrow(_again(buckets), _ROWS).write.option("compression", "none").parquet(found)
+        dealt(source.mapInArrow(_find(length, k, buckets), _ROWS), buckets).mapInArrow(_again(buckets), _ROWS).write.option("compression", "none").parquet(found)
         release(spark)
         marked = scratch(spark, "suffixes-marked")
-        contexts = dealt(texts.union(spark.read.schema(_ROWS).parquet(found).select("kind", "key", "body", null))).mapInArrow(_contexts(length, buckets), _ROWS)
-        dealt(contexts).mapInArrow(_shards(length, buckets), _ROWS).write.option("compression", "none").parquet(marked)
+        contexts = dealt(texts.union(spark.read.schema(_ROWS).parquet(found).select("kind", "key", "body", null)), buckets).mapInArrow(_contexts(length, buckets), _ROWS)
+        dealt(contexts, buckets, 4).mapInArrow(_shards(length, buckets), _ROWS).write.option("compression", "none").parquet(marked)
         remove(spark, found)
         del contexts
         release(spark)
         stripped = scratch(spark, "suffixes-stripped")
-        dealt(texts.union(spark.read.schema(_ROWS).parquet(marked).select("kind", "key", "body", null))).mapInArrow(_strip, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").write.parquet(stripped)
+        dealt(texts.union(spark.read.schema(_ROWS).parquet(marked).select("kind", "key", "body", null)), buckets).mapInArrow(_strip, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").write.parquet(stripped)
         remove(spark, marked)
         release(spark)
     return spark.read.parquet(stripped).select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
