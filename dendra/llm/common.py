@@ -32,13 +32,23 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def buckets_for(df: DataFrame, bytes_per_bucket: int, least: int = 16) -> int:
-    """Number of buckets that keeps a bucket's share of the input near a fixed size, so memory per task does not grow with the data."""
-    return max(least, -(-min(input_bytes(df), 1 << 56) // bytes_per_bucket))
+    """Number of buckets that keeps a bucket's share of the input near a fixed size, so memory per task does not grow with the data.
+
+    Where the plan doesn't know its size (Catalyst then assumes the greatest), the texts are measured."""
+    size = input_bytes(df)
+    if size >= 1 << 55:
+        texts = [F.octet_length(f.name) for f in df.schema if f.dataType.simpleString() == "string"]
+        size = df.agg(F.coalesce(F.sum(sum(map(F.coalesce, texts, [F.lit(0)] * len(texts)), F.lit(0))), F.lit(0))).first()[0]
+    return max(least, -(-size // bytes_per_bucket))
+
+
+#: Partitions of one shuffle; with more input a task streams through more buckets, one at a time.
+MOST_TASKS = 100_000
 
 
 def dealt(df: DataFrame, buckets: int, per_task: int = 8) -> DataFrame:
     """Rows by key, some ``per_task`` buckets to a task, sorted by key: as the input grows, tasks grow in number and not in size."""
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // per_task))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-buckets // per_task)))
     return df.repartition(tasks, "key").sortWithinPartitions("key")
 
 

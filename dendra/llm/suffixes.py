@@ -39,7 +39,7 @@ from dendra.llm.textgrams import blocks, digits, mix, runs, sorted_groups, table
 LENGTH = 100
 #: Bytes of an anchor: the longer, the fewer strings share one without being equal, and the more anchors there are (a share of
 #: 2 / (LENGTH - KGRAM + 2) of all places).
-KGRAM = 80
+KGRAM = 64
 BUCKET_BYTES = 1 << 20
 #: Letters of a shard's text: anchors are added up to this size (one anchor's contexts stay together).
 SHARD = 1 << 20
