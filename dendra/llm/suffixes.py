@@ -8,8 +8,8 @@ occurrences of a string meet where its anchor's hash is sent to.
    one context. Only contexts whose anchor occurs again anywhere go on.
 2. Documents and their contexts meet; equal contexts of a task are settled there (the
    earliest stays), the others are dealt to shards by the anchor's hash.
-3. A shard settles equal contexts again. Different contexts of one anchor become the
-   shard's text: its suffix array is built by induced sorting, the common prefix of each
+3. A shard settles equal contexts again. Different contexts of one anchor are cut by finer
+   anchors, and what still shares one becomes the shard's text: its suffix array is built by induced sorting, the common prefix of each
    suffix with its predecessor is computed in text order (permuted), and suffixes that
    share LENGTH bytes form groups whose earliest member stays.
 4. Marked ranges return to their documents.
@@ -39,7 +39,9 @@ from dendra.llm.textgrams import blocks, digits, mix, runs, sorted_groups, table
 LENGTH = 100
 #: Bytes of an anchor: the longer, the fewer strings share one without being equal, and the more anchors there are (a share of
 #: 2 / (LENGTH - KGRAM + 2) of all places).
-KGRAM = 64
+KGRAM = 32
+#: Inside a shard contexts are cut once more, by anchors so many bytes shorter than a string.
+FINE = 8
 BUCKET_BYTES = 1 << 20
 #: Letters of a shard's text: anchors are added up to this size (one anchor's contexts stay together).
 SHARD = 1 << 20
@@ -411,10 +413,9 @@ def _contexts(length: int, buckets: int):
     return run
 
 
-def shard_marks(h: np.ndarray, doc: np.ndarray, first: np.ndarray, bodies: list[bytes], length: int) -> tuple[list, list, list]:
-    """Ranges (document, start, size) of contexts that are repeated; contexts come in order of document and start."""
-    marks: tuple[list, list, list] = ([], [], [])
-    seen: dict[bytes, int] = {}
+def _first_seen(doc: np.ndarray, first: np.ndarray, bodies: list[bytes], marks: tuple[list, list, list]) -> np.ndarray:
+    """Places of the different bodies; those seen before, in order of document and start, are marked."""
+    seen: set[bytes] = set()
     own = []
     for i, body in enumerate(bodies):
         if body in seen:
@@ -422,13 +423,45 @@ def shard_marks(h: np.ndarray, doc: np.ndarray, first: np.ndarray, bodies: list[
             marks[1].append(int(first[i]))
             marks[2].append(len(body))
         else:
-            seen[body] = i
+            seen.add(body)
             own.append(i)
-    x = np.array(own)
-    values, back, counts = np.unique(h[x], return_inverse=True, return_counts=True)
-    x = x[counts[back] > 1]  # different contexts of one anchor
+    return np.array(own, np.int64)
+
+
+def _shared(h: np.ndarray) -> np.ndarray:
+    values, back, counts = np.unique(h, return_inverse=True, return_counts=True)
+    return counts[back] > 1
+
+
+def finer(x: np.ndarray, h: np.ndarray, bodies: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Contexts x cut by anchors of FINE bytes: (key, context, offset, strings less one) of the parts whose key occurs twice.
+
+    Equal strings have equal fine anchors too, so a frequent anchor that stands in thousands of surroundings falls apart here."""
+    parts = []
+    for lo, _, raw, offsets in blocks([bodies[i] for i in x.tolist()], BLOCK):
+        g, a, b = anchors(raw, offsets, length, length - FINE)
+        owner = np.searchsorted(offsets, a, side="right") - 1
+        i = x[lo + owner]
+        parts.append((mix(h[i]) ^ g, i, a - offsets[owner], b - a))
+    key, i, offset, more = (np.concatenate([p[c] for p in parts]) for c in range(4))
+    keep = _shared(key)
+    return key[keep], i[keep], offset[keep], more[keep]
+
+
+def shard_marks(h: np.ndarray, doc: np.ndarray, first: np.ndarray, bodies: list[bytes], length: int) -> tuple[list, list, list]:
+    """Ranges (document, start, size) of contexts that are repeated; contexts come in order of document and start."""
+    marks: tuple[list, list, list] = ([], [], [])
+    x = _first_seen(doc, first, bodies, marks)
+    x = x[_shared(h[x])]  # different contexts of one anchor
+    if not len(x):
+        return marks
+    h, i, offset, more = finer(x, h, bodies, length)
+    doc, first = doc[i], first[i] + offset
+    bodies = [bodies[j][o : o + m + length] for j, o, m in zip(i.tolist(), offset.tolist(), more.tolist(), strict=True)]
+    x = _first_seen(doc, first, bodies, marks)
+    x = x[_shared(h[x])]
     x = x[np.argsort(h[x], kind="stable")]
-    at, upto = runs(h[x]), np.cumsum([len(bodies[i]) + 1 for i in x.tolist()])
+    at, upto = runs(h[x]), np.cumsum([len(bodies[j]) + 1 for j in x.tolist()])
     lo = 0
     for hi in at[1:].tolist():
         if hi == len(x) or upto[hi - 1] - (upto[lo - 1] if lo else 0) >= SHARD:
