@@ -455,21 +455,28 @@ def shard_marks(h: np.ndarray, doc: np.ndarray, first: np.ndarray, bodies: list[
     x = x[_shared(h[x])]  # different contexts of one anchor
     if not len(x):
         return marks
-    h, i, offset, more = finer(x, h, bodies, length)
-    doc, first = doc[i], first[i] + offset
-    bodies = [bodies[j][o : o + m + length] for j, o, m in zip(i.tolist(), offset.tolist(), more.tolist(), strict=True)]
-    x = _first_seen(doc, first, bodies, marks)
-    x = x[_shared(h[x])]
     x = x[np.argsort(h[x], kind="stable")]
-    at, upto = runs(h[x]), np.cumsum([len(bodies[j]) + 1 for j in x.tolist()])
+    at, upto = runs(h[x]), np.cumsum([len(bodies[i]) + 1 for i in x.tolist()])
     lo = 0
     for hi in at[1:].tolist():
         if hi == len(x) or upto[hi - 1] - (upto[lo - 1] if lo else 0) >= SHARD:
-            _mark_shard(np.sort(x[lo:hi]), doc, first, bodies, length, marks)
+            _cut_and_mark(np.sort(x[lo:hi]), h, doc, first, bodies, length, marks)
             lo = hi
     return marks
 
 
+def _cut_and_mark(x: np.ndarray, h: np.ndarray, doc: np.ndarray, first: np.ndarray, bodies: list[bytes], length: int, marks: tuple[list, list, list]) -> None:
+    key, i, offset, more = finer(x, h, bodies, length)
+    if not len(key):
+        return
+    doc, first = doc[i], first[i] + offset
+    parts = [bodies[j][o : o + m + length] for j, o, m in zip(i.tolist(), offset.tolist(), more.tolist(), strict=True)]
+    own = _first_seen(doc, first, parts, marks)
+    own = own[_shared(key[own])]
+    if len(own):
+        _mark_shard(own, doc, first, parts, length, marks)
+
+
 def _mark_shard(x: np.ndarray, doc: np.ndarray, first: np.ndarray, bodies: list[bytes], length: int, marks: tuple[list, list, list]) -> None:
     # letters 2..257 and a separator 1 after each context; strings never reach over it
     sizes = np.array([len(bodies[i]) for i in x.tolist()])
