@@ -55,7 +55,7 @@ setting(i, size, step, {", ".join(rules.RULES)}) AS (VALUES {settings}),
 tally AS (SELECT stratum, i, size, step, count(*) FILTER (good AND hit) AS k, count(*) FILTER (good) AS n, count(*) FILTER (NOT good AND hit) AS bad FROM (SELECT stratum, good, i, size, step, {" OR ".join(map(over, rules.RULES))} AS hit FROM marked, setting) GROUP BY ALL),
 proof AS (SELECT *, CASE WHEN k >= n THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({rules.ALPHA!r}) + (n - x) * ln(1 - {rules.ALPHA!r}))) FROM range(0, k + 1) r(x)) END AS p FROM tally),
 sequence_ AS (SELECT *, bool_and(p <= {rules.DELTA!r} / (SELECT count(DISTINCT stratum) FROM marked) / {len(rules.SETS)}) OVER (PARTITION BY stratum, i ORDER BY step) AS proven FROM proof),
-best AS (SELECT stratum, i, step FROM sequence_ WHERE proven AND bad > 0 QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY bad DESC, k, size, step, i) = 1),
+best AS (SELECT stratum, i, step FROM sequence_ WHERE proven AND bad > 0 QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY bad DESC, k, size, step DESC, i) = 1),
 broken AS (SELECT rid, concat_ws(',', {", ".join(f"CASE WHEN {over(r)} THEN '{r}' END" for r in rules.RULES)}) AS r FROM base JOIN best USING (stratum) JOIN setting USING (i, step))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(r, '') = '' AS kept, coalesce(r, '') AS broken_rules FROM base LEFT JOIN broken USING (rid)"""
 

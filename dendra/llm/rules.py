@@ -11,7 +11,7 @@ and among the sets of rules; inside a set strictness goes up from mild, each ste
 set's full level, until the first that fails (a fixed sequence). With probability
 1 - DELTA every proven setting loses at most ALPHA of its stratum's good documents,
 whichever is then chosen: the one that rejects most labelled bad documents (then fewest
-good ones, fewest rules, mildest). A proof takes about 150 good documents; strata
+good ones, fewest rules, strictest). A proof takes about 150 good documents; strata
 without one have no cutoffs.
 
 Defined cases: null and empty texts have zero counts and fail the base check; a null
@@ -125,10 +125,10 @@ def choose(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: s
                 if not n or binomial_tail(k, n, alpha) > level:
                     break
                 if bad:
-                    proven.append((-bad, k, len(names), step, i))
+                    proven.append((-bad, k, len(names), -step, i))
         if proven:
             *_, step, i = min(proven)
-            out |= {(s, r): RULES[r][1][cutoff_at(r, step)] for r in SETS[i]}
+            out |= {(s, r): RULES[r][1][cutoff_at(r, -step)] for r in SETS[i]}
     return out
 
 
