@@ -296,24 +296,61 @@ def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack_.compress((t or "").encode("utf-8")) for t in b.column(1).to_pylist()], pa.binary())], ["id", "words"])
 
 
+#: Bits of the maps by which a second look at the corpus passes over what has no failed claim: 2 MB, whatever the input.
+MAP_BITS = 24
+_MAP_PART = 1 << 15
+
+
+def _bit_map(bits: DataFrame) -> bytes:
+    """A map of MAP_BITS bits with the column ``bit`` set: at most 512 rows of 4 KB reach the driver."""
+    part = F.floor(F.col("bit") / _MAP_PART).cast("int").alias("part")
+    rows = bits.groupBy(part).agg(F.bitmap_construct_agg(F.col("bit") % _MAP_PART).alias("map")).collect()
+    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    for row in rows:
+        at = row["part"] * _MAP_PART // 8
+        out[at : at + _MAP_PART // 8] = np.frombuffer(row["map"], np.uint8)
+    return out.tobytes()
+
+
+def _set_in(map_: bytes, bit: np.ndarray) -> np.ndarray:
+    return np.frombuffer(map_, np.uint8)[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 != 0
+
+
 def _exact(source: DataFrame, failed: DataFrame, window: int, bits: int) -> DataFrame:
     """True hits of the windows whose hashes occur in failed claims (doc, start, n): compared by their words.
 
-    The hashes are those of collisions; they are joined, not broadcast."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), [(t or "").encode("utf-8") for t in b.column(1).to_pylist()]
-            for name, raw in zip(ids, texts, strict=True):
-                words = raw.split()
-                h = truncate(chained(word_hashes(raw)[2], window), bits).view(np.int64)
-                if len(h) and name is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), name, np.int64)), pa.array(np.arange(len(h))), pa.array([b" ".join(words[i : i + window]) for i in range(len(h))], pa.binary())], ["h", "id", "pos", "text"])
-
-    every = source.where("id is not null").mapInArrow(windows, "h bigint, id bigint, pos bigint, text binary")
-    bad = failed.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos"))
-    named = every.join(bad, (F.col("id") == F.col("doc")) & (every["pos"] == bad["pos"])).select("h").distinct()
-    some = every.join(named, "h")
+    Two looks at the texts, neither of which shuffles them. The first hashes the documents of failed claims only; the second
+    hands on the words of windows whose hash may be one of theirs. Both pass over the rest by a map of a fixed size; joins on
+    the ids and hashes themselves follow, so what the map lets through too much changes nothing."""
+    spark = source.sparkSession
+
+    def windows(ids_map: bytes | None, hash_map: bytes | None):
+        @lean
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    name = b.column(0)[i].as_py()
+                    if ids_map is not None and not _set_in(ids_map, np.array([name % (1 << MAP_BITS)]))[0]:
+                        continue
+                    raw = (b.column(1)[i].as_py() or "").encode("utf-8")
+                    h = truncate(chained(word_hashes(raw)[2], window), bits)
+                    pos = np.arange(len(h))
+                    if hash_map is not None:
+                        pos = np.flatnonzero(_set_in(hash_map, (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)))
+                    words = raw.split() if hash_map is not None and len(pos) else None
+                    for part in np.array_split(pos, -(-len(pos) // 10_000)) if len(pos) else ():
+                        texts = [b" ".join(words[k : k + window]) for k in part] if words else [None] * len(part)
+                        yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(np.full(len(part), name, np.int64)), pa.array(part), pa.array(texts, pa.binary())], ["h", "id", "pos", "text"])
+
+        return run
+
+    rows, named = source.where("id is not null"), "h bigint, id bigint, pos bigint, text binary"
+    bad = failed.select(F.col("doc").alias("id"), F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
+    own = rows.mapInArrow(windows(_bit_map(failed.select(F.pmod("doc", F.lit(1 << MAP_BITS)).alias("bit"))), None), named)
+    hashes = save(own.join(bad, ["id", "pos"], "left_semi").select("h").distinct(), scratch(spark, "substrings-hashes"))
+    upper = F.shiftrightunsigned("h", 64 - MAP_BITS)
+    some = rows.mapInArrow(windows(None, _bit_map(hashes.select(upper.alias("bit")))), named).join(hashes, "h", "left_semi")
+    some = save(some.select("id", "pos", "text"), scratch(spark, "substrings-windows"))
     least = some.groupBy("text").agg(F.min("id").alias("least"))
     # the least document's first place isn't needed: these claims are true by construction
     return some.join(least, "text").where("id > least").select(F.col("id").alias("doc"), F.col("pos").alias("start"), F.lit(1).cast("bigint").alias("n"))

@@ -130,6 +130,21 @@ def test_substrings_compaction(spark):
     assert bag(got, "doc_id", "n_words", "n_removed", "kept_sha256") == windows_brute(rows, 13)
 
 
+def test_substrings_exact_look_reads_only_what_failed(spark):
+    """The second look hands on the windows of failed hashes (and what shares their bit), with true hits by the words."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(-3, 30)] + [(40, rows_text := f"head {PASSAGE}"), (41, f"other {PASSAGE}"), (None, rows_text), (50, None)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    n = len(PASSAGE.split()) - 12
+    failed = spark.createDataFrame([(41, 1, n, 40, 1), (-2, 3, 2, -3, 3)], "doc bigint, start bigint, n bigint, src bigint, src_start bigint")
+    got = sorted(tuple(r) for r in substrings._exact(df, failed, 13, 64).collect())
+    assert got == [(41, k, 1) for k in range(1, n + 1)]
+    bits = [0, 7, 8, 32767, 32768, (1 << substrings.MAP_BITS) - 1]
+    map_ = substrings._bit_map(spark.createDataFrame([(b,) for b in bits], "bit bigint"))
+    assert len(map_) == 1 << 21
+    assert substrings.np.flatnonzero(substrings._set_in(map_, substrings.np.arange(1 << substrings.MAP_BITS))).tolist() == bits
+    assert not any(substrings._bit_map(spark.createDataFrame([], "bit bigint")))
+
+
 # ---- 2 ------------------------------------------------------------------------------------------
 
 
