@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dendra.llm import minhash, mixing, rules, secrets, substrings, suffixes
+from dendra.llm import collocations, minhash, mixing, rules, secrets, substrings, suffixes
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 WORDS = f"regexp_extract_all(coalesce(text, ''), {WORD})"
@@ -122,6 +122,26 @@ SELECT doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, coalesce(gone, 0) AS n_
 FROM d LEFT JOIN sums USING (rid) LEFT JOIN text_ USING (rid)"""
 
 
+def collocations_() -> str:
+    c = collocations
+    joined = lambda w: f"array_to_string({w}, ' ')"
+    return rf"""
+WITH p AS (SELECT coalesce(lang, '{c.NO_LANG}') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+tot AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, {joined("w[i:i + k - 1]")} AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, {c.MOST_WORDS + 1})) AS k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL HAVING count(*) >= {c.LEAST_COUNT}),
+cut AS (SELECT lang, phrase, w, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT cut.lang, cut.phrase, a, x.f AS l, y.f AS r, n, 1000 * a * n // (x.f * y.f) AS score, cut FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = {joined("cut.w[:cut]")}
+  JOIN f y ON y.lang = cut.lang AND y.phrase = {joined("cut.w[cut + 1:]")} JOIN tot ON tot.lang = cut.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+held AS (SELECT lang, f, {joined("w[i:i + m - 1]")} AS phrase FROM (SELECT lang, f, w, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, k, f, w, unnest(range(2, k)) AS m FROM f WHERE k > 2))),
+longer AS (SELECT lang, phrase, max(f) AS f FROM held GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best LEFT JOIN longer USING (lang, phrase) WHERE NOT coalesce(100 * f >= {c.ABSORBED} * a, false) QUALIFY rank <= {c.PER_LANG}"""
+
+
 ORACLES = {
     "op1_substring_dedup": substring_dedup(),
     "op2_minhash_near_dedup": near_dedup(),
@@ -129,4 +149,5 @@ ORACLES = {
     "op6_secret_scan": secret_scan(),
     "op8_source_mixing": source_mixing(),
     "op10_suffix_array_dedup": suffix_dedup(),
+    "op11_collocations": collocations_(),
 }

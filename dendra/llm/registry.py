@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dendra.llm import gif, minhash, mixing, pieces, quality, rules, secrets, substrings, suffixes, toxicity
+from dendra.llm import collocations, gif, minhash, mixing, pieces, quality, rules, secrets, substrings, suffixes, toxicity
 from dendra.llm.common import documents, labels
 from dendra.llm.oracles import ORACLES  # noqa: F401
 
@@ -53,6 +53,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -64,4 +68,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_gif_media": op9_gif_media,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_collocations": op11_collocations,
 }

@@ -48,8 +48,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _spans(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    word = ~_GAP[a]
+def _spans(a: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    word = ~gap[a]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
     return edge[::2], edge[1::2]
 
@@ -59,8 +59,8 @@ def digits(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64) + np.uint64(1)
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of the words (runs without space and control gaps) of a text of any length."""
+def word_hashes(raw: bytes, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the words (runs without gap bytes; space and controls unless others are given) of a text of any length."""
     power, inverse = tables()
     starts, ends, hashes = [], [], []
     at, n = 0, len(raw)
@@ -68,13 +68,13 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     while at < n:
         a = whole[at : at + PIECE]
         if at + PIECE < n:  # cut after the last gap; a word over a whole piece is taken with its rest
-            gaps = np.flatnonzero(_GAP[a[-LONG_WORD:]])
+            gaps = np.flatnonzero(gap[a[-LONG_WORD:]])
             if len(gaps):
                 a = a[: len(a) - min(LONG_WORD, len(a)) + int(gaps[-1]) + 1]
             else:
-                rest = np.flatnonzero(_GAP[whole[at + len(a) :]])
+                rest = np.flatnonzero(gap[whole[at + len(a) :]])
                 a = whole[at : at + len(a) + (int(rest[0]) if len(rest) else n)]
-        s, e = _spans(a)
+        s, e = _spans(a, gap)
         if len(a) < len(power):
             sums = np.zeros(len(a) + 1, np.uint64)
             np.cumsum(digits(a) * power[: len(a)], out=sums[1:])
