@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dendra.llm import collocations, gif, langid, minhash, mixing, pieces, quality, rules, secrets, substrings, suffixes, toxicity
+from dendra.llm import collocations, gif, langid, minhash, mixing, pieces, quality, rules, secrets, substrings, suffixes, toxicity, variants
 from dendra.llm.common import documents, labels
 from dendra.llm.oracles import ORACLES  # noqa: F401
 
@@ -61,6 +61,10 @@ def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -74,4 +78,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_collocations": op11_collocations,
     "op12_langid": op12_langid,
+    "op13_variants": op13_variants,
 }
