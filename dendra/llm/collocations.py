@@ -1,9 +1,9 @@
 """Phrase collocations: n-grams counted by language, scored against their parts, ranked.
 
 Phrases of one to five neighbouring words are exploded into rows and aggregated by
-language. A phrase can be frequent only if all its words and word pairs are, so a first
-pass counts these by hash alone, and the second explodes only phrases whose pairs pass.
-The pairs travel as a bit map of bounded size: a full one lets more phrases through and
+language. A phrase can be frequent only if all phrases inside it are, so a first pass counts
+those of one to three words by hash alone, and the second explodes only phrases whose parts
+pass. They travel as a bit map of bounded size: a full one lets more phrases through and
 changes no result, since counts are made by the phrases themselves.
 """
 
@@ -27,7 +27,10 @@ PER_LANG = 2000
 #: A phrase goes if a longer one that holds it has this share (percent) of its count.
 ABSORBED = 100
 NO_LANG = "und"
-#: Bits of the map of frequent words and pairs: 16 for each, at most 16 MB in all.
+#: Words of the phrases that the first pass counts.
+FIRST = 3
+#: Bits of the map of frequent short phrases: PER_PHRASE for each, at most 16 MB in all.
+PER_PHRASE = 64
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 _MAP_PART = 32_768  # bits that bitmap_construct_agg puts into one blob
 #: Hashes, and phrases, that a task holds before it hands their counts on.
@@ -75,8 +78,8 @@ def _summed(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lean
-def _explode_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, lang) -> (h, c): hashes of words and word pairs with their counts so far."""
+def _explode_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, lang) -> (h, c): hashes of phrases of up to FIRST words with their counts so far."""
     held, size = [], 0
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -87,7 +90,7 @@ def _explode_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         for lang, texts in _by_lang(b).items():
             for _, _, _, h, piece in _words(texts):
-                for k in (1, 2):
+                for k in range(1, FIRST + 1):
                     g, inside = _grams(h, piece, k, lang)
                     held.append(g[inside])
                     size += len(held[-1])
@@ -100,9 +103,9 @@ def _explode_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _frequent(df: DataFrame, least: int) -> tuple[np.ndarray, int]:
     """The bit map of hashes that stand ``least`` times or more, and the bits of a hash that it goes by."""
-    counted = df.mapInArrow(_explode_pairs, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    found = save(counted.select("h"), scratch(df.sparkSession, "collocations-pairs"))
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, found.count()) - 1).bit_length()))
+    counted = df.mapInArrow(_explode_short, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    found = save(counted.select("h"), scratch(df.sparkSession, "collocations-short"))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (PER_PHRASE * max(1, found.count()) - 1).bit_length()))
     bit = F.shiftrightunsigned("h", 65 - bits.bit_length())
     parts = found.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / _MAP_PART).cast("int").alias("part"))
     rows = parts.agg(F.bitmap_construct_agg(F.col("bit") % _MAP_PART).alias("map")).collect()  # at most MOST_BITS / 32,768 rows of 4 KB
@@ -113,7 +116,7 @@ def _frequent(df: DataFrame, least: int) -> tuple[np.ndarray, int]:
 
 
 def _explode_phrases(table: np.ndarray, shift: int, most: int):
-    """(text, lang) -> (lang, words, phrase, c): phrases whose words and pairs are in the map, and the number of all words as phrase of none."""
+    """(text, lang) -> (lang, words, phrase, c): phrases whose short parts are in the map, and the number of all words as phrase of none."""
 
     def passes(h: np.ndarray) -> np.ndarray:
         bit = (h >> np.uint64(shift)).astype(np.int64)
@@ -135,13 +138,14 @@ def _explode_phrases(table: np.ndarray, shift: int, most: int):
                 counts, total = held.setdefault(lang, [[Counter() for _ in range(most)], 0])
                 for raw, s, e, h, piece in _words(texts):
                     total += len(h)
-                    one = passes(_grams(h, piece, 1, lang)[0])
-                    pair, inside = _grams(h, piece, 2, lang)
-                    pair = passes(pair) & inside & one[:-1] & one[1:]
-                    ok, spread = one, np.zeros(len(h), np.int64)  # spread: bytes between words beyond one space each
+                    ok = short = passes(_grams(h, piece, 1, lang)[0])
+                    spread = np.zeros(len(h), np.int64)  # bytes between words beyond one space each
                     for k in range(1, most + 1):
                         if k > 1:
-                            ok = ok[:-1] & pair[k - 2 :]
+                            if k <= FIRST:
+                                g, inside = _grams(h, piece, k, lang)
+                                short = passes(g) & inside
+                            ok = ok[:-1] & ok[1:] & short if k <= FIRST else ok[:-1] & short[k - FIRST :]
                             spread = spread[:-1] + (s[k - 1 :] - e[k - 2 : -1] - 1)
                         at = np.flatnonzero(ok & (spread == 0))
                         counts[k - 1].update(map(raw.__getitem__, map(slice, s[at].tolist(), e[at + k - 1].tolist())))
