@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
@@ -120,6 +120,21 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text, row): the text, and all other columns as one struct, so that no name of theirs meets an operator's own columns."""
+    return df.select(column(text_col).alias("text"), F.struct(F.lit(0).alias("0"), *[column(c) for c in df.columns if c != text_col]).alias("row"))
+
+
+def unpacked(names: list[str], text_col: str = "text", **changed: Column) -> list[Column]:
+    """The columns that packed() had, in their old order; some may be changed."""
+    return [changed.get(c, F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in names]
+
+
 def crc_remainder(column: str, modulus: int):
     """crc32 of the id as decimal text, modulo; null ids give null."""
     return F.crc32(F.col(column).cast("string")) % modulus

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dendra.llm import calibration
 from dendra.llm.common import crc_remainder, lean, remove, save, scratch, small_batches
@@ -175,15 +176,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, [kept columns], score) for every row; scores are in 0..1, higher: label 1 likelier."""
     small_batches(docs.sparkSession)
     keep = [id_col] if keep is None else keep
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    sent = [text_col, *[c for c in keep if c != text_col]]  # a text goes to Python once
+    at = [sent.index(c) for c in keep]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t) for t in b.column(0).to_pylist()], float).reshape(b.num_rows, N_STATS)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(model.score(x), pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in at], pa.array(model.score(x), pa.float64())], [*keep, "score"])
 
-    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(run, ", ".join([*fields, "score double"]))
+    return docs.select(*sent).mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held: int = 0, bound: int = MAX_TRAIN) -> DataFrame:

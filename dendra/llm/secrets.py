@@ -26,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dendra.llm.common import packed, unpacked
+
 SCOPE = 300
 BLOCK = 256
 IDENTIFIER, SECRET, ENDPOINT = 0, 1, 2
@@ -165,14 +167,14 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return found.select(id_col, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
-def redact(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", mask: str = "[SECRET]") -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """The same columns, with every reported span of the text replaced by a mask; overlapping spans become one. Null texts stay null."""
     names = df.columns
-    found = scan(df, id_col, text_col, keep=names)
-    t, at = F.col(text_col), F.lit(0).cast("bigint")
+    found = scan(packed(df, text_col), "row", keep=["text", "row"])
+    t, at = F.col("text"), F.lit(0).cast("bigint")
     # what stands between the spans; null where a span begins inside another
     kept = scanned(F.col("spans"), at, lambda a, s: F.greatest(a, s["end"]), lambda a, s: F.when(s["start"] >= a, F.substring(t, (a + 1).cast("int"), (s["start"] - a).cast("int"))), "string")
     rest = F.substring(t, (F.array_max(F.transform("spans", lambda s: s["end"])) + 1).cast("int"), F.char_length(t))
     masked = F.array_join(F.concat(F.array_compact(kept), F.array(rest)), mask)
     text = F.when(F.size("spans") > 0, masked).otherwise(t)
-    return found.select(*[text.alias(c) if c == text_col else F.col(c) for c in names])
+    return found.select(text.alias("text"), "row").select(*unpacked(names, text_col))

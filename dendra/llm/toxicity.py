@@ -85,28 +85,30 @@ class Odds(dict):
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of a sequence, in linear time: segments are kept with the totals before
-    and after them; a new one joins back to the last that begins lower, if it also ends lower."""
+    and after them; a new one joins back to the last that begins lower, if it also ends lower. Each keeps the place of the last
+    before it that begins lower, so a search jumps over what earlier searches have passed."""
     totals = list(accumulate(scores, initial=0.0))
     done: list[tuple[int, int, float]] = []
-    stack: list[list] = []  # first, last, total before, total after
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, total before, total after, the last that begins lower or -1
     for i, s in enumerate(scores):
         if s <= 0:
             continue
-        new = [i, i, totals[i], totals[i + 1]]
+        first, low, high = i, totals[i], totals[i + 1]
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
+            while j >= 0 and stack[j][2] >= low:
+                j = stack[j][4]
             if j < 0:
-                done += [(a, b, r - l) for a, b, l, r in stack]
-                stack = [new]
+                done += [(a, b, r - l) for a, b, l, r, _ in stack]
+                stack = [(first, i, low, high, -1)]
                 break
-            if stack[j][3] >= new[3]:
-                stack.append(new)
+            if stack[j][3] >= high:
+                stack.append((first, i, low, high, j))
                 break
-            new[0], new[2] = stack[j][0], stack[j][2]
+            first, _, low, _, back = stack[j]
             del stack[j:]
-    return done + [(a, b, r - l) for a, b, l, r in stack]
+            j = back
+    return done + [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
 def balance(shares: list[tuple[float, float]]) -> float:

@@ -5,10 +5,12 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import types as T
 
 from dendra.llm import calibration, gif, minhash, mixing, pieces, quality, rules, secrets, substrings, suffixes, textgrams, toxicity
 from dendra.llm.components import components
@@ -323,6 +325,32 @@ def test_maximal_segments():
     assert toxicity.maximal_segments([]) == []
 
 
+def test_maximal_segments_against_all_intervals():
+    """By the definition: maximal among those whose every proper beginning and ending has a positive score."""
+
+    def plainly(x):
+        total = [0.0, *itertools.accumulate(x)]
+        good = []
+        for a in range(len(x)):
+            for b in range(a + 1, len(x) + 1):
+                if all(total[a] < total[k] for k in range(a + 1, b + 1)) and all(total[k] < total[b] for k in range(a, b)):
+                    good.append((a, b - 1, total[b] - total[a]))
+        return sorted(g for g in good if not any(h != g and h[0] <= g[0] and g[1] <= h[1] for h in good))
+
+    rng = random.Random(5)
+    for n in range(60):
+        x = [float(rng.choice((-3, -2, -1, 1, 2, 3))) for _ in range(n)]
+        assert toxicity.maximal_segments(x) == plainly(x)
+
+
+def test_maximal_segments_in_linear_time():
+    """A high opening and slowly falling totals: each new segment begins lower than all before it but the first."""
+    x = [1.0] + [y for _ in range(200_000) for y in (-0.25, 0.125)]
+    began = time.perf_counter()
+    assert len(toxicity.maximal_segments(x)) == 200_001
+    assert time.perf_counter() - began < 10
+
+
 def test_isotonic():
     x, v = calibration.isotonic(np.array([1, 2, 3, 4.0]), np.array([0, 1, 0, 1.0]), prior=0)
     assert list(calibration.apply(np.array([1, 2, 3, 4.0]), (x, v))) == [0, 0.5, 0.5, 1]
@@ -539,6 +567,29 @@ def test_empty_tables(empty, labels):
         assert f(empty).count() == 0
 
 
+CLASHES = ("score", "spans", "low", "high", "last", "kept", "__s", "__p", "__t", "__text", "__low", "row", "plan", "again", "Times", "a.b c", "text_")
+
+
+@pytest.mark.parametrize("rows", [0, 1])
+def test_pipeline_stages_on_edge_cases(spark, tmp_path, rows):
+    """Other columns of any name pass unchanged; null texts, ids, languages and sources, repeated rows and empty tables crash no stage."""
+    import corpus_pipeline as c
+
+    schema = T.StructType([*T._parse_datatype_string("doc_id bigint, text string, lang string, source string, n_chars bigint").fields, *[T.StructField(x, T.StringType()) for x in CLASHES]])
+    held = spark.createDataFrame([(*r[:5], *CLASHES) for r in ROWS * rows], schema)
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, held, str(tmp_path))
+        assert out.columns == held.columns
+        found = out.collect()
+        assert all(tuple(r)[5:] == CLASHES for r in found)
+        if name == "secret_scan":
+            assert len(found) == held.count()
+        # texts without words have no quality to lose here, and each stage must have something to do
+        held = held if name == "quality_classifier" else spark.createDataFrame(found, schema)
+    assert c.STAGES[-1][1](spark, held, str(tmp_path)).count() == held.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
