@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendra.llm import minhash, mixing, pieces, quality, secrets
-from dendra.llm.common import CREATED, documents, labels, release, save, scratch, sweep
+from dendra.llm.common import CREATED, column, documents, labels, packed, release, save, scratch, sweep, unpacked
 
 #: No SQL: trained scores, signatures and byte-exact piece sequences can't be written in it.
 ORACLE_SQL = None
@@ -22,21 +22,22 @@ ORACLE_SQL = None
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated quality score reaches the threshold; trained on all labels (bounded sample)."""
     model = quality.fit(docs, quality.sample(labels(spark, sf_dir), "quality", F.lit(True), quality.MAX_TRAIN))
-    return quality.score(docs, model, keep=docs.columns).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    scored = quality.score(packed(docs), model, text_col="text", keep=["text", "row"])
+    return scored.where(F.col("score") >= quality.THRESHOLD).select(*unpacked(docs.columns))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the least id stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the least id stays; documents without an id stay."""
     gone = minhash.near_duplicates(docs, k=5, percent=80).where(~F.col("kept")).select("doc_id")
     gone = save(gone, scratch(spark, "pipeline-copies"))
     release(spark)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(column, docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every reported secret is replaced in the text; no document goes."""
     out = secrets.redact(docs)
-    return out.select(*[F.char_length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return out.select(*[F.char_length("text").cast("bigint").alias(c) if c == "n_chars" else column(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +46,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     place = F.struct(mixing.draw("doc_id", mixing.SEED).alias("h"), F.col("doc_id").alias("id"), F.col("size").alias("size"))
     mixed = save(mixed.select("source", "times", place.alias("place")), scratch(spark, "pipeline-mix"))
     ends = mixed.groupBy("source").agg(F.min("times").alias("low"), F.max(F.struct("times", "place")).alias("top"))
-    last = ends.select("source", "low", F.col("top.times").alias("high"), F.col("top.place").alias("last"))
-    plan = save(last.withColumnRenamed("source", "__s"), scratch(spark, "pipeline-mix-plan"))
+    last = ends.select(F.struct("source", "low", F.col("top.times").alias("high"), F.col("top.place").alias("last")).alias("plan"))
+    plan = save(last, scratch(spark, "pipeline-mix-plan"))
     if plan.count() <= 100_000:  # a row per source; beyond that a plain join
         plan = F.broadcast(plan)
-    own = F.struct(mixing.draw("doc_id", mixing.SEED).alias("h"), F.col("doc_id").alias("id"), mixing.words().alias("size"))
-    rows = docs.join(plan, F.col("source").eqNullSafe(F.col("__s")))
-    times = F.when(own <= F.col("last"), F.col("high")).otherwise(F.col("low"))
-    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("__again")).select(*docs.columns)
+    rows = packed(docs).join(plan, F.col("row.source").eqNullSafe(F.col("plan.source")))
+    own = F.struct(mixing.draw("row.doc_id", mixing.SEED).alias("h"), F.col("row.doc_id").alias("id"), mixing.words("text").alias("size"))
+    times = F.when(own <= F.col("plan.last"), F.col("plan.high")).otherwise(F.col("plan.low"))
+    return rows.select("text", "row", F.explode(F.array_repeat(F.lit(1), times)).alias("again")).select(*unpacked(docs.columns))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
