@@ -9,8 +9,8 @@ changes no result, since counts are made by the phrases themselves.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +33,10 @@ FIRST = 3
 PER_PHRASE = 64
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 _MAP_PART = 32_768  # bits that bitmap_construct_agg puts into one blob
-#: Hashes, and phrases, that a task holds before it hands their counts on.
-HELD_HASHES, HELD_PHRASES = 3_000_000, 300_000
-#: Rows of one batch that goes back to the JVM.
-BATCH = 200_000
+#: Hashes that a task holds before it hands their counts on.
+HELD_HASHES = 3_000_000
+#: Rows and bytes of phrases of one batch that goes back to the JVM (a longer phrase is a batch of its own).
+BATCH, BATCH_BYTES = 100_000, 4 << 20
 #: First ranks are taken within so many parts of a language, so its last ranking reads PARTS * PER_LANG rows at most.
 PARTS = 16
 #: Languages whose totals may be broadcast; beyond it they are joined by a shuffle.
@@ -46,11 +46,12 @@ _CUT = np.zeros(256, bool)
 _CUT[[*b".,;:!?", *range(10, 14)]] = True
 _GAP = _CUT.copy()
 _GAP[[32, 9]] = True
+_SPACES = re.compile(rb"\t[ \t]*| [ \t]+")
 
 
 def _words(texts: list[str | None]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of texts: (bytes in lower case with spaces for tabs, word starts, ends, hashes, number of the word's piece)."""
-    raw = [t.encode().lower().replace(b"\t", b" ") for t in texts if t]
+    """Blocks of texts: (bytes in lower case with one space for each gap, word starts, ends, hashes, number of the word's piece)."""
+    raw = [_SPACES.sub(b" ", t.encode().lower()) for t in texts if t]
     for _, _, joined, _ in blocks(raw):
         s, e, h = word_hashes(joined, _GAP)
         if len(h):
@@ -103,7 +104,8 @@ def _explode_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _frequent(df: DataFrame, least: int) -> tuple[np.ndarray, int]:
     """The bit map of hashes that stand ``least`` times or more, and the bits of a hash that it goes by."""
-    counted = df.mapInArrow(_explode_short, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    # tasks have summed what they can: the rest meets after the exchange
+    counted = df.mapInArrow(_explode_short, "h bigint, c bigint").repartition("h").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
     found = save(counted.select("h"), scratch(df.sparkSession, "collocations-short"))
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (PER_PHRASE * max(1, found.count()) - 1).bit_length()))
     bit = F.shiftrightunsigned("h", 65 - bits.bit_length())
@@ -115,51 +117,49 @@ def _frequent(df: DataFrame, least: int) -> tuple[np.ndarray, int]:
     return out, 65 - bits.bit_length()
 
 
+def _slices(raw: bytes, s: np.ndarray, e: np.ndarray) -> Iterator[pa.Array]:
+    """raw[s:e] for all s and e as text, some BATCH_BYTES at a time."""
+    a = np.frombuffer(raw, np.uint8)
+    ends = np.cumsum(e - s)
+    first = 0
+    while first < len(s):
+        base = int(ends[first - 1]) if first else 0
+        last = min(first + BATCH, max(first + 1, int(np.searchsorted(ends, base + BATCH_BYTES, "right"))))
+        offsets = np.concatenate([[0], ends[first:last] - base])
+        at = np.repeat(s[first:last] - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])
+        yield pa.StringArray.from_buffers(last - first, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(a[at]))
+        first = last
+
+
 def _explode_phrases(table: np.ndarray, shift: int, most: int):
-    """(text, lang) -> (lang, words, phrase, c): phrases whose short parts are in the map, and the number of all words as phrase of none."""
+    """(text, lang) -> (lang, words, phrase, c): a row for each phrase whose short parts are in the map, and the number of all words as phrase of none."""
 
     def passes(h: np.ndarray) -> np.ndarray:
         bit = (h >> np.uint64(shift)).astype(np.int64)
         return (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
-    def rows(lang: str, counts: list[Counter], words: int) -> Iterator[pa.RecordBatch]:
-        for k, found in enumerate([Counter({b"": words}), *counts]):
-            keys = list(found)
-            for i in range(0, len(keys), BATCH // 10):
-                part = keys[i : i + BATCH // 10]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([k] * n, pa.int32()), pa.array(part, pa.binary()).cast(pa.string()), pa.array([found[p] for p in part], pa.int64())], ["lang", "words", "phrase", "c"])
+    def rows(lang: str, words: int, phrases: pa.Array, c: int) -> pa.RecordBatch:
+        n = len(phrases)
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(words, pa.int32()), n), phrases, pa.repeat(pa.scalar(c, pa.int64()), n)], ["lang", "words", "phrase", "c"])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
         for b in batches:
             for lang, texts in _by_lang(b).items():
-                counts, total = held.setdefault(lang, [[Counter() for _ in range(most)], 0])
                 for raw, s, e, h, piece in _words(texts):
-                    total += len(h)
-                    ok = short = passes(_grams(h, piece, 1, lang)[0])
-                    spread = np.zeros(len(h), np.int64)  # bytes between words beyond one space each
+                    yield rows(lang, 0, pa.array([""]), len(h))
                     for k in range(1, most + 1):
-                        if k > 1:
-                            if k <= FIRST:
-                                g, inside = _grams(h, piece, k, lang)
-                                short = passes(g) & inside
-                            ok = ok[:-1] & ok[1:] & short if k <= FIRST else ok[:-1] & short[k - FIRST :]
-                            spread = spread[:-1] + (s[k - 1 :] - e[k - 2 : -1] - 1)
-                        at = np.flatnonzero(ok & (spread == 0))
-                        counts[k - 1].update(map(raw.__getitem__, map(slice, s[at].tolist(), e[at + k - 1].tolist())))
-                        wide = np.flatnonzero(ok & (spread > 0))
-                        counts[k - 1].update(b" ".join(raw[s[i] : e[i + k - 1]].split()) for i in wide)
-                        if not ok.any():
+                        if k <= FIRST:
+                            g, inside = _grams(h, piece, k, lang)
+                            short = passes(g) & inside
+                            ok = short if k == 1 else short & ok[:-1] & ok[1:]
+                        else:  # all shorter phrases inside are
+                            ok = ok[:-1] & ok[1:]
+                        at = np.flatnonzero(ok)
+                        if not len(at):
                             break
-                held[lang] = [counts, total]
-            if sum(len(c) for counts, _ in held.values() for c in counts) > HELD_PHRASES:
-                for lang, (counts, total) in held.items():
-                    yield from rows(lang, counts, total)
-                held = {}
-        for lang, (counts, total) in held.items():
-            yield from rows(lang, counts, total)
+                        for phrases in _slices(raw, s[at], e[at + k - 1]):
+                            yield rows(lang, k, phrases, 1)
 
     return run
 

@@ -59,7 +59,8 @@ def test_small_holds_full_maps_and_no_broadcast(spark, monkeypatch):
     df = spark.createDataFrame(TEXTS, "text string, lang string").repartition(3)
     want = plainly(TEXTS, 5, 2)
     monkeypatch.setattr(collocations, "MOST_LANGS", 1)
-    monkeypatch.setattr(collocations, "HELD_PHRASES", 10)
+    monkeypatch.setattr(collocations, "BATCH", 3)
+    monkeypatch.setattr(collocations, "BATCH_BYTES", 9)
     monkeypatch.setattr(collocations, "HELD_HASHES", 10)
     monkeypatch.setattr(collocations, "LEAST_BITS", 1 << 15)
     monkeypatch.setattr(collocations, "MOST_BITS", 1 << 15)
