@@ -123,6 +123,31 @@ def split_violations(assigned: DataFrame, member: str, key: str) -> DataFrame:
     return twice.union(crossing).union(groups)
 
 
+def block_digests(df: DataFrame, split: str, block_hash: str) -> DataFrame:
+    """(split, n, digest): an order-free digest of the blocks of each split, from the sums of the four quarters of their hexadecimal
+    SHA-256. Two distributed tables can be compared by it without moving a block; repeats count."""
+    quarters = [F.sum(F.conv(F.substring(block_hash, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")) for i in range(4)]
+    row = df.groupBy(split).agg(F.count("*").alias("n"), *[q.alias(f"q{i}") for i, q in enumerate(quarters)])
+    return row.select(split, "n", F.sha2(F.concat_ws(":", *[F.col(f"q{i}").cast("string") for i in range(4)]), 256).alias("digest"))
+
+
+def block_identity(source: DataFrame, output: DataFrame, split: str, block_hash: str) -> DataFrame:
+    """(split, n_source, n_output, identical) of every split on either side."""
+    a, b = block_digests(source, split, block_hash), block_digests(output, split, block_hash)
+    both = a.join(b.select(F.col(split).alias("__split"), F.col("n").alias("__n"), F.col("digest").alias("__digest")), F.col(split).eqNullSafe(F.col("__split")), "full")
+    same = F.coalesce((F.col("n") == F.col("__n")) & (F.col("digest") == F.col("__digest")), F.lit(False))
+    return both.select(F.coalesce(split, "__split").alias(split), F.coalesce("n", F.lit(0)).alias("n_source"), F.coalesce("__n", F.lit(0)).alias("n_output"), same.alias("identical"))
+
+
+def differing_blocks(source: DataFrame, output: DataFrame, split: str, block_hash: str) -> DataFrame:
+    """(split, block hash, n_source, n_output): blocks that stand in a split of one side more often than in that of the other. Only splits whose digests differ are looked at again."""
+    broken = block_identity(source, output, split, block_hash).where("NOT identical").select(F.col(split).alias("__split"))  # a row per split
+    both = source.select(split, block_hash, F.lit(1).alias("__a")).union(output.select(split, block_hash, F.lit(0)))
+    rows = both.join(F.broadcast(broken), F.col(split).eqNullSafe(F.col("__split")), "left_semi")
+    counts = rows.groupBy(split, block_hash).agg(F.sum("__a").alias("n_source"), F.sum(1 - F.col("__a")).alias("n_output"))
+    return counts.where("n_source <> n_output")
+
+
 def split_statistics(rows: DataFrame, length: str, dims: list[str]) -> DataFrame:
     """Per split and value of each dimension (and per split alone): rows, sum and mean of the lengths; one aggregation with grouping sets."""
     dim = F.explode(F.array(F.struct(F.lit("all").alias("dimension"), F.lit("").alias("value")), *[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("")).alias("value")) for d in dims])).alias("x")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dendra import session
 from dendra.functions import expr
 from dendra.operators import audit, distributions, grouping, reports, scoring, selection, similarity, textmetrics, trees
 from dendra.plans import surrogate
@@ -204,6 +205,48 @@ def split_faults(spark, d):
     return grouping.split_violations(rows, "doc_id", "group_key")
 
 
+#: What a faulty copy of the split does to its blocks: some go, some come twice, some change, some move.
+SPOILT = {"gone": "doc_id % 89 = 3", "twice": "doc_id % 83 = 5", "changed": "doc_id % 79 = 7 AND text IS NOT NULL", "moved": "split = 'dev' AND doc_id % 11 = 2"}
+
+
+def spoilt(rows: DataFrame) -> DataFrame:
+    rows = rows.where(f"NOT ({SPOILT['gone']})")
+    rows = rows.union(rows.where(SPOILT["twice"]))
+    return rows.withColumn("text", F.expr(f"CASE WHEN {SPOILT['changed']} THEN concat(text, ' ') ELSE text END")).withColumn("split", F.expr(f"CASE WHEN {SPOILT['moved']} THEN 'test' ELSE split END"))
+
+
+_SPOILT = f"""{SPLIT}, lossy AS (SELECT * FROM ds WHERE NOT ({SPOILT['gone']})), twice AS (SELECT * FROM lossy UNION ALL SELECT * FROM lossy WHERE {SPOILT['twice']}),
+  spoilt AS (SELECT CASE WHEN {SPOILT['moved']} THEN 'test' ELSE split END AS split, sha256(CASE WHEN {SPOILT['changed']} THEN text || ' ' ELSE text END) AS block_sha256 FROM twice),
+  both_ AS (SELECT split, sha256(text) AS block_sha256, 1 AS a FROM ds UNION ALL SELECT split, block_sha256, 0 FROM spoilt),
+  c AS (SELECT split, block_sha256, CAST(sum(a) AS BIGINT) AS n_source, CAST(sum(1 - a) AS BIGINT) AS n_output FROM both_ GROUP BY split, block_sha256)"""
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    return rows.select("split", F.sha2("text", 256).alias("block_sha256"))
+
+
+@query(f"WITH {_SPOILT} SELECT split, CAST(sum(n_source) AS BIGINT) AS n_source, CAST(sum(n_output) AS BIGINT) AS n_output, bool_and(n_source = n_output) AS identical FROM c GROUP BY split")
+def block_identity(spark, d):
+    """A faulty copy of the split against its source, by digests."""
+    rows = doc_split(spark, d).select("doc_id", "text", "split")
+    return grouping.block_identity(hashed(rows), hashed(spoilt(rows)), "split", "block_sha256")
+
+
+@query(f"WITH {_SPOILT} SELECT split, block_sha256, n_source, n_output FROM c WHERE n_source <> n_output")
+def differing_blocks(spark, d):
+    rows = doc_split(spark, d).select("doc_id", "text", "split")
+    return grouping.differing_blocks(hashed(rows), hashed(spoilt(rows)), "split", "block_sha256")
+
+
+@query(f"WITH {SPLIT} SELECT split, count(*) AS n_source, count(*) AS n_output, true AS identical FROM ds GROUP BY split")
+def written_blocks(spark, d):
+    """The split written as tables and read again: every block is as it was."""
+    rows = doc_split(spark, d).select("doc_id", "text", "split")
+    path = session.folder(spark, "split")
+    rows.write.partitionBy("split").parquet(path)
+    return grouping.block_identity(hashed(rows), hashed(spark.read.parquet(path)), "split", "block_sha256")
+
+
 @query(f"WITH {SPLIT}, l AS (SELECT source || '/' || lang || '/' || CAST(length(text) // 500 AS VARCHAR) AS label, split FROM ds) SELECT DISTINCT split, label FROM l WHERE label IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l t WHERE t.label = l.label AND t.split = 'train')")
 def unseen_labels(spark, d):
     rows = doc_split(spark, d).withColumn("label", F.concat("source", F.lit("/"), "lang", F.lit("/"), F.floor(F.char_length("text") / 500).cast("string")))
@@ -675,6 +718,16 @@ def conllu_roundtrip(spark, d):
     return s.select(F.col("sent_id").cast("bigint").alias("sid"), F.size("words").cast("bigint").alias("words"), "parallel_id")
 
 
+@query(f"""WITH {A}, l AS (SELECT sid, string_agg(concat_ws(chr(9), CAST(tid AS VARCHAR), form, '_', upos, '_', '_', CAST(head AS VARCHAR), deprel, '_', '_'), chr(10) ORDER BY tid) AS rows FROM a GROUP BY sid)
+  SELECT row_number() OVER (ORDER BY sid) AS place, sha256('# sent_id = ' || CAST(sid AS VARCHAR) || chr(10) || '# parallel_id = p/' || CAST(sid AS VARCHAR) || chr(10) || rows || chr(10)) AS block_sha256 FROM l""")
+def conllu_ranges(spark, d):
+    """All blocks written in order as text, read again by byte ranges and numbered through."""
+    path = session.folder(spark, "conllu")
+    conllu.write_blocks(conllu_blocks(spark, d), path)
+    rows = conllu.number_files(conllu.read_blocks(spark, path, whole=False))
+    return rows.select("place", F.sha2("block", 256).alias("block_sha256"))
+
+
 @query(f"WITH {A} SELECT deprel, pred_deprel AS substituted, count(*) AS n FROM a GROUP BY deprel, pred_deprel")
 def substitute_columns(spark, d):
     gold = arcs_a(spark, d).select("sid", "tid", "form", "deprel", F.col("deprel").alias("substituted"))

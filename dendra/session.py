@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder, inside one of this application that goes when it ends."""
+    own = f"{checkpoint_dir(spark).rstrip('/')}/dendra-{spark.sparkContext.applicationId}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
