@@ -106,6 +106,16 @@ def _rank(df: DataFrame, order: str) -> DataFrame:
     return parts.withColumn("__i", inside).join(F.broadcast(starts), "__p").withColumn("rank", F.col("__s") + F.col("__i")).drop("__p", "__i", "__s")
 
 
+def rank_within(df: DataFrame, by: str, order: str, bins: int = 3) -> DataFrame:
+    """Adds the 0-based rank of a row among those with its ``by``, for a hexadecimal order column without ties: sums over
+    16**bins ranges of the order, then ranks inside them, so that no window spans a key's rows."""
+    rows = df.withColumn("__bin", F.substring(order, 1, bins))
+    sizes = rows.groupBy(by, "__bin").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(by, "__bin").orderBy(order)) - 1
+    return rows.withColumn("__i", inside).join(sizes.select(by, "__bin", before.alias("__s")), [by, "__bin"]).withColumn("rank", F.col("__s") + F.col("__i")).drop("__bin", "__i", "__s")
+
+
 def split_simple(df: DataFrame, order: str, seed: int = 42, train: float = 0.8, dev: float = 0.1) -> DataFrame:
     """Rows (no groups) in shuffled order: int(train * n), int(dev * n), rest test."""
     n = df.count()
