@@ -12,7 +12,7 @@ from dendra.functions import expr
 from dendra.operators import audit, distributions, grouping, reports, scoring, selection, similarity, textmetrics, trees
 from dendra.plans import surrogate
 from dendra.plans.surrogate import arcs_sql
-from dendra.sources import conllu
+from dendra.sources import conllu, publish
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -238,6 +238,20 @@ def differing_blocks(spark, d):
     return grouping.differing_blocks(hashed(rows), hashed(spoilt(rows)), "split", "block_sha256")
 
 
+@query("SELECT * FROM (SELECT 'first' AS run, 'written' AS outcome UNION ALL SELECT 'again', 'unchanged' UNION ALL SELECT 'other', 'refused'), (SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents)")
+def published_documents(spark, d):
+    """What publishing the same rows twice and other rows once reports, and what is to be read afterwards."""
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    path = session.folder(spark, "published")
+    runs = [("first", publish.publish_rows(rows, path)), ("again", publish.publish_rows(rows.repartition(3, "doc_id"), path))]
+    try:
+        runs.append(("other", publish.publish_rows(rows.where("doc_id % 50 <> 1"), path)))
+    except FileExistsError:
+        runs.append(("other", "refused"))
+    kept = publish.read_published(spark, path).agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.sum(F.octet_length("text")).alias("bytes"))
+    return kept.crossJoin(F.broadcast(spark.createDataFrame(runs, "run string, outcome string")))  # three rows and one
+
+
 @query(f"WITH {SPLIT} SELECT split, count(*) AS n_source, count(*) AS n_output, true AS identical FROM ds GROUP BY split")
 def written_blocks(spark, d):
     """The split written as tables and read again: every block is as it was."""
@@ -686,6 +700,18 @@ def nested_check(spark, d):
     return out.union(audit.not_contained(part("p025"), part("p050"), "group_id")).union(audit.not_contained(part("p050"), part("p100"), "group_id"))
 
 
+#: Subsets by rules that don't nest.
+CARELESS_SUBSETS = (("p010", "doc_id % 10 = 0"), ("p025", "doc_id % 4 = 0"), ("p050", "doc_id % 2 = 0"))
+
+
+@query(f"WITH {SPLIT} SELECT DISTINCT group_id FROM ds x WHERE doc_id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM ds y WHERE y.group_id = x.group_id AND y.doc_id % 4 = 0)")
+def nested_faults(spark, d):
+    """The check of nested_check over subsets that aren't nested: the second lacks groups of the first, the third none of the second."""
+    rows = doc_split(spark, d)
+    a, b, c = (rows.where(rule) for _, rule in CARELESS_SUBSETS)
+    return audit.not_contained(a, b, "group_id").union(audit.not_contained(b, c, "group_id"))
+
+
 @query(f"WITH {SPLIT}, w AS (SELECT split, {_W} AS word FROM ds) SELECT DISTINCT word FROM w WHERE split = 'test' AND word NOT IN (SELECT word FROM w WHERE split = 'train')")
 def words_not_contained(spark, d):
     words = doc_words(doc_split(spark, d), "split")
