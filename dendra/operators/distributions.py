@@ -7,7 +7,9 @@ arcs and no rescan per label.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dendra.functions import expr
@@ -36,9 +38,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def with_totals(counts: DataFrame) -> DataFrame:
     """Adds words and sentences of each side to grouped counts (count_s, firsts_s): sums over the report's own rows, so arcs are read once.
 
-    A sentence is counted by its word 1. The window spans one row per key of the report, never arcs."""
-    w = Window.partitionBy(F.lit(1))
-    return counts.select("*", *[x for s in "ab" for x in (F.sum(f"count_{s}").over(w).alias(f"words_{s}"), F.sum(f"firsts_{s}").over(w).alias(f"sents_{s}"))])
+    A sentence is counted by its word 1. The totals are one row, joined to the rows of the report; the exchange below is shared."""
+    totals = counts.agg(*[x for s in "ab" for x in (F.sum(f"count_{s}").alias(f"words_{s}"), F.sum(f"firsts_{s}").alias(f"sents_{s}"))])
+    return counts.crossJoin(F.broadcast(totals))
 
 
 def relation_distribution(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -132,6 +134,43 @@ def length_stats(lengths: DataFrame, column: str = "n") -> DataFrame:
     return row.select("n", "min", "max", "mean", F.round(F.col("q")[1], 6).alias("median"), F.round(F.col("q")[0], 6).alias("p25"), F.round(F.col("q")[2], 6).alias("p75"), F.round(F.col("q")[3], 6).alias("p95"))
 
 
+#: Parts into which a pass of percentiles() cuts each range that it is still looking at.
+BINS = 1024
+
+
+def percentiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact percentiles with linear interpolation, nulls left out; null for no rows.
+
+    Distributed selection: each pass counts the values in the parts of the ranges that hold the wanted ranks, and goes on with one
+    part of each, until it holds a single value. Rows are never sorted or exchanged; the driver sees BINS rows a rank at most."""
+    rows = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+    places = [p * (n - 1) for p in shares]
+    found: dict[int, float] = {}
+    open_: dict[int, tuple[float, float, int]] = {k: (low, high, 0) for x in places for k in (math.floor(x), math.ceil(x))}  # range, values below it
+    while open_:
+        for k in [k for k, (a, b, _) in open_.items() if a == b]:
+            found[k] = open_.pop(k)[0]
+        asked = sorted({(a, b) for a, b, _ in open_.values()})
+        if not asked:
+            break
+        v = F.col("v")
+        part = lambda a, b: F.least(F.floor((v / 2 - F.lit(a) / 2) / (F.lit(b) / 2 - F.lit(a) / 2) * BINS).cast("int"), F.lit(BINS - 1))
+        places_of = F.explode(F.array_compact(F.array(*[F.when(v.between(a, b), F.struct(F.lit(i).alias("r"), part(a, b).alias("p"))) for i, (a, b) in enumerate(asked)]))).alias("x")
+        counted = rows.select("v", places_of).groupBy("x.r", "x.p").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("r", "p").collect()
+        for k, (a, b, below) in list(open_.items()):
+            for c in counted:
+                if asked[c.r] == (a, b):
+                    if below + c.n > k:
+                        open_[k] = (c.a, c.b, below)
+                        break
+                    below += c.n
+    lower = [found[math.floor(x)] for x in places]
+    return [a + (found[math.ceil(x)] - a) * (x - math.floor(x)) for a, x in zip(lower, places, strict=True)]
+
+
 def pearson(x: str, y: str) -> Column:
     """Null with fewer than two points or without variance."""
     return F.when((F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)) >= 2) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dendra.session import checkpoint
 
@@ -22,14 +26,53 @@ def group_id(members: Column) -> Column:
 def duplicate_groups(df: DataFrame, key: Column, member: str, order: str, exact_id: bool = True) -> DataFrame:
     """(group_key, group_id, size, first): classes of equal keys. Equal exact keys imply equal joined keys, so one key suffices.
 
-    exact_id names a group after all its members, as the published ids do (one list per group); otherwise after its first
-    member, which never gathers a group and is the choice for very large groups."""
+    exact_id names a group after all its members, as the published ids do: a group's sorted rows are streamed through one digest,
+    so a task holds a row at a time however large the group is. Otherwise it is named after its first member, without any order
+    or exchange of members."""
     rows = df.select(key.alias("group_key"), F.col(member).cast("string").alias("m"), F.col(order).alias("o"))
     if not exact_id:
         g = rows.groupBy("group_key").agg(F.count("*").alias("size"), F.min(F.struct("o", "m")).alias("x"))
         return g.select("group_key", group_id(F.array("x.m")).alias("group_id"), "size", F.col("x.o").alias("first"))
-    g = rows.groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("o", "m"))).alias("x"))
-    return g.select("group_key", group_id(F.transform("x", lambda s: s["m"])).alias("group_id"), F.size("x").cast("bigint").alias("size"), F.col("x")[0]["o"].alias("first"))
+    schema = T.StructType([rows.schema["group_key"], T.StructField("group_id", T.StringType()), T.StructField("size", T.LongType()), T.StructField("first", rows.schema["o"].dataType)])
+    return rows.repartition("group_key").sortWithinPartitions("group_key", "o", "m").mapInArrow(_group_ids, schema)
+
+
+def _group_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (group_key, m, o) -> (group_key, group_id, size, first). Between batches only the last group's digest and first row are held."""
+    begun = False
+    key = first = digest = None
+    size = 0
+
+    def table(keys: list, ids: list[str], sizes: list[int], firsts: list, b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(ids, pa.string()), pa.array(sizes, pa.int64()), pa.array(firsts, b.column(2).type)], ["group_key", "group_id", "size", "first"])
+
+    last = None
+    for b in batches:
+        last = b
+        keys, ids, sizes, firsts = [], [], [], []
+        for k, m, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if not begun or k != key:
+                if begun:
+                    keys.append(key)
+                    ids.append(f"grp-{digest.hexdigest()[:16]}")
+                    sizes.append(size)
+                    firsts.append(first)
+                begun, key, first, digest, size, empty = True, k, o, hashlib.sha256(), 0, True
+            size += 1
+            if m is not None:  # as joined text leaves nulls out
+                digest.update((m if empty else "\n" + m).encode())
+                empty = False
+        if keys:
+            yield table(keys, ids, sizes, firsts, b)
+    if begun:
+        yield table([key], [f"grp-{digest.hexdigest()[:16]}"], [size], [first], last)
+
+
+def group_members(df: DataFrame, group: str, order: str, *keep: str) -> DataFrame:
+    """(group, member_rank, order, kept columns) of the members of groups of two and more, from 1 by order: rows instead of a list per group."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    mine = df.select(group, order, *keep).join(sizes, group, "left_semi")
+    return mine.withColumn("member_rank", F.row_number().over(Window.partitionBy(group).orderBy(order))).select(group, "member_rank", order, *keep)
 
 
 def components(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:

@@ -97,8 +97,8 @@ def aliases(rows: DataFrame, signature: list[str], name: str) -> DataFrame:
 
 
 def experiment_signature(settings: dict) -> str:
-    """sha256 of the settings as JSON with sorted keys."""
-    return hashlib.sha256(json.dumps(settings, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    """sha256 of the settings as JSON with sorted keys, in ASCII."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()
 
 
 def pending_runs(wanted: dict[str, dict], finished: dict[str, str]) -> list[str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dendra import session
@@ -121,6 +121,17 @@ def length_stats(spark, d):
     return distributions.length_stats(table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")))
 
 
+PRICE_SHARES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
+
+
+@query("SELECT " + ", ".join(f"round(quantile_cont(CAST(l_extendedprice AS DOUBLE), {p}), 6) AS p{int(100 * p):03d}" for p in PRICE_SHARES) + " FROM lineitem")
+def price_percentiles(spark, d):
+    """Percentiles of a column of nearly as many values as rows."""
+    found = distributions.percentiles(table(spark, d, "lineitem"), "l_extendedprice", list(PRICE_SHARES))
+    names = [f"p{int(100 * p):03d}" for p in PRICE_SHARES]
+    return spark.createDataFrame([[None if x is None else round(x, 6) for x in found]], ", ".join(f"{x} double" for x in names))
+
+
 @query("WITH s AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT n AS value, count(*) AS n FROM s GROUP BY s.n")
 def length_histogram(spark, d):
     return distributions.value_counts(table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("words")), "words")
@@ -280,6 +291,12 @@ def _keyed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("exact"), F.sha2(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]", "")), 256).alias("group_key"), "source")
 
 
+@query(f"WITH n AS (SELECT doc_id, sha256({_NORM}) AS group_key, source FROM documents) SELECT group_key, row_number() OVER (PARTITION BY group_key ORDER BY doc_id) AS member_rank, doc_id, source FROM n QUALIFY count(*) OVER (PARTITION BY group_key) > 1")
+def duplicate_members(spark, d):
+    """The members that duplicate_report lists, as rows."""
+    return grouping.group_members(_keyed(spark, d), "group_key", "doc_id", "source")
+
+
 @query(f"""WITH n AS (SELECT doc_id, sha256(text) AS exact, sha256({_NORM}) AS joined, source FROM documents), x AS (SELECT 'tokens' AS key_type, exact AS key, source FROM n UNION ALL SELECT 'joined', joined, source FROM n)
   SELECT key_type, key, count(*) AS n, count(DISTINCT source) > 1 AS annotation_disagreement FROM x GROUP BY key_type, key HAVING count(*) > 1""")
 def duplicate_audit(spark, d):
@@ -315,9 +332,10 @@ def unmatched_audit(spark, d):
 
 @query("SELECT o.o_orderkey, count(*) AS words, max(o.o_orderpriority) AS priority FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey")
 def parallel_join(spark, d):
+    """Orders with items against their items: neither side has a row that the other lacks, and the join fails if one had."""
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("words"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority").join(lines.select("o_orderkey"), "o_orderkey", "left_semi")
-    return audit.parallel_join(lines.join(orders.select("o_orderkey"), "o_orderkey", "left_semi"), orders, "o_orderkey").select("o_orderkey", "words", F.col("o_orderpriority_b").alias("priority"))
+    return audit.parallel_join(lines, orders, "o_orderkey").select("o_orderkey", "words", F.col("o_orderpriority_b").alias("priority"))
 
 
 # ---- trees ----------------------------------------------------------------------------------
@@ -360,6 +378,14 @@ def projectivity(spark, d):
     return heads(spark, d).select("sid", trees.projective(F.col("heads")).alias("projective"))
 
 
+@query(f"""WITH {A}, s AS (SELECT sid, tid, least(tid, head) AS lo, greatest(tid, head) AS hi FROM a), x AS (SELECT p.sid, p.tid, count(*) AS n FROM s p JOIN s q ON p.sid = q.sid AND ((p.lo < q.lo AND q.lo < p.hi AND p.hi < q.hi) OR (q.lo < p.lo AND p.lo < q.hi AND q.hi < p.hi)) GROUP BY p.sid, p.tid)
+  SELECT s.sid, s.tid, coalesce(x.n, 0) AS crossed FROM s LEFT JOIN x ON s.sid = x.sid AND s.tid = x.tid""")
+def crossing_arcs(spark, d):
+    """How many arcs each word's arc crosses."""
+    rows = heads(spark, d).select("sid", F.posexplode(trees.crossings_col(F.col("heads"))).alias("i", "crossed"))
+    return rows.select("sid", (F.col("i") + 1).alias("tid"), F.col("crossed").cast("bigint").alias("crossed"))
+
+
 WALK = f"WITH RECURSIVE {A}, w AS (SELECT sid, tid, lpad(CAST(tid AS VARCHAR), 4, '0') AS path, 1 AS depth FROM a WHERE head = 0 UNION ALL SELECT a.sid, a.tid, w.path || lpad(CAST(a.tid AS VARCHAR), 4, '0'), w.depth + 1 FROM w JOIN a ON a.sid = w.sid AND a.head = w.tid)"
 
 
@@ -589,10 +615,12 @@ def early_stop(spark, d):
     return selection.early_stop(history(spark, d), "step", "score", 24, "event_type")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HISTORY}, o AS (SELECT event_type, score, CAST(row_number() OVER (PARTITION BY event_type ORDER BY step) AS INTEGER) AS k FROM h),
+  f AS (SELECT event_type, k, score AS best, k AS best_epoch FROM o WHERE k = 1
+    UNION ALL SELECT o.event_type, o.k, CASE WHEN o.score > f.best + 0.05 THEN o.score ELSE f.best END, CASE WHEN o.score > f.best + 0.05 THEN o.k ELSE f.best_epoch END FROM f JOIN o ON o.event_type = f.event_type AND o.k = f.k + 1 WHERE f.k - f.best_epoch < 24)
+  SELECT event_type, max(k) AS epochs, max_by(best, k) AS best, max_by(best_epoch, k) AS best_epoch FROM f GROUP BY event_type""")
 def early_stop_threshold(spark, d):
-    ordered = history(spark, d).groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "score"))), lambda x: x["score"]).alias("scores"))
-    return ordered.select("event_type", selection.early_stop_with_threshold(F.col("scores"), 0.05, 24).alias("x")).select("event_type", "x.*")
+    return selection.early_stop_folded(history(spark, d), "step", "score", "event_type", 0.05, 24)
 
 
 @query(f"WITH {HISTORY}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, step) AS k FROM h) SELECT event_type, step, score FROM r WHERE k = 1")
@@ -621,10 +649,21 @@ def near_duplicates(spark, d):
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(id, hyp, ref): the k-th assistant text of a conversation with its k-th user text, for every k that both have."""
-    texts = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text"))))
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(texts("assistant").alias("h"), texts("user").alias("r"))
-    rows = c.select("conv_id", F.posexplode(F.slice(F.arrays_zip("h", "r"), F.lit(1), F.least(F.size("h"), F.size("r")))).alias("k", "x"))
-    return rows.select(F.struct("conv_id", "k").alias("id"), F.col("x.h.text").alias("hyp"), F.col("x.r.text").alias("ref")).where("hyp IS NOT NULL AND ref IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).alias("k")
+    c = table(spark, d, "conversations").where("role IN ('assistant', 'user') AND conv_id IS NOT NULL").select("conv_id", "role", place, "text")
+    side = lambda role, name: c.where(F.col("role") == role).select("conv_id", "k", F.col("text").alias(name))
+    return side("assistant", "hyp").join(side("user", "ref"), ["conv_id", "k"]).select(F.struct("conv_id", "k").alias("id"), "hyp", "ref").where("hyp IS NOT NULL AND ref IS NOT NULL")
+
+
+@query("""WITH k AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations WHERE role IN ('assistant', 'user'))
+  SELECT count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS pairs, count(*) FILTER (b.k IS NULL) AS without_user, count(*) FILTER (a.k IS NULL) AS without_assistant
+  FROM (SELECT * FROM k WHERE role = 'assistant') a FULL JOIN (SELECT * FROM k WHERE role = 'user') b ON a.conv_id = b.conv_id AND a.k = b.k""")
+def turns_left_out(spark, d):
+    """How many turns of either side have no partner of their rank, so that no text score can count them."""
+    place = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).alias("k")
+    c = table(spark, d, "conversations").where("role IN ('assistant', 'user')").select("conv_id", "role", place)
+    per = c.groupBy("conv_id", "k").agg(F.count_if(F.col("role") == "assistant").alias("a"), F.count_if(F.col("role") == "user").alias("b"))
+    return per.agg(F.coalesce(F.sum(F.least("a", "b")), F.lit(0)).alias("pairs"), F.count_if((F.col("a") > 0) & (F.col("b") == 0)).alias("without_user"), F.count_if((F.col("a") == 0) & (F.col("b") > 0)).alias("without_assistant"))
 
 
 def turn_words(rows: DataFrame) -> DataFrame:
@@ -754,6 +793,14 @@ def conllu_ranges(spark, d):
     return rows.select("place", F.sha2("block", 256).alias("block_sha256"))
 
 
+@query(f"WITH {A} SELECT sid, tid, form, upos, head, deprel FROM a")
+def conllu_table_function(spark, d):
+    """The blocks' words by the SQL table function, laterally."""
+    conllu.register_rows(spark)
+    conllu_blocks(spark, d).createOrReplaceTempView("dendra_blocks")
+    return spark.sql("SELECT b.position AS sid, CAST(w.id AS INT) AS tid, w.form, w.upos, CAST(w.head AS INT) AS head, w.deprel FROM dendra_blocks b, LATERAL conllu_rows(b.block, 'strict') w WHERE w.kind = 'word'")
+
+
 @query(f"WITH {A} SELECT deprel, pred_deprel AS substituted, count(*) AS n FROM a GROUP BY deprel, pred_deprel")
 def substitute_columns(spark, d):
     gold = arcs_a(spark, d).select("sid", "tid", "form", "deprel", F.col("deprel").alias("substituted"))
