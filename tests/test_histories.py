@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dendra.operators import audit, distributions, grouping, reports, selection
+from dendra.operators import audit, distributions, grouping, reports, selection, similarity
 from dendra.sources import conllu
 
 
@@ -105,3 +106,33 @@ def test_table_function(spark):
             spark.sql(f"SELECT w.* FROM (SELECT * FROM b WHERE i = {i}) x, LATERAL conllu_rows(block, 'strict') w").collect()
     with pytest.raises(Exception, match="strict"):
         spark.sql("SELECT * FROM b, LATERAL conllu_rows(block, 'other')").collect()
+
+
+@pytest.mark.parametrize("block", [1_000, 4])
+def test_near_pairs_in_blocks(spark, monkeypatch, block):
+    """Copies, texts of neighbouring bands, ids whose order isn't that of the blocks; the numbers of pairs that each test leaves."""
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    texts = [None, "", "a", "a", "ab", "漢字仮名交", "漢字仮名文", base, base]
+    for _ in range(45):
+        t = list(base[: rng.randrange(20, 61)])
+        for _ in range(rng.randrange(9)):
+            t[rng.randrange(len(t))] = rng.choice("abcxyz漢")
+        texts.append("".join(t))
+    texts += texts[9:15]
+    rows = [(f"{i:03}", t, "x") for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "i string, t string, id string").repartition(3)
+    monkeypatch.setattr(similarity, "BLOCK_TEXTS", block)
+    want = set()
+    for a, x, _ in rows:
+        for b, y, _ in rows:
+            if a < b and x and y and x != y and (r := SequenceMatcher(None, x, y, autojunk=False).ratio()) >= 0.85:
+                want.add((a, b, round(r, 6)))
+    assert len(want) > 20
+    got = similarity.near_pairs(df, "i", "t").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    seen = similarity.near_candidates(df, "i", "t").first()
+    distinct = len({t for t in texts if t})
+    assert distinct * (distinct - 1) // 2 >= seen.met >= seen.by_length >= seen.by_letters >= seen.by_subsequence > 0
+    assert similarity.near_pairs(df.limit(0), "i", "t").collect() == []
