@@ -649,7 +649,7 @@ def near_duplicates(spark, d):
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(id, hyp, ref): the k-th assistant text of a conversation with its k-th user text, for every k that both have."""
-    place = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).alias("k")
+    place = (F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")) - 1).alias("k")
     c = table(spark, d, "conversations").where("role IN ('assistant', 'user') AND conv_id IS NOT NULL").select("conv_id", "role", place, "text")
     side = lambda role, name: c.where(F.col("role") == role).select("conv_id", "k", F.col("text").alias(name))
     return side("assistant", "hyp").join(side("user", "ref"), ["conv_id", "k"]).select(F.struct("conv_id", "k").alias("id"), "hyp", "ref").where("hyp IS NOT NULL AND ref IS NOT NULL")
