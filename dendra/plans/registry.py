@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -695,7 +696,27 @@ def chrf_counts(spark, d):
     return textmetrics.ngram_counts(turn_characters(turn_pairs(spark, d)), "id", "hyp", "ref", 6)
 
 
-@query()
+def _chinese_sql() -> str:
+    """textmetrics.chinese_words() of {} in SQL; \\x{...} is what its \\u is there."""
+    ranges = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", textmetrics.CHINESE)
+    t = f"regexp_replace(trim(TEXT), '([{ranges}])', ' \\1 ', 'g')"
+    for pattern, by in ((r"([{-~\[-` -&(-+:-@/])", r" \1 "), ("([^0-9])([.,])", r"\1 \2 "), ("([.,])([^0-9])", r" \1 \2"), ("([0-9])(-)", r"\1 \2 ")):
+        t = f"regexp_replace({t}, '{pattern}', '{by}', 'g')"
+    return f"list_filter(string_split_regex({t}, '\\s+'), lambda x: x <> '')".replace("{", "{{").replace("}", "}}").replace("TEXT", "{}")
+
+
+@query(_ngram_sql(_chinese_sql(), 4, " "))
+def bleu_counts_chinese(spark, d):
+    """The counts of bleu_counts with Chinese characters and punctuation as tokens of their own."""
+    rows = turn_pairs(spark, d).select("id", *[textmetrics.chinese_words(F.col(c)).alias(c) for c in ("hyp", "ref")])
+    return textmetrics.ngram_counts(rows, "id", "hyp", "ref", 4)
+
+
+@query(f"""WITH b AS ({ORACLES["bleu_counts"]}), c AS ({ORACLES["chrf_counts"]}), z AS (SELECT *, sum(CASE WHEN matches = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS zeros FROM b),
+  x AS (SELECT CASE WHEN sum(matches) = 0 OR count(*) FILTER (hyp_total > 0) < 4 THEN 0.0 ELSE exp(avg(CASE WHEN matches = 0 THEN ln(100.0 / (pow(2.0, zeros) * hyp_total)) ELSE ln(100.0 * matches / hyp_total) END))
+    * max(CASE WHEN n = 1 THEN CASE WHEN hyp_total > ref_total THEN 1.0 ELSE exp(1 - ref_total / hyp_total) END END) END AS bleu FROM z),
+  y AS (SELECT avg(matches / hyp_total) AS p, avg(matches / ref_total) AS r FROM c WHERE hyp_total > 0 AND ref_total > 0)
+  SELECT round(bleu, 6) AS bleu, round(coalesce(100 * 5 * p * r / nullif(4 * p + r, 0), 0), 6) AS chrf FROM x, y""")
 def corpus_scores(spark, d):
     p = turn_pairs(spark, d)
     bleu = textmetrics.ngram_counts(turn_words(p), "id", "hyp", "ref", 4).collect()
