@@ -46,10 +46,14 @@ def buckets_for(df: DataFrame, bytes_per_bucket: int, least: int = 16) -> int:
 MOST_TASKS = 100_000
 
 
+def task_count(spark: SparkSession, buckets: int, per_task: int = 8) -> int:
+    """Tasks for some ``per_task`` buckets each: as the input grows, tasks grow in number and not in size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-buckets // per_task)))
+
+
 def dealt(df: DataFrame, buckets: int, per_task: int = 8) -> DataFrame:
-    """Rows by key, some ``per_task`` buckets to a task, sorted by key: as the input grows, tasks grow in number and not in size."""
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-buckets // per_task)))
-    return df.repartition(tasks, "key").sortWithinPartitions("key")
+    """Rows by key, dealt to task_count() tasks and sorted by key."""
+    return df.repartition(task_count(df.sparkSession, buckets, per_task), "key").sortWithinPartitions("key")
 
 
 #: Scratch folders that this process has made, in order.

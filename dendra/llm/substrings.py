@@ -4,7 +4,8 @@ The index is a list of immutable runs: window hashes with the document and place
 their first occurrence, cut into buckets by hash range and sorted inside a bucket. A
 batch of documents is hashed, sorted and merge-joined with the runs bucket by bucket;
 windows that an earlier document holds become hits, new ones a new run, and when FAN
-runs have piled up the same merge writes one compacted run in their place.
+runs have piled up the same merge writes one compacted run in their place. Runs are
+bucketed tables, so a merge shuffles the batch alone.
 
 Hits are verified on the words: neighbouring hits with neighbouring sources are one
 claim "these words of this document are those words of that one", and both documents
@@ -30,21 +31,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendra.llm.blobs import pack, unpack
-from dendra.llm.common import CREATED, buckets_for, dealt, finish, lean, release, remove, save, scratch, settings
+from dendra.llm.common import CREATED, MOST_TASKS, buckets_for, dealt, finish, lean, release, remove, save, scratch, settings, task_count
 from dendra.llm.textgrams import blocks, chained, mix, runs, sorted_groups, word_hashes
 
 WINDOW = 13
 FAN = 4
 #: Where the ids are cut into batches, as shares of the documents: history grows over five batches (the fifth compacts the runs
-#: of the first four) to a quarter, against which the rest arrives. A run is exchanged with every later batch, so early ones are small.
+#: of the first four) to a quarter, against which the rest arrives. A run is read again with every later batch, so early ones are small.
 CUTS = (0.02, 0.05, 0.09, 0.15, 0.25)
 #: Compressed input bytes per bucket: about 300,000 windows.
 BUCKET_BYTES = 1 << 20
 CHUNK = 4 << 20
 
 _ROWS = "kind int, key bigint, docs binary, body binary"
-_PLAIN = "key bigint, docs binary, body binary"
 _NAMES = ["kind", "key", "docs", "body"]
+#: What a merge writes lies in the bucket that it read; hits carry their documents' group beside it.
+_MERGED = "kind int, key bigint, grp bigint, docs binary, body binary"
+_MERGED_NAMES = ["kind", "key", "grp", "docs", "body"]
+_FOUND = "key bigint, grp bigint, body binary"
 RUN, ENTRY, HIT = 0, 1, 2
 
 
@@ -52,9 +56,11 @@ def doc_group(doc: np.ndarray, groups: int) -> np.ndarray:
     return (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
-def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], _NAMES)
+_ARROW = {"kind": pa.int32(), "key": pa.int64(), "grp": pa.int64(), "docs": pa.binary(), "body": pa.binary()}
+
+
+def _emit(rows: list[tuple], names: list[str] = _NAMES) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[n]) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
 
 
 def entry_rows(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int, kind: int) -> list[tuple]:
@@ -148,74 +154,115 @@ def truncate(h: np.ndarray, bits: int) -> np.ndarray:
     return h if bits == 64 else h >> np.uint64(64 - bits) << np.uint64(64 - bits)
 
 
-def _merge(buckets: int, groups: int, keep: bool, compact: bool):
-    """Rows sorted by key -> RUN rows of new (or all, when compacting) first occurrences, and HIT rows."""
+def _merge(buckets: int, groups: int, earlier: int, keep: bool, compact: bool):
+    """One row per bucket (key, a batch's rows, the sorted entries of each earlier run) -> RUN rows of new (or all, when compacting)
+    first occurrences, and HIT rows.
+
+    Runs are sorted and share no hash, so the batch's sorted hashes are looked up in each of them in one pass."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, "key"):
-            key, kind = table["key"].to_numpy(), table["kind"].to_numpy()
-            docs, body = table["docs"], table["body"]
-            at = runs(key)
-            for lo, hi in zip(at[:-1], at[1:], strict=True):
-                rows, hs, ds, ps, olds = [], [], [], [], []
-                for i in range(lo, hi):
-                    if kind[i] == HIT:
-                        rows.append((HIT, int(key[i]), b"", body[i].as_py()))
+        for table in batches:
+            for i in range(table.num_rows):
+                key = table.column(0)[i].as_py()
+                rows, parts, olds = [], [], []
+                for part in table.column(1)[i].as_py() or ():
+                    if part["kind"] == HIT:
+                        rows.append((HIT, key, key, b"", part["body"]))
                         continue
-                    names = unpack(docs[i].as_py(), np.int64)[0]
-                    h, index, pos = unpack(body[i].as_py(), np.uint64, np.uint32, np.uint32)
-                    hs.append(h)
-                    ds.append(names[index])
-                    ps.append(pos.astype(np.int64))
-                    olds.append(np.full(len(h), kind[i] == RUN))
-                if hs:
-                    h, doc, pos, old = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps), np.concatenate(olds)
+                    parts.append(_entries(part["docs"], part["body"]))
+                for k in range(earlier):
+                    body = table.column(3 + 2 * k)[i].as_py()
+                    if body is not None:
+                        olds.append(_entries(table.column(2 + 2 * k)[i].as_py(), body))
+                fresh = []
+                if parts:
+                    h, doc, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
                     order = np.argsort(h, kind="stable")
-                    h, doc, pos, old = h[order], doc[order], pos[order], old[order]
-                    mine, least, place, first = settle(h, doc, pos)
-                    hit = ~mine & ~old
-                    rows += hit_rows(doc[hit], pos[hit], least[hit], place[hit], groups)
-                    if keep:
-                        known = np.logical_or.reduceat(old, first)
-                        take = first if compact else first[~known]
-                        rows += entry_rows(h[take], least[take], place[take], buckets, RUN)
+                    h, doc, pos = h[order], doc[order], pos[order]
+                    mine, src, place, first = settle(h, doc, pos)
+                    hashes, size = h[first], np.diff(np.append(first, len(h)))
+                    known = np.zeros(len(hashes), bool)
+                    for old_h, old_doc, old_pos in olds:
+                        at = np.minimum(np.searchsorted(old_h, hashes), len(old_h) - 1)
+                        found = old_h[at] == hashes
+                        known |= found
+                        each = np.repeat(found, size)
+                        src = np.where(each, np.repeat(old_doc[at], size), src)
+                        place = np.where(each, np.repeat(old_pos[at], size), place)
+                    hit = ~mine | np.repeat(known, size)
+                    rows += [(kind, key, group, d, body) for kind, group, d, body in hit_rows(doc[hit], pos[hit], src[hit], place[hit], groups)]
+                    take = first[~known]
+                    fresh = [(h[take], src[take], place[take])]
+                kept = (olds if compact else []) + fresh
+                if keep and kept:
+                    h, doc, pos = (np.concatenate(c) for c in zip(*kept, strict=True))
+                    if len(kept) > 1:
+                        order = np.argsort(h, kind="stable")  # of sorted pieces: a merge
+                        h, doc, pos = h[order], doc[order], pos[order]
+                    if len(h):
+                        rows += [(kind, b, b, d, body) for kind, b, d, body in entry_rows(h, doc, pos, buckets, RUN)]
                 if rows:
-                    yield _emit(rows)
+                    yield _emit(rows, _MERGED_NAMES)
 
     return run
 
 
+def _entries(docs: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, place) of the windows in a row of entry_rows()."""
+    names = unpack(docs, np.int64)[0]
+    h, index, pos = unpack(body, np.uint64, np.uint32, np.uint32)
+    return h, names[index], pos.astype(np.int64)
+
+
 class FingerprintIndex:
-    """Runs of window hashes in a shared folder. add() returns the hits of a batch of later documents."""
+    """Runs of window hashes in a shared folder. add() returns the hits of a batch of later documents.
+
+    A run is a table bucketed by the same hash of the key by which a batch is exchanged, one row per key: runs are joined to the
+    batch where they lie, and only the batch is shuffled."""
 
     def __init__(self, spark: SparkSession, buckets: int, window: int = WINDOW, bits: int = 64):
         self.spark, self.buckets, self.window, self.bits = spark, buckets, window, bits
-        self.runs: list[str] = []
+        self.tasks = min(MOST_TASKS, task_count(spark, buckets))
+        self.runs: list[tuple[str, str]] = []
+
+    def meet(self, batch: DataFrame, whole: bool) -> DataFrame:
+        """One row per bucket: its rows of the batch and its row in each run; with ``whole`` buckets that the batch doesn't touch too."""
+        rows = batch.mapInArrow(_fingerprint(self.window, self.buckets, self.buckets, self.bits), _ROWS).repartition(self.tasks, "key")
+        rows = rows.groupBy("key").agg(F.collect_list(F.struct("kind", "docs", "body")).alias("batch"))
+        if whole:
+            rows = self.spark.range(self.buckets).select(F.col("id").alias("key")).repartition(self.tasks, "key").join(rows.hint("merge"), "key", "left")
+        for k, (name, _) in enumerate(self.runs):
+            run = self.spark.table(name).where(F.col("kind") == RUN).select("key", F.col("docs").alias(f"docs_{k}"), F.col("body").alias(f"body_{k}"))
+            rows = rows.join(run.hint("merge"), "key", "left")
+        return rows
 
     def add(self, batch: DataFrame, keep: bool = True) -> DataFrame:
-        """batch: (id bigint, text). Rows (HIT, group, blob of document, window, source document, source window)."""
-        rows = batch.mapInArrow(_fingerprint(self.window, self.buckets, self.buckets, self.bits), _ROWS)
-        for path in self.runs:
-            rows = rows.union(self.spark.read.schema(_PLAIN).parquet(path).select(F.lit(RUN).alias("kind"), "key", "docs", "body"))
-        compact = len(self.runs) >= FAN
+        """batch: (id bigint, text). Rows (group, blob of document, window, source document, source window)."""
+        compact = keep and len(self.runs) >= FAN
+        rows = self.meet(batch, compact)
         path = scratch(self.spark, "substrings-merge")
-        with settings(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
-            dealt(rows, self.buckets).mapInArrow(_merge(self.buckets, self.buckets, keep, compact), _ROWS).write.partitionBy("kind").option("compression", "none").parquet(path)
-        del rows
+        name = "dendra_" + path.rsplit("-", 1)[1]
+        with settings(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch="4"):
+            out = rows.mapInArrow(_merge(self.buckets, self.buckets, len(self.runs), keep, compact), _MERGED)
+            out.write.partitionBy("kind").bucketBy(self.tasks, "key").sortBy("key").option("compression", "none").option("path", path).saveAsTable(name)
+        del rows, out
         release(self.spark)
+        empty = self.spark.createDataFrame([], _MERGED).drop("kind")  # a kind without rows has no folder yet
+        empty.write.mode("append").parquet(f"{path}/kind={HIT}")
         if compact:
             self.drop()
-        empty = self.spark.createDataFrame([], _ROWS).drop("kind")  # a kind without rows has no folder yet
-        empty.write.mode("append").parquet(f"{path}/kind={HIT}")
         if keep:
-            empty.write.mode("append").parquet(f"{path}/kind={RUN}")
-            self.runs.append(f"{path}/kind={RUN}")
-        return self.spark.read.schema(_PLAIN).parquet(f"{path}/kind={HIT}").select("key", "body")
+            self.runs.append((name, path))
+        else:
+            self.spark.sql(f"DROP TABLE {name}")
+        return self.spark.read.schema(_FOUND).parquet(f"{path}/kind={HIT}").select(F.col("grp").alias("key"), "body")
 
     def drop(self) -> None:
-        for path in self.runs:
-            remove(self.spark, path)
+        """Forget the runs; the hits that lie beside them stay."""
+        for name, path in self.runs:
+            self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, f"{path}/kind={RUN}")
         self.runs = []
 
 

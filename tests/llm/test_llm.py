@@ -132,6 +132,21 @@ def test_substrings_compaction(spark):
     assert bag(got, "doc_id", "n_words", "n_removed", "kept_sha256") == windows_brute(rows, 13)
 
 
+def test_substrings_runs_are_joined_where_they_lie(spark):
+    """A merge exchanges the batch (and the bucket numbers, when it compacts), never a run; tables and runs go at the end."""
+    rows = [(i, f"{PASSAGE} tail{i} " + " ".join(f"u{i}x{j}" for j in range(30))) for i in range(9)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    tables = {t.name for t in spark.catalog.listTables()}
+    index = substrings.FingerprintIndex(spark, 16)
+    found = [index.add(df.where(f"id % 3 = 0 and id < {3 * k + 3} and id >= {3 * k}")) for k in range(3)]
+    assert len(index.runs) == 3 and [h.count() > 0 for h in found] == [False, True, True]
+    for whole in (False, True):
+        plan = index.meet(df, whole)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 + whole and plan.count("SortMergeJoin") == 3 + whole, plan
+    index.drop()
+    assert {t.name for t in spark.catalog.listTables()} == tables
+
+
 def test_substrings_exact_look_reads_only_what_failed(spark):
     """The second look hands on the windows of failed hashes (and what shares their bit), with true hits by the words."""
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(-3, 30)] + [(40, rows_text := f"head {PASSAGE}"), (41, f"other {PASSAGE}"), (None, rows_text), (50, None)]
