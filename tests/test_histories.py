@@ -5,6 +5,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,24 @@ def test_near_pairs_in_blocks(spark, monkeypatch, block):
     distinct = len({t for t in texts if t})
     assert distinct * (distinct - 1) // 2 >= seen.met >= seen.by_length >= seen.by_letters >= seen.by_subsequence > 0
     assert similarity.near_pairs(df.limit(0), "i", "t").collect() == []
+
+
+def test_near_pairs_by_common_strings():
+    """Texts of like letters whose common strings lie in other places are ruled out without a subsequence; those that are left give the ratio of difflib."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinsh") for _ in range(rng.randrange(2, 8))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(140, 160))) for _ in range(30)]
+    for i in range(12):
+        t = texts[i].split(" ")
+        for _ in range(rng.randrange(1, 25)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts.append(" ".join(t))
+    texts += ["ab" * 400, "ab" * 390 + "c", "é漢" * 300]
+    t = pa.table({"id": range(len(texts)), "t": texts, "side": [0] * len(texts), "two": [False] * len(texts)})
+    *found, (*_, seen) = similarity._compare(0.85)(t)
+    ratio = lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio()
+    want = {(i, j): (ratio(texts[i], texts[j]), ratio(texts[j], texts[i])) for j in range(len(texts)) for i in range(j)}
+    want = {k: v for k, v in want.items() if max(v) >= 0.85}
+    assert {(a, b) for a, b, *_ in found} == set(want) and len(want) >= 8
+    assert all(x >= 0.85 and want[a, b][way] == x or want[a, b][way] < 0.85 for a, b, *ways, _ in found for way, x in enumerate(ways))
+    assert seen[2] > 200 and seen[3] <= len(want) + 3
