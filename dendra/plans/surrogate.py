@@ -4,7 +4,7 @@ Words are ordered by line number; a second order, by price, ranks them. The firs
 is the root; any other depends on an earlier ranked one, so every tree is acyclic with
 one root, and surface order mixes directions and crossings.
 
-The DataFrame form groups once by order and looks heads up inside the row's arrays; the
+The DataFrame form exchanges once by order and looks heads up in the order's own words; the
 SQL form is for the oracle.
 """
 
@@ -12,41 +12,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def sentences(spark: SparkSession, sf_dir: str, side: str = "a") -> DataFrame:
-    """(sid, words): words in surface order as structs tid, head, deprel, upos, form, pred_head, pred_deprel. Side b leaves out rows with flag N."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")
+#: The columns of a word, in the order of its struct.
+WORD = ("tid", "head", "deprel", "upos", "head_upos", "form", "pred_head", "pred_deprel")
+
+
+def words(spark: SparkSession, sf_dir: str, side: str = "a") -> DataFrame:
+    """(sid, tid, head, deprel, upos, head_upos, form, pred_head, pred_deprel), a row per word, as sorted by rank within sentences.
+    Side b leaves out rows with flag N.
+
+    One exchange by order; two windows number the words by line and by price, and a third hands each its sentence's words by rank,
+    so that heads are looked up without a join. Columns that a query doesn't read are never built."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("sid"), "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus")
     if side == "b":
         rows = rows.where("l_returnflag <> 'N'")
-    surface = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")))
-    grouped = rows.groupBy(F.col("l_orderkey").alias("sid")).agg(surface.alias("w"))
-
-    def by_rank(w: Column) -> Column:
-        ranked = F.sort_array(F.transform(w, lambda x, i: F.struct(x["l_extendedprice"], x["l_partkey"], x["l_linenumber"], x["l_suppkey"], (i + 1).alias("tid"))))
-        return F.transform(ranked, lambda x: x["tid"])
-
-    def words(w: Column, order: Column, ranks: Column) -> Column:
-        def word(x: Column, i: Column) -> Column:
-            rank = F.element_at(ranks, i + 1)
-            head = F.when(rank == 1, 0).otherwise(F.element_at(order, (1 + x["l_partkey"] % F.greatest(rank - 1, F.lit(1))).cast("int"))).cast("int")
-            deprel = F.when(rank == 1, "root").otherwise(F.concat(x["l_returnflag"], F.lit(":"), x["l_linestatus"]))
-            moved = F.when(x["l_suppkey"] % 4 != 0, head).when(rank == 1, 0).otherwise(F.element_at(order, F.greatest(rank - 1, F.lit(1))))
-            relabelled = F.when(x["l_suppkey"] % 5 != 0, deprel).otherwise(F.concat(F.lit("dep:"), x["l_linestatus"]))
-            tag = lambda y: F.concat(F.lit("U"), (y["l_partkey"] % 7).cast("string"))
-            above = F.when(head == 0, "ROOT").otherwise(tag(F.get(w, F.greatest(head - 1, F.lit(0)))))
-            return F.struct(
-                (i + 1).alias("tid"), head.alias("head"), deprel.alias("deprel"), tag(x).alias("upos"), above.alias("head_upos"),
-                F.concat(F.lit("w"), (x["l_partkey"] % 100).cast("string")).alias("form"), moved.cast("int").alias("pred_head"), relabelled.alias("pred_deprel"),
-            )
-
-        return F.transform(w, word)
-
-    tree = let(F.col("w"), lambda w: let(by_rank(w), lambda order: let(F.transform(w, lambda _, i: F.array_position(order, i + 1).cast("int")), lambda ranks: words(w, order, ranks))))
-    # one-element explode: a boundary, so that UDFs over the words stay out of the aggregation's result list
-    return grouped.select("sid", F.explode(F.array(tree)).alias("words"))
+    mine = Window.partitionBy("sid")
+    rows = rows.withColumn("tid", F.row_number().over(mine.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")))
+    ranked = mine.orderBy("l_extendedprice", "l_partkey", "l_linenumber", "l_suppkey", "tid")
+    whole = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select("*", F.row_number().over(ranked).alias("rank"), F.collect_list(F.struct("tid", "l_partkey")).over(whole).alias("order"))
+    tag = lambda key: F.concat(F.lit("U"), (key % 7).cast("string"))
+    rank, above = F.col("rank"), F.greatest(F.col("rank") - 1, F.lit(1))
+    first = F.element_at("order", (1 + F.col("l_partkey") % above).cast("int"))
+    deprel = F.when(rank == 1, "root").otherwise(F.concat("l_returnflag", F.lit(":"), "l_linestatus"))
+    moved = F.when(F.col("l_suppkey") % 4 != 0, first["tid"]).otherwise(F.element_at("order", above)["tid"])
+    return rows.select(
+        "sid", "tid", F.when(rank == 1, 0).otherwise(first["tid"]).alias("head"), deprel.alias("deprel"), tag(F.col("l_partkey")).alias("upos"),
+        F.when(rank == 1, "ROOT").otherwise(tag(first["l_partkey"])).alias("head_upos"), F.concat(F.lit("w"), (F.col("l_partkey") % 100).cast("string")).alias("form"),
+        F.when(rank == 1, 0).otherwise(moved).alias("pred_head"), F.when(F.col("l_suppkey") % 5 != 0, deprel).otherwise(F.concat(F.lit("dep:"), "l_linestatus")).alias("pred_deprel"),
+    )
+
+
+def sentences(spark: SparkSession, sf_dir: str, side: str = "a", columns: tuple[str, ...] = WORD) -> DataFrame:
+    """(sid, words): words in surface order as structs of the columns. Gathered where the words lie, without another exchange."""
+    mine = Window.partitionBy("sid").orderBy("tid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gathered = words(spark, sf_dir, side).select("sid", "tid", F.collect_list(F.struct(*columns)).over(mine).alias("words"))
+    return gathered.where("tid = 1").select("sid", "words")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
