@@ -393,7 +393,7 @@ WALK = f"WITH RECURSIVE {A}, w AS (SELECT sid, tid, lpad(CAST(tid AS VARCHAR), 4
 @query(f"{WALK} SELECT sid, string_agg(CAST(tid AS VARCHAR), '-' ORDER BY path) AS preorder, string_agg(CAST(tid AS VARCHAR), '-' ORDER BY path || '~' DESC) AS reversed_postorder_by_children FROM w GROUP BY sid".replace(", string_agg(CAST(tid AS VARCHAR), '-' ORDER BY path || '~' DESC) AS reversed_postorder_by_children", ", string_agg(CAST(tid AS VARCHAR), '-' ORDER BY path || '~') AS postorder"))
 def tree_traversal(spark, d):
     none = F.lit(None).cast("array<int>")
-    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "-")
+    text = lambda c: F.array_join(c.cast("array<string>"), "-")
     return heads(spark, d).select("sid", text(trees.preorder_col("heads", none)).alias("preorder"), text(trees.postorder_col("heads", none)).alias("postorder"))
 
 
@@ -407,8 +407,9 @@ def tree_depth(spark, d):
 @query(f"WITH {A} SELECT sid, count(*) AS words, count(*) AS shifts_less_swaps, count(*) AS reductions FROM a GROUP BY sid")
 def transition_counts(spark, d):
     rows = heads(spark, d).select("sid", F.size("heads").cast("bigint").alias("words"), trees.actions_col("heads", "labels").alias("x"))
-    count = lambda f: F.size(F.filter("x", f)).cast("bigint")
-    return rows.select("sid", "words", (count(lambda a: a == trees.SHIFT) - count(lambda a: a == trees.SWAP)).alias("shifts_less_swaps"), count(lambda a: a.contains("_REDUCE:")).alias("reductions"))
+    count = lambda name: F.size("x") - F.size(F.array_remove("x", name))
+    reductions = F.size(F.filter("x", lambda a: a.contains("_REDUCE:")))
+    return rows.select("sid", "words", (count(trees.SHIFT) - count(trees.SWAP)).cast("bigint").alias("shifts_less_swaps"), reductions.cast("bigint").alias("reductions"))
 
 
 @query("SELECT CAST(NULL AS BIGINT) AS sid WHERE 1 = 0")

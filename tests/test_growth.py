@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dendra.operators import grouping, textmetrics
+from dendra.operators import grouping, textmetrics, trees
 from dendra.plans import registry, surrogate
 
 SMALL = "/root/testdata/sf0.001"
@@ -61,3 +62,29 @@ def test_members_are_read_once_and_those_without_a_key_listed(spark):
 def test_words_are_exchanged_once(spark, side):
     for df in (surrogate.words(spark, SMALL, side), surrogate.sentences(spark, SMALL, side)):
         assert plan(df).count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan(df)
+
+
+def test_walks_of_many_trees_at_once():
+    rng = random.Random(9)
+    sents = []
+    for n in [1, 2, 3, 60, *[rng.randrange(1, 12) for _ in range(200)]]:
+        order = rng.sample(range(1, n + 1), n)
+        heads = [0] * n
+        for i in range(1, n):
+            heads[order[i] - 1] = order[rng.randrange(i)]
+        sents.append(heads)
+    depth, pre, post = trees.walks(np.array(sum(sents, [])), np.array([len(x) for x in sents]))
+    at = 0
+    for x in sents:
+        mine = slice(at, at := at + len(x))
+        assert depth[mine].tolist() == trees.depths(x)
+        assert (np.argsort(pre[mine]) + 1).tolist() == trees.preorder(x) and (np.argsort(post[mine]) + 1).tolist() == trees.postorder(x)
+    for bad in ([2, 1, 0], [0, 0], [5, 0], [-1, 0], [2, 1]):
+        with pytest.raises(ValueError):
+            trees.walks(np.array([0, *bad]), np.array([1, len(bad)]))
+
+
+def test_walk_columns_keep_nulls(spark):
+    df = spark.createDataFrame([(1, [2, 0]), (2, None), (3, [0, 1, 1])], "i int, h array<int>").coalesce(1)
+    got = df.select("i", trees.preorder_col("h"), trees.postorder_col("h"), trees.depths_col("h")).collect()
+    assert sorted(map(tuple, got)) == [(1, [2, 1], [1, 2], [2, 1]), (2, None, None, None), (3, [1, 2, 3], [2, 3, 1], [1, 2, 2])]
