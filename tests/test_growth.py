@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dendra.operators import grouping, textmetrics, trees
+from dendra.operators import grouping, selection, textmetrics, trees
 from dendra.plans import registry, surrogate
 
 SMALL = "/root/testdata/sf0.001"
@@ -88,3 +88,16 @@ def test_walk_columns_keep_nulls(spark):
     df = spark.createDataFrame([(1, [2, 0]), (2, None), (3, [0, 1, 1])], "i int, h array<int>").coalesce(1)
     got = df.select("i", trees.preorder_col("h"), trees.postorder_col("h"), trees.depths_col("h")).collect()
     assert sorted(map(tuple, got)) == [(1, [2, 1], [1, 2], [2, 1]), (2, None, None, None), (3, [1, 2, 3], [2, 3, 1], [1, 2, 2])]
+
+
+def test_hashes_of_all_vectors_come_in_one_job(spark):
+    """Groups of many count vectors that tie: jobs don't grow with the number of vectors."""
+    rows = [(f"g{i}", f"s{j}") for i in range(60) for j in range(i % 12 + 1)]
+    df = spark.createDataFrame(rows, "g string, s string")
+    group = "nested-hashes"
+    spark.sparkContext.setJobGroup(group, "")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    selection.nested_subsets(df, "g", "s")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) - before
+    spark.sparkContext._jsc.clearJobGroup()
+    assert jobs <= 20
