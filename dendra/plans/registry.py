@@ -792,8 +792,8 @@ def set_cover_sample(spark, d):
 # ---- CoNLL-U ---------------------------------------------------------------------------------------------
 
 
-def conllu_blocks(spark: SparkSession, d: str) -> DataFrame:
-    s = surrogate.sentences(spark, d, columns=("form", "head", "deprel", "upos"))
+def conllu_blocks(spark: SparkSession, d: str, ranged: bool = False) -> DataFrame:
+    s = surrogate.sentences(spark, d, columns=("form", "head", "deprel", "upos"), ranged=ranged)
     text = conllu.from_arrays(F.col("form"), F.col("head"), F.col("deprel"), [F.concat(F.lit("# sent_id = "), F.col("sid").cast("string")), F.concat(F.lit("# parallel_id = p/"), F.col("sid").cast("string"))], upos=F.col("upos"))
     arrays = s.select("sid", *[F.col(f"words.{n}").alias(n) for n in ("form", "head", "deprel", "upos")])
     return arrays.select(F.col("sid").alias("position"), text.alias("block"))
@@ -810,7 +810,7 @@ def conllu_roundtrip(spark, d):
 def conllu_ranges(spark, d):
     """All blocks written in order as text, read again by byte ranges and numbered through."""
     path = session.folder(spark, "conllu")
-    conllu.write_blocks(conllu_blocks(spark, d), path)
+    conllu.write_blocks(conllu_blocks(spark, d, ranged=True), path)
     rows = conllu.number_files(conllu.read_blocks(spark, path, whole=False))
     return rows.select("place", F.sha2("block", 256).alias("block_sha256"))
 

@@ -20,15 +20,18 @@ from pyspark.sql import functions as F
 WORD = ("tid", "head", "deprel", "upos", "head_upos", "form", "pred_head", "pred_deprel")
 
 
-def words(spark: SparkSession, sf_dir: str, side: str = "a") -> DataFrame:
+def words(spark: SparkSession, sf_dir: str, side: str = "a", ranged: bool = False) -> DataFrame:
     """(sid, tid, head, deprel, upos, head_upos, form, pred_head, pred_deprel), a row per word, as sorted by rank within sentences.
     Side b leaves out rows with flag N.
 
     One exchange by order; two windows number the words by line and by price, and a third hands each its sentence's words by rank,
-    so that heads are looked up without a join. Columns that a query doesn't read are never built."""
+    so that heads are looked up without a join. Columns that a query doesn't read are never built. ``ranged``: the exchange is by
+    ranges of orders, so that what is written in their order needs no other; only the orders' keys are read for the bounds."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("sid"), "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus")
     if side == "b":
         rows = rows.where("l_returnflag <> 'N'")
+    if ranged:
+        rows = rows.repartitionByRange("sid")
     mine = Window.partitionBy("sid")
     rows = rows.withColumn("tid", F.row_number().over(mine.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")))
     ranked = mine.orderBy("l_extendedprice", "l_partkey", "l_linenumber", "l_suppkey", "tid")
@@ -46,10 +49,10 @@ def words(spark: SparkSession, sf_dir: str, side: str = "a") -> DataFrame:
     )
 
 
-def sentences(spark: SparkSession, sf_dir: str, side: str = "a", columns: tuple[str, ...] = WORD) -> DataFrame:
+def sentences(spark: SparkSession, sf_dir: str, side: str = "a", columns: tuple[str, ...] = WORD, ranged: bool = False) -> DataFrame:
     """(sid, words): words in surface order as structs of the columns. Gathered where the words lie, without another exchange."""
     mine = Window.partitionBy("sid").orderBy("tid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    gathered = words(spark, sf_dir, side).select("sid", "tid", F.collect_list(F.struct(*columns)).over(mine).alias("words"))
+    gathered = words(spark, sf_dir, side, ranged).select("sid", "tid", F.collect_list(F.struct(*columns)).over(mine).alias("words"))
     return gathered.where("tid = 1").select("sid", "words")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dendra.operators import grouping, selection, textmetrics, trees
 from dendra.plans import registry, surrogate
+from dendra.sources import conllu, ranges
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -101,3 +102,37 @@ def test_hashes_of_all_vectors_come_in_one_job(spark):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) - before
     spark.sparkContext._jsc.clearJobGroup()
     assert jobs <= 20
+
+
+def test_blocks_are_written_with_one_exchange(spark):
+    """Orders are exchanged by ranges before their texts are made, so the text isn't made twice for the bounds of a range sort."""
+    text = conllu.ordered_text(registry.conllu_blocks(spark, SMALL, ranged=True))
+    assert plan(text).count("Exchange rangepartitioning") == plan(text).count("Exchange") == 1
+    want = registry.conllu_blocks(spark, SMALL).collect()
+    assert [(r.position, r.value) for r in text.collect()] == sorted((r.position, r.block + "\n") for r in want)
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_blocks_are_numbered_where_they_lie(spark, monkeypatch, most):
+    """The numbers of the files before are broadcast, so the blocks of a large file don't meet in one task."""
+    monkeypatch.setattr(conllu, "MOST_FILES", most)
+    blocks = spark.createDataFrame([(p, i, f"{p}{i}") for p in "ba" for i in range(1, 4)], "path string, position bigint, block string")
+    with_numbers = conllu.number_files(blocks)
+    assert sorted(map(tuple, with_numbers.collect())) == [(1, "a1"), (2, "a2"), (3, "a3"), (4, "b1"), (5, "b2"), (6, "b3")]
+    assert most == 0 or "BroadcastHashJoin" in plan(with_numbers) and "hashpartitioning" not in plan(with_numbers)
+
+
+def test_lines_are_cut_a_batch_at_a_time(monkeypatch):
+    """Batches with plain line ends aren't gone through line by line; others give the same blocks."""
+    import pyarrow as pa
+
+    calls = []
+    real = ranges.Range._lines
+    monkeypatch.setattr(ranges.Range, "_lines", lambda self, lines: calls.append(lines) or real(self, lines))
+    for strict in (True, False):
+        for blank in ("", " \t") if strict else ("",):
+            calls.clear()
+            now = ranges.Range(1, 0, strict)
+            now.add(pa.array([x.encode() for x in ("", "", "", "a", "b", blank, "c", "", "", "d", "e", "", "f")]))
+            assert now.done == (["c\n", "d\ne\n"] if strict else ["c", "\nd\ne"]) and (now.head, now.lead, now.gap) == ("a\nb\n", 3, 0) and now.current == ["f\n"]
+            assert len(calls) == (6 if blank else 4)
