@@ -22,6 +22,27 @@ def align(gold: DataFrame, systems: dict[str, DataFrame], key: tuple[str, ...] =
     return out
 
 
+def align_sentences(rows: DataFrame, gold: str, systems: tuple[str, ...], sid: str = "sid", source: str = "source", token: str = "tid", form: str = "form", words: str = "words") -> DataFrame:
+    """align() for the sentences of all sources in one table (sid, source, words), words in order as structs of token, form and others:
+    (sid, words, words_name ...), the gold sentence and each system's. A sentence or word too few or too many, and a different form, fail the query.
+
+    One aggregation by sid, without an exchange where rows are dealt by it. The check sits in the gold words and a filter on them, so
+    nothing read from the result passes it by."""
+    of = lambda name: F.first(F.when(F.col(source) == name, F.col(words)), ignorenulls=True)
+    names = {gold: words, **{name: f"{words}_{name}" for name in systems}}
+    once = [(F.count_if(F.col(source) == name) == 1).alias(f"__{name}") for name in names]
+    known = F.bool_and(F.coalesce(F.col(source).isin(*names), F.lit(False))).alias("__known")
+    both = rows.groupBy(sid).agg(*[of(name).alias(c) for name, c in names.items()], *once, known)
+    ids, forms = F.col(f"{words}.{token}"), F.col(f"{words}.{form}")
+    whole = F.col(sid).isNotNull() & F.col("__known") & F.col(f"__{gold}") & F.forall(ids, lambda x: x.isNotNull()) & F.forall(forms, lambda x: x.isNotNull())
+    fault = F.when(whole, F.lit(None)).otherwise(gold)
+    for name in reversed(systems):
+        ok = F.col(f"__{name}") & (ids == F.col(f"{names[name]}.{token}")) & (forms == F.col(f"{names[name]}.{form}"))
+        fault = F.when(ok, fault).otherwise(name)
+    checked = F.when(fault.isNull(), F.col(words)).otherwise(F.raise_error(F.concat_ws(" ", fault, F.lit("isn't aligned at"), F.coalesce(F.col(sid).cast("string"), F.lit("null")))))
+    return both.select(sid, checked.alias(words), *[names[name] for name in systems]).where(F.col(words).isNotNull())
+
+
 def judged(arcs: DataFrame, head: str = "head", label: str = "deprel", pred_head: str = "pred_head", pred_label: str = "pred_deprel") -> DataFrame:
     """Adds uas, las (base labels, as the shared-task score), strict (full labels) and label_ok as booleans."""
     right = F.col(head) == F.col(pred_head)

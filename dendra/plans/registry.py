@@ -588,12 +588,15 @@ def exact_token_metrics(spark, d):
 
 @query(f"WITH {A} SELECT sid, tid, CASE WHEN head = 0 THEN 'ROOT' ELSE head_upos END AS head_tag, upos AS gold_upos, form FROM a")
 def aligned_tokens(spark, d):
-    """Gold rows aligned with two systems by place, and head tags looked up in the sentence's own array."""
-    s = surrogate.sentences(spark, d)
-    gold = s.select("sid", F.col("words.upos").alias("tags"), F.inline("words")).select("sid", "tid", "form", "upos", expr.head_lookup(F.col("tags"), F.col("head"), "?").alias("head_tag"))
-    system = surrogate.arcs(s).select("sid", "tid", "form", F.col("pred_head").alias("h"))
-    rows = scoring.align(gold, {"one": system, "two": system}, ("sid", "tid"))
-    return rows.select("sid", "tid", "head_tag", F.col("upos").alias("gold_upos"), "form")
+    """Gold sentences aligned with two systems' word by word, and head tags looked up in the sentence's own array.
+
+    One pass over the treebank makes the sentences of all three sources."""
+    s = surrogate.sentences(spark, d, columns=("tid", "form", "upos", "head", "pred_head"))
+    words = lambda head: F.transform("words", lambda w: F.struct(w["tid"].alias("tid"), w["form"].alias("form"), w["upos"].alias("upos"), w[head].alias("head")))
+    sources = F.array(*[F.struct(F.lit(name).alias("source"), words(head).alias("words")) for name, head in (("gold", "head"), ("one", "pred_head"), ("two", "pred_head"))])
+    rows = scoring.align_sentences(s.select("sid", F.inline(sources)), "gold", ("one", "two"))
+    aligned = rows.select("sid", F.col("words.upos").alias("tags"), F.inline("words"))
+    return aligned.select("sid", "tid", expr.head_lookup(F.col("tags"), F.col("head"), "?").alias("head_tag"), F.col("upos").alias("gold_upos"), "form")
 
 
 # ---- histories, pivots ---------------------------------------------------------------------------

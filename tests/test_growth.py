@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dendra.operators import grouping, selection, textmetrics, trees
+from dendra.operators import grouping, scoring, selection, textmetrics, trees
 from dendra.plans import registry, surrogate
 from dendra.sources import conllu, ranges
 
@@ -136,3 +136,25 @@ def test_lines_are_cut_a_batch_at_a_time(monkeypatch):
             now.add(pa.array([x.encode() for x in ("", "", "", "a", "b", blank, "c", "", "", "d", "e", "", "f")]))
             assert now.done == (["c\n", "d\ne\n"] if strict else ["c", "\nd\ne"]) and (now.head, now.lead, now.gap) == ("a\nb\n", 3, 0) and now.current == ["f\n"]
             assert len(calls) == (6 if blank else 4)
+
+
+def test_sources_are_aligned_with_one_exchange(spark):
+    found = plan(registry.aligned_tokens(spark, SMALL))
+    assert found.count("Exchange") == found.count("FileScan") == 1 and "Join" not in found
+
+
+def test_sentences_that_are_not_aligned_fail(spark):
+    schema = "sid int, source string, words array<struct<tid int, form string, h int>>"
+    good = [(1, "gold", [(1, "a", 0), (2, "b", 1)]), (1, "p", [(1, "a", 2), (2, "b", 0)]), (2, "gold", [(1, "c", 0)]), (2, "p", [(1, "c", 0)]), (3, "gold", []), (3, "p", [])]
+    align = lambda rows: scoring.align_sentences(spark.createDataFrame(rows, schema), "gold", ("p",))
+    assert sorted((r.sid, [w.h for w in r.words], [w.h for w in r.words_p]) for r in align(good).collect()) == [(1, [0, 1], [2, 0]), (2, [0], [0]), (3, [], [])]
+    one, p, *rest = good
+    bad = [
+        [one, *rest], [p, *rest], [*good, p], [*good, one], [*good, (1, "q", p[2])], [*good, (1, None, p[2])], [one, (1, "p", None), *rest], [one, (1, "p", p[2][:1]), *rest], [one, (1, "p", [*p[2], (3, "c", 0)]), *rest],
+        [one, (1, "p", [(1, "a", 2), (2, "x", 0)]), *rest], [one, (1, "p", [(1, "a", 2), (3, "b", 0)]), *rest], [(1, s, [(1, None, 0)]) for s in ("gold", "p")], [(1, s, [(None, "a", 0)]) for s in ("gold", "p")], [(None, s, [(1, "a", 0)]) for s in ("gold", "p")],
+    ]
+    for rows in bad:
+        # whether the words are read, counted or filtered
+        for read in (lambda r: r.select("sid", F.inline("words")), lambda r: r.agg(F.count("*")), lambda r: r.where("words IS NOT NULL").select("sid")):
+            with pytest.raises(Exception, match="aligned"):
+                read(align(rows)).collect()
