@@ -26,8 +26,8 @@ def align_sentences(rows: DataFrame, gold: str, systems: tuple[str, ...], sid: s
     """align() for the sentences of all sources in one table (sid, source, words), words in order as structs of token, form and others:
     (sid, words, words_name ...), the gold sentence and each system's. A sentence or word too few or too many, and a different form, fail the query.
 
-    One aggregation by sid, without an exchange where rows are dealt by it. The check sits in the gold words and a filter on them, so
-    nothing read from the result passes it by."""
+    One aggregation by sid, without an exchange where rows are dealt by it. Absent gold words are empty in the result, so that no
+    test of them for null comes before the check."""
     of = lambda name: F.first(F.when(F.col(source) == name, F.col(words)), ignorenulls=True)
     names = {gold: words, **{name: f"{words}_{name}" for name in systems}}
     once = [(F.count_if(F.col(source) == name) == 1).alias(f"__{name}") for name in names]
@@ -39,8 +39,9 @@ def align_sentences(rows: DataFrame, gold: str, systems: tuple[str, ...], sid: s
     for name in reversed(systems):
         ok = F.col(f"__{name}") & (ids == F.col(f"{names[name]}.{token}")) & (forms == F.col(f"{names[name]}.{form}"))
         fault = F.when(ok, fault).otherwise(name)
-    checked = F.when(fault.isNull(), F.col(words)).otherwise(F.raise_error(F.concat_ws(" ", fault, F.lit("isn't aligned at"), F.coalesce(F.col(sid).cast("string"), F.lit("null")))))
-    return both.select(sid, checked.alias(words), *[names[name] for name in systems]).where(F.col(words).isNotNull())
+    message = F.concat_ws(" ", fault, F.lit("isn't aligned at"), F.coalesce(F.col(sid).cast("string"), F.lit("null")))
+    checked = both.where(F.when(fault.isNull(), True).otherwise(F.raise_error(message)).cast("boolean"))
+    return checked.select(sid, *[F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in names.values()])
 
 
 def judged(arcs: DataFrame, head: str = "head", label: str = "deprel", pred_head: str = "pred_head", pred_label: str = "pred_deprel") -> DataFrame:

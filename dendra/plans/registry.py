@@ -590,10 +590,9 @@ def exact_token_metrics(spark, d):
 def aligned_tokens(spark, d):
     """Gold sentences aligned with two systems' word by word, and head tags looked up in the sentence's own array.
 
-    One pass over the treebank makes the sentences of all three sources."""
+    One pass over the treebank makes the sentences of all three sources; the systems' heads are pred_head."""
     s = surrogate.sentences(spark, d, columns=("tid", "form", "upos", "head", "pred_head"))
-    words = lambda head: F.transform("words", lambda w: F.struct(w["tid"].alias("tid"), w["form"].alias("form"), w["upos"].alias("upos"), w[head].alias("head")))
-    sources = F.array(*[F.struct(F.lit(name).alias("source"), words(head).alias("words")) for name, head in (("gold", "head"), ("one", "pred_head"), ("two", "pred_head"))])
+    sources = F.array(*[F.struct(F.lit(name).alias("source"), "words") for name in ("gold", "one", "two")])
     rows = scoring.align_sentences(s.select("sid", F.inline(sources)), "gold", ("one", "two"))
     aligned = rows.select("sid", F.col("words.upos").alias("tags"), F.inline("words"))
     return aligned.select("sid", "tid", expr.head_lookup(F.col("tags"), F.col("head"), "?").alias("head_tag"), F.col("upos").alias("gold_upos"), "form")
