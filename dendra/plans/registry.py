@@ -796,9 +796,11 @@ def set_cover_sample(spark, d):
 
 def conllu_blocks(spark: SparkSession, d: str, ranged: bool = False) -> DataFrame:
     s = surrogate.sentences(spark, d, columns=("form", "head", "deprel", "upos"), ranged=ranged)
-    text = conllu.from_arrays(F.col("form"), F.col("head"), F.col("deprel"), [F.concat(F.lit("# sent_id = "), F.col("sid").cast("string")), F.concat(F.lit("# parallel_id = p/"), F.col("sid").cast("string"))], upos=F.col("upos"))
-    arrays = s.select("sid", *[F.col(f"words.{n}").alias(n) for n in ("form", "head", "deprel", "upos")])
-    return arrays.select(F.col("sid").alias("position"), text.alias("block"))
+    comments = [F.concat(F.lit("# sent_id = "), F.col("sid").cast("string")), F.concat(F.lit("# parallel_id = p/"), F.col("sid").cast("string"))]
+    # the arrays are taken out of the words once a sentence, not for every word
+    arrays = F.struct(*[F.col(f"words.{n}").alias(n) for n in ("form", "head", "deprel", "upos")])
+    text = surrogate.let(arrays, lambda a: conllu.from_arrays(a["form"], a["head"], a["deprel"], comments, upos=a["upos"]))
+    return s.select(F.col("sid").alias("position"), text.alias("block"))
 
 
 @query("SELECT l_orderkey AS sid, count(*) AS words, 'p/' || CAST(l_orderkey AS VARCHAR) AS parallel_id FROM lineitem GROUP BY l_orderkey")
