@@ -139,6 +139,62 @@ def test_near_pairs_in_blocks(spark, monkeypatch, block):
     assert similarity.near_pairs(df.limit(0), "i", "t").collect() == []
 
 
+def test_near_pairs_are_ruled_out_together(monkeypatch):
+    """Unrelated texts of like letters never come to the steps that take one pair at a time; near ones do, with their ratio."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinsh") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(240, 280))) for _ in range(60)]
+    for i in range(6):
+        t = texts[i].split(" ")
+        for _ in range(rng.randrange(5, 20)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts.append(" ".join(t))
+    calls = []
+    blocks = similarity.blocks
+    monkeypatch.setattr(similarity, "blocks", lambda *x: calls.append(1) or blocks(*x))
+    for index_pairs in (0, 12, 10**9):
+        calls.clear()
+        monkeypatch.setattr(similarity, "INDEX_PAIRS", index_pairs, raising=False)
+        sides = [i % 2 for i in range(len(texts))]
+        for two in (False, True):
+            t = pa.table({"id": range(len(texts)), "t": texts, "side": sides if two else [0] * len(texts), "two": [two] * len(texts)})
+            *found, (*_, seen) = similarity._compare(0.85)(t)
+            want = {}
+            for j in range(len(texts)):
+                for i in range(j) if not two else range(1 - j % 2, len(texts), 2):
+                    if (abs(i - j) == 60) and (not two or j % 2):
+                        x, y = texts[i], texts[j]
+                        want[i, j] = tuple(SequenceMatcher(None, *p, autojunk=False).ratio() for p in ((x, y), (y, x)))
+            assert {(a, b): (f, g) for a, b, f, g, _ in found} == {k: v for k, v in want.items() if max(v) >= 0.85}
+            assert len(found) == (0 if two else 6) and seen[2] > 900
+        assert len(calls) <= 2 * (6 + 3)
+
+
+def test_common_strings_of_many_pairs():
+    """joined() gives what shared() gives, and reached() what blocks() gives, with ties, repeats and texts without strings."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 70))) for _ in range(30)] + ["", "ab漢字ab漢字", "ab" * 40, "漢字ab" * 5]
+    for k in (4, 5, 7):
+        strings = similarity.Strings(texts, k)
+        i, j = np.nonzero(np.array([[rng.random() < 0.5 for _ in texts] for _ in texts]))
+        one, many = {}, {}
+        for own in np.unique(i):
+            for part, known, pair, *v in strings.shared(own, j[i == own]):
+                one |= {(own, other): (known[p], {tuple(map(int, x)) for x, q in zip(zip(*v, strict=True), pair, strict=True) if q == p}) for p, other in enumerate(part)}
+        for part, known, pair, *v in strings.joined(i, j):
+            assert (np.diff(pair) >= 0).all()
+            many |= {(i[n], j[n]): (known[p], {tuple(map(int, x)) for x, q in zip(zip(*v, strict=True), pair, strict=True) if q == p}) for p, n in enumerate(part)}
+            for p in np.flatnonzero(known):
+                a, b = len(texts[i[part[p]]]), len(texts[j[part[p]]])
+                found = [tuple(map(int, x)) for x, q in zip(zip(*v, strict=True), pair, strict=True) if q == p]
+                for least in {1, min(a, b) // 2, min(a, b)}:
+                    got = similarity.reached((np.zeros(len(found), np.int64), *np.array(found, np.int64).reshape(-1, 3).T), np.array([a]), np.array([b]), np.array([least]), k)[0]
+                    want = similarity.blocks(found, a, b, least, k)
+                    assert got == (-1 if want is None else int(want[0] >= least))
+        assert {x for x, (known, _) in one.items() if known} == {x for x, (known, _) in many.items() if known}
+        assert all(many[x] == y for x, y in one.items() if y[0]) and len(one) == len(many) == len(i)
+
+
 def test_near_pairs_by_common_strings():
     """Texts of like letters whose common strings lie in other places are ruled out without a subsequence; those that are left give the ratio of difflib."""
     rng = random.Random(4)
