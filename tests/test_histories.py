@@ -214,3 +214,14 @@ def test_near_pairs_by_common_strings():
     assert {(a, b) for a, b, *_ in found} == set(want) and len(want) >= 8
     assert all(x >= 0.85 and want[a, b][way] == x or want[a, b][way] < 0.85 for a, b, *ways, _ in found for way, x in enumerate(ways))
     assert seen[2] > 200 and seen[3] <= len(want) + 3
+
+
+def test_longest_match_searched_and_by_automaton(monkeypatch):
+    rng = random.Random(9)
+    for n in range(200):
+        monkeypatch.setattr(similarity, "SEARCHED", 0 if n % 2 else 1 << 20)
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(60))) for _ in "ab")
+        m = SequenceMatcher(None, a, b, autojunk=False)
+        if a and b:
+            assert similarity.longest_match(a, b) == tuple(m.find_longest_match())
+        assert similarity.matched(a, b) == sum(x.size for x in m.get_matching_blocks())
